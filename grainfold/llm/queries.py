@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.llm import bpe, packing
+from grainfold.llm import bpe, packing, spans
 from grainfold.plans.runtime import table
 
 #: Tokens of one container.
@@ -25,10 +25,22 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents with an identical run of 200 code points or more."""
+    return spans.shared_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", 200)
+
+
+def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document also stands in another one."""
+    return spans.shared_share(table(spark, sf_dir, "documents"), "doc_id", "text", 200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p8_ids": p8_ids,
         "p9_containers": p9_containers,
+        "p10_found": p10_found,
+        "p10_shared": p10_shared,
     }
 
 
