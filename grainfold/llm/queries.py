@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.llm import bpe, packing, spans
+from grainfold.llm import bpe, packing, setjoin, spans
 from grainfold.plans.runtime import table
 
 #: Tokens of one container.
 CAPACITY = 2048
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of concepts with at least five tags each that agree in 0.7 of them."""
+    pairs = setjoin.similar_sets(table(spark, sf_dir, "concepts"), "concept_id", "tags", 0.7, 5)
+    return pairs.select(F.col("concept_id_a").alias("concept_a"), F.col("concept_id_b").alias("concept_b"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -37,6 +43,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
         "p8_ids": p8_ids,
         "p9_containers": p9_containers,
         "p10_found": p10_found,
