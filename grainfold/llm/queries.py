@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.llm import bpe, packing, setjoin, spans
+from grainfold.llm import bpe, oracles, packing, segment, setjoin, spans, terms
 from grainfold.plans.runtime import table
 
 #: Tokens of one container.
@@ -20,6 +20,37 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("concept_id_a").alias("concept_a"), F.col("concept_id_b").alias("concept_b"))
 
 
+def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.weights(table(spark, sf_dir, "retrieved_concepts"), "concept_id", "content_text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that occur three times or more in a concept and in five concepts at most."""
+    return weighted(spark, sf_dir).where("n >= 3 and n_records <= 5").select("concept_id", "term")
+
+
+def p4_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The z-score of every term of every retrieved concept."""
+    w = weighted(spark, sf_dir)
+    return w.select("concept_id", "term", F.col("n").cast("bigint").alias("n"), F.col("n_records").cast("bigint").alias("n_records"), F.round("z", 6).alias("z"))
+
+
+def p4_against_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded score and distinctiveness of every hit, with their ranks within the question."""
+    hits = table(spark, sf_dir, "retrieved_concepts")
+    return terms.against_score(hits, weighted(spark, sf_dir), "concept_id", "hit_id", "question_id", "score").withColumn("weight", F.round("weight", 6))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts over 4,000 code points and how they must be cut."""
+    return segment.oversized(p7_pieces(spark, sf_dir), "part_row")
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all parts."""
+    return segment.pieces(table(spark, sf_dir, "extracted_parts"), "part_row", "part_text", "staged_name")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -44,6 +75,11 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p4_found": p4_found,
+        "p4_weights": p4_weights,
+        "p4_against_score": p4_against_score,
+        "p7_found": p7_found,
+        "p7_pieces": p7_pieces,
         "p8_ids": p8_ids,
         "p9_containers": p9_containers,
         "p10_found": p10_found,
@@ -52,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
