@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.llm import bpe, oracles, packing, segment, setjoin, spans, terms
+from grainfold.llm import bpe, markup, oracles, packing, segment, setjoin, spans, terms
 from grainfold.plans.runtime import table
 
 #: Tokens of one container.
@@ -41,6 +41,25 @@ def p4_against_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.against_score(hits, weighted(spark, sf_dir), "concept_id", "hit_id", "question_id", "score").withColumn("weight", F.round("weight", 6))
 
 
+#: Texts with markup: table, key, text.
+MARKED = (("extracted_parts", "part_row", "part_text"), ("retrieved_concepts", "hit_id", "content_text"))
+
+
+def marked(spark: SparkSession, sf_dir: str, clean: bool) -> DataFrame:
+    found = [markup.apply(table(spark, sf_dir, name), key, text, clean).withColumnRenamed(key, "ref_id").withColumn("ref_table", F.lit(name)) for name, key, text in MARKED]
+    return found[0].union(found[1])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of markup in each text."""
+    return marked(spark, sf_dir, False).select("ref_table", "ref_id", "markup")
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without its markup, with headings, lists, tables, code and formulas kept."""
+    return marked(spark, sf_dir, True).select("ref_table", "ref_id", "clean_text", F.array_join("kinds", ",").alias("kinds"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts over 4,000 code points and how they must be cut."""
     return segment.oversized(p7_pieces(spark, sf_dir), "part_row")
@@ -78,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p4_weights": p4_weights,
         "p4_against_score": p4_against_score,
+        "p6_found": p6_found,
+        "p6_clean": p6_clean,
         "p7_found": p7_found,
         "p7_pieces": p7_pieces,
         "p8_ids": p8_ids,
