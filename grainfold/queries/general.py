@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.operators import orphans
+from grainfold.operators import instants, orphans
+from grainfold.functions.paths import trimmed
 from grainfold.plans.runtime import table
 
 
@@ -33,8 +34,25 @@ def p2_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(missed, ["ref_table", "month"], "left").select("ref_table", "month", "n_references", F.coalesce("n_orphans", F.lit(0)).cast("bigint").alias("n_orphans"))
 
 
+#: Columns with timestamps: table, key, column.
+STAMPED = (("concepts", "row_id", "fm_timestamp"), ("source_entries", "entry_id", "last_modified"), ("actor_events", "event_id", "event_at"))
+
+
+def p5_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recorded timestamp with its instant, or why it has none."""
+    values = [table(spark, sf_dir, t).select(F.lit(t).alias("ref_table"), F.col(key).alias("ref_id"), F.col("bundle_id").alias("source"), F.col(c).alias("value")) for t, key, c in STAMPED]
+    bundles = table(spark, sf_dir, "bundles").select(F.col("bundle_id").alias("source"), F.col("tz_name").alias("zone"), "date_order")
+    return instants.instants(values[0].union(values[1]).union(values[2]), bundles)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instant of every value that isn't written in the one plain form."""
+    plain = trimmed(F.col("value")).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$")
+    return p5_instants(spark, sf_dir).where((F.col("status") == "resolved") & ~plain).select("ref_table", "ref_id", "utc_us")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_by_month": p2_by_month}
+    return {"p2_found": p2_found, "p2_by_month": p2_by_month, "p5_found": p5_found, "p5_instants": p5_instants}
 
 
 REFERENCES = r"""
