@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.operators import instants, orphans
+from grainfold.operators import drift, instants, orphans
 from grainfold.functions.paths import trimmed
 from grainfold.plans.runtime import table
 
@@ -34,6 +34,17 @@ def p2_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(missed, ["ref_table", "month"], "left").select("ref_table", "month", "n_references", F.coalesce("n_orphans", F.lit(0)).cast("bigint").alias("n_orphans"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of layout between consecutive files of each feed."""
+    return drift.changes(table(spark, sf_dir, "frontmatter_raw"))
+
+
+def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records in the latest layout of their feed."""
+    raw = table(spark, sf_dir, "frontmatter_raw")
+    return drift.unified(raw, drift.changes(raw))
+
+
 #: Columns with timestamps: table, key, column.
 STAMPED = (("concepts", "row_id", "fm_timestamp"), ("source_entries", "entry_id", "last_modified"), ("actor_events", "event_id", "event_at"))
 
@@ -52,7 +63,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_by_month": p2_by_month, "p5_found": p5_found, "p5_instants": p5_instants}
+    return {"p2_found": p2_found, "p2_by_month": p2_by_month, "p3_found": p3_found, "p3_table": p3_table, "p5_found": p5_found, "p5_instants": p5_instants}
 
 
 REFERENCES = r"""
