@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainfold.queries import general
+from grainfold.queries import general, intake, wiki
 
 
-MODULES = [general]
+MODULES = [wiki, intake, general]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
