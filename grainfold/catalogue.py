@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainfold.queries import general, intake, wiki
+from grainfold.queries import documents, general, intake, wiki
 
 
-MODULES = [wiki, intake, general]
+MODULES = [wiki, intake, documents, general]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
