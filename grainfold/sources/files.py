@@ -64,7 +64,7 @@ def read_files(files: DataFrame, path: str = "absolute_path") -> DataFrame:
 
 
 def read_texts(files: DataFrame) -> DataFrame:
-    return read_files(files).withColumn("content", F.decode("data", F.lit("UTF-8"))).drop("data")
+    return read_files(files).withColumn("content", F.decode("data", "UTF-8")).drop("data")
 
 
 IMAGE = pa.struct([("name", pa.string()), ("media", pa.string()), ("data", pa.binary()), ("location", pa.string()), ("context", pa.string())])
