@@ -5,7 +5,8 @@ its randomly chosen tokens: a record goes to the child of token j, if the random
 is under 1 / (RHO * size of the record), which doesn't depend on the other records. So two similar
 records go on together along at least one path with good probability, and dissimilar ones part soon.
 Nodes of at most ``BRUTE`` records are compared pair by pair, first by 64-bit bitmaps whose
-difference never exceeds that of the sets, then exactly. Nodes over ``LOCAL`` records, such as that of
+difference never exceeds that of the sets, then exactly. Records that overlap their whole node by ``DENSE`` on average would stay together however far it splits;
+they are compared with the rest of the node at once and leave it. Nodes over ``LOCAL`` records, such as that of
 a token which a third of all records have, are split further over the cluster until none is left;
 the others are split on in the memory of one task. Pairs are checked once more on the values.
 
@@ -30,7 +31,7 @@ from grainfold.plans.runtime import cut, spread
 
 #: Trees, and the rate of branching: at a Jaccard similarity of 0.7 these find more than 99 of 100 pairs (README).
 TREES, RHO = 14, 0.6
-BRUTE, LOCAL, DEEPEST = 48, 200_000, 24
+BRUTE, LOCAL, DEEPEST, ROUNDS, DENSE = 48, 200_000, 24, 8, 0.5
 U = np.uint64
 
 
@@ -99,7 +100,31 @@ def split_once(roots: bool):
     return run
 
 
-def pairs_within(node: np.ndarray, limit: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def overlap(node: np.ndarray, first: np.ndarray, size: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Mean share of its tokens that each row has in common with the others of its node; ``node`` is sorted."""
+    row = np.repeat(np.arange(len(node)), size)
+    end = np.cumsum(size)
+    token = tokens[np.repeat(first - (end - size), size) + np.arange(len(row))]
+    _, place, count = np.unique(mix(node[row] ^ mix(token)), return_inverse=True, return_counts=True)
+    common = np.bincount(row, weights=count[place] - 1, minlength=len(node))
+    edge = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    n = np.diff(np.append(edge, len(node)))
+    return common / (size * np.repeat(np.maximum(n - 1, 1), n))
+
+
+def pairs_with(node: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of pairs of each chosen row with all rows of its node; ``node`` is sorted."""
+    edge = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    n = np.diff(np.append(edge, len(node)))
+    begin, many = np.repeat(edge, n)[chosen], np.repeat(n, n)[chosen]
+    step = max(1, 2_000_000 // int(many.max(initial=1)))
+    for k in range(0, len(chosen), step):
+        m = many[k : k + step]
+        end = np.cumsum(m)
+        yield np.repeat(chosen[k : k + step], m), np.repeat(begin[k : k + step] - (end - m), m) + np.arange(int(end[-1]))
+
+
+def pairs_within(node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of index pairs (i, j), i < j, that have the same value in the sorted ``node``."""
     edge = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
     count = np.diff(np.append(edge, len(node)))
@@ -151,20 +176,27 @@ def solve(threshold: float):
         table[np.arange(width) < size[:, None]] = tokens
         bits = np.bitwise_or.reduceat(U(1) << (tokens >> U(58)), first)
         found: list[np.ndarray] = []
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            a, b = similar(i, j, table, size, bits, threshold)
+            pair = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+            found.append(np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0))
+
         for depth in range(DEEPEST):
             order = np.argsort(node, kind="stable")
             node, record = node[order], record[order]
             edge = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
             count = np.diff(np.append(edge, len(node)))
             small = np.repeat(count <= (BRUTE if depth < DEEPEST - 1 else len(node)), count)
-            for i, j in pairs_within(node[small], None):
-                a, b = similar(record[small][i], record[small][j], table, size, bits, threshold)
-                if len(a):
-                    pair = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
-                    found.append(np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0))
+            for i, j in pairs_within(node[small]):
+                keep(record[small][i], record[small][j])
             node, record = node[~small], record[~small]
             if not len(node):
                 break
+            dense = overlap(node, first[record], size[record], tokens) >= DENSE
+            for i, j in pairs_with(node, np.flatnonzero(dense)):
+                keep(record[i], record[j])
+            node, record = node[~dense], record[~dense]
             row, child = children(node, first[record], size[record], tokens)
             node, record = child, record[row]
         if found:
@@ -184,7 +216,7 @@ def similar_sets(df: DataFrame, key: str, values: str, threshold: float, least:
     schema = "node bigint, k bigint, tokens array<bigint>"
     open_ = cut(rows.mapInArrow(split_once(True), schema))
     ready = []
-    for _ in range(DEEPEST):
+    for _ in range(ROUNDS):
         big = open_.groupBy("node").count().where(F.col("count") > LOCAL).select("node")
         if big.isEmpty():
             break
