@@ -20,7 +20,9 @@ def unbracketed(c: Column) -> Column:
 
 def percent_decoded(c: Column) -> Column:
     """As written where the percent signs aren't well-formed; '+' stays."""
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    decoded = F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    broken = F.contains(decoded, F.lit("\ufffd")) & ~F.contains(c, F.lit("\ufffd"))
+    return F.when(decoded.isNull() | broken, c).otherwise(decoded)
 
 
 def before_first(c: Column, sign: str) -> Column:

@@ -14,7 +14,7 @@ def one(spark, expression, **values):
 @pytest.mark.parametrize(
     ("target", "directory", "concept"),
     [
-        ("/a/b.md", "x", "a/b"), ("b.md", "a", "a/b"), ("../b.md", "a/c", "a/b"), ("/wiki/a/b.md", "", "a/b"), ("<a b.md>", "", "a b"), (" <../b.md> ", "a", "b"), ("b.md#part", "a", "a/b"), ("b.md?x=1#y", "a", "a/b"), ("b%20c.md", "a", "a/b c"), ("a+b.md", "", "a+b"), ("b%zz.md", "a", "a/b%zz"),
+        ("/a/b.md", "x", "a/b"), ("b.md", "a", "a/b"), ("../b.md", "a/c", "a/b"), ("/wiki/a/b.md", "", "a/b"), ("<a b.md>", "", "a b"), (" <../b.md> ", "a", "b"), ("b.md#part", "a", "a/b"), ("b.md?x=1#y", "a", "a/b"), ("b%20c.md", "a", "a/b c"), ("a+b.md", "", "a+b"), ("b%zz.md", "a", "a/b%zz"), ("b%FF.md", "a", "a/b%FF"),
         ("https://x.invalid/a.md", "a", None), ("mailto:x", "", None), ("../../b.md", "a", None), ("b.txt", "a", None), ("", "a", None), ("#x", "a", None), (None, "a", None), ("./a//b.md", "", "a/b"),
     ],
 )
