@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.functions.paths import trimmed
+from grainfold.plans.runtime import once
 
 CERTAIN, ROUNDS, DECLARED = 0.9, 50, 1e6
 
@@ -52,11 +53,6 @@ ORDERS = ("dmy", "mdy")
 NAMES = [f[0] for f in FORMATS if f[0] != "slashes"] + list(ORDERS)
 
 
-def once(df: DataFrame, name: str, c: Column) -> DataFrame:
-    """``df`` with a column that is computed once a row, however often it is used (the optimizer doesn't merge through a generator)."""
-    return df.select("*", F.explode(F.array(c)).alias(name))
-
-
 def month_number(c: Column) -> Column:
     """From digits, a name or its first three letters."""
     table = {m[:3]: k for k, m in enumerate(MONTHS, 1)} | {m: k for k, m in enumerate(MONTHS, 1)} | {"sept": 9}

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.functions import paths
-from grainfold.plans.runtime import cut
+from grainfold.plans.runtime import cut, once
 
 WIDTH = 24
 
@@ -119,9 +119,8 @@ def references(concepts: DataFrame, links: DataFrame, sources: DataFrame) -> Dat
     linked = links.select(F.lit("incoming_links"), F.col("link_id"), F.lit(0), F.col("to_concept_id"), F.col("from_concept_id"), F.col("seen_at"))
     used = sources.select(F.lit("source_entries"), F.col("entry_id"), F.lit(0), F.col("resource"), F.col("concept_id"), F.col("recorded_at"))
     every = items.union(linked).union(used)
-    bare = every.withColumn("value", paths.unbracketed(paths.trimmed(F.col("value")))).where((paths.trimmed(F.col("value")) != "") & ~F.col("value").rlike("^[A-Za-z]+:"))
-    path = paths.link_path(F.col("value"), paths.directory(F.coalesce("origin", F.lit(""))))
-    placed = bare.withColumn("path", path)
+    bare = once(every.where("value is not null").withColumnRenamed("value", "raw"), "value", paths.unbracketed(paths.trimmed(F.col("raw")))).where((paths.trimmed(F.col("value")) != "") & ~F.col("value").rlike("^[A-Za-z]+:"))
+    placed = once(bare, "path", paths.link_path(F.col("value"), paths.directory(F.coalesce("origin", F.lit("")))))
     concept = F.concat(F.lit("c:"), F.regexp_replace("path", r"\.md$", ""))
     is_page = F.coalesce(F.endswith("path", F.lit(".md")), F.lit(False))
     # Whether a value that leaves the root names a page is seen by its own end.
