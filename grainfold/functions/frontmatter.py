@@ -16,10 +16,12 @@ import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainfold.plans.runtime import spread
+
 FENCE = "---"
 
 
-class Core(yaml.SafeLoader):
+class Core(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
     """Loader of the YAML 1.2 core schema."""
 
 
@@ -167,4 +169,4 @@ def parse_documents(df: DataFrame, key: str, content: str) -> DataFrame:
                 bodies.append(body)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, TYPED), pa.array(bodies, pa.string())], names=["key", "frontmatter", "body"])
 
-    return df.select(F.col(key), F.col(content)).mapInArrow(run, f"key {kind}, frontmatter {DDL}, body string").withColumnRenamed("key", key)
+    return spread(df.select(F.col(key), F.col(content))).mapInArrow(run, f"key {kind}, frontmatter {DDL}, body string").withColumnRenamed("key", key)
