@@ -74,7 +74,8 @@ PATTERNS = {
 LINES = ("fence", "brace_table", "pipe_table", "heading", "wiki_heading", "underlined", "definition")
 SCAN = re.compile("^(?:" + "|".join(f"(?P<{k}>{PATTERNS[k]})" for k in LINES) + r")|(?=[<&\\$`{!\[*_'])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k not in LINES) + ")", re.M)
 INNER = {"fence": "fence_in", "html_comment": "comment_in", "html_code": "hc_in", "closed_environment": "ce_in", "environment": "en_in", "brace_table": "bt_in", "pipe_table": "pt_in", "heading": "h_in", "wiki_heading": "wh_in", "underlined": "u_in", "code_span": "cs_in", "command": "c_in", "template": "t_in", "wiki_link": "wl_in", "link": "l_in", "quotes": "q_in", "strong": "s_in", "emphasis": "e_in"}
-LINE_STARTS = re.compile(r"[<&\\$`{\[*_']|^[ \t]{0,3}[#=~|]|\n[ ]{0,3}[=-]|\|")
+#: What every stretch that SCAN finds holds.
+LINE_STARTS = re.compile(r"[<&\\$`{\[*_']|^[ \t]{0,3}[#=~|]|\n[ ]{0,3}[=-]|\|", re.M)
 
 
 @dataclass

@@ -171,6 +171,19 @@ def test_kinds(text, want):
     assert kinds(text) == want
 
 
+@pytest.mark.parametrize("text", ["Veldaine delays the chart,\n\n## Slide 39\n\nWithout a late part", "text\n~~~\na # b\n~~~\n", "one\ntwo\n   # Three\nfour"])
+def test_kinds_of_a_later_line_alone(text):
+    assert kinds(text) == {"markdown"}
+
+
+def test_scan_finds_nothing_that_the_gate_hides():
+    rng = random.Random(11)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab \n\n\t#=~-|:`{}[]<>*_'$&\\!;x1") for _ in range(rng.randint(1, 24)))
+        if not markup.LINE_STARTS.search(text):
+            assert not any(m.group() for m in markup.SCAN.finditer(text)), repr(text)
+
+
 def test_clean_text():
     text = "<h2>Title</h2><p>A &amp; B</p><ul><li>x</li><li>y</li></ul>\r\n\r\n\r\n[[p|label]] **bold** $x^2$\n\\section{Part}\n```\n<b>**k**</b>\n```\n<!-- no -->"
     out = markup.cleaned(text, markup.parsed(text, MODEL))
