@@ -4,8 +4,14 @@ Every record is flattened to its paths with their JSON types and values. The sch
 tree of paths; between a file and the one before it, a tree edit script of least cost turns the old
 tree into the new one: keeping a node is free, changing its types costs 1, renaming it costs 1 and
 needs equal values as evidence, removing or adding a subtree costs its number of nodes. Children are
-matched under matched parents only, level by level, by a minimum-cost assignment. The scripts of all
-files compile into a projection that maps each path to its latest name, applied to every record.
+matched under matched parents only, level by level, by a minimum-cost assignment. The scripts of all files
+compile into a projection that carries each record through the later renames of its feed.
+
+The table has one form for all feeds: a place is the names down to it, and a place has one type in
+every record. Where some values are arrays, all become arrays (nested as deep as the deepest); where
+some are objects, every other value becomes an object that holds it in one member, the one of which
+the values agree most often with the plain ones of the same concept, or ``value`` where none do; other
+mixed places become strings. Nothing is left out by this.
 
 Defined cases: lines that are no JSON, or no JSON object, are ignored; a file of which no line is
 left has an empty schema. Null members count as absent. Names are case-sensitive. Of members named
@@ -147,17 +153,8 @@ def assignment(cost: list[list[float]]) -> list[int]:
     return [match[j] - 1 for j in range(1, n + 1)]
 
 
-def edit_script(old: Tree, new: Tree, evidence: set[tuple[str, str]], a: str = "", b: str = "") -> list[tuple[str, str, str]]:
-    """(path, kind, new path) of the cheapest script below the matched nodes a and b; nothing below a reported path."""
-    out = []
-    left, right = old[a][1], new[b][1]
-    both = set(left) & set(right)
-    for p in sorted(both):
-        if old[p][0] != new[p][0]:
-            out.append((p, "retyped", ""))
-        else:
-            out += edit_script(old, new, evidence, p, p)
-    gone, come = [p for p in left if p not in both], [p for p in right if p not in both]
+def matching(old: Tree, new: Tree, gone: list[str], come: list[str], evidence: set[tuple[str, str]]) -> dict[str, str]:
+    """Which paths of ``gone`` live on as one of ``come``, so that the whole costs least."""
     matched: dict[str, str] = {}
     if gone and come and any((p, q) in evidence for p in gone for q in come):
         n = len(gone) + len(come)
@@ -178,6 +175,21 @@ def edit_script(old: Tree, new: Tree, evidence: set[tuple[str, str]], a: str = "
         for j, i in enumerate(assignment(cost)):
             if j < len(come) and i < len(gone) and cost[i][j] == 1.0:
                 matched[gone[i]] = come[j]
+    return matched
+
+
+def edit_script(old: Tree, new: Tree, evidence: set[tuple[str, str]], a: str = "", b: str = "") -> list[tuple[str, str, str]]:
+    """(path, kind, new path) of the cheapest script below the matched nodes a and b; nothing below a reported path."""
+    out = []
+    left, right = old[a][1], new[b][1]
+    both = set(left) & set(right)
+    for p in sorted(both):
+        if old[p][0] != new[p][0]:
+            out.append((p, "retyped", ""))
+        else:
+            out += edit_script(old, new, evidence, p, p)
+    gone, come = [p for p in left if p not in both], [p for p in right if p not in both]
+    matched = matching(old, new, gone, come, evidence)
     out += [(p, "renamed", matched[p]) if p in matched else (p, "removed", "") for p in gone]
     return out + [(q, "added", "") for q in come if q not in matched.values()]
 
@@ -233,44 +245,138 @@ def changes(df: DataFrame) -> DataFrame:
 
 
 def renamed_record(v: object, path: str, names: dict[str, str]) -> object:
-    """The value with its members under their latest names."""
+    """The value with its members under their new names; a member whose new name is taken keeps its own."""
     if isinstance(v, dict):
         out = {}
         for k, x in v.items():
             if x is not None:
                 p = f"{path}.{k}" if path else k
-                out[names.get(p, p).rpartition(".")[2]] = renamed_record(x, p, names)
+                name = names[p].removeprefix(f"{parent_of(p)}.") if p in names else k
+                out[k if name != k and v.get(name) is not None else name] = renamed_record(x, p, names)
         return out
     return [renamed_record(x, f"{path}[]", names) for x in v] if isinstance(v, list) else v
 
 
-def coerced(v: object, kind: str) -> object:
-    """The value as the type that the field has most lately; as it is where that isn't possible."""
-    have = type_of(v)
-    if have == kind:
-        return v
-    if have == "string" and kind in ("object", "array", "number", "boolean"):
-        try:
-            inner = json.loads(v, parse_constant=refuse)
-        except (ValueError, RecursionError):
-            inner = None
-        if type_of(inner) == kind:
-            return inner
-    if kind == "string":
-        return v if have == "string" else json.dumps(v, sort_keys=True, ensure_ascii=False)
-    return [v] if kind == "array" else v
-
-
-def unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Apply each file's compiled projection to its records."""
+def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Carry each record through what the later files of its feed renamed."""
     for batch in batches:
         rows = []
-        for raw_id, feed, file, line, names, kinds in zip(*(c.to_pylist() for c in batch.columns)):
+        for raw_id, feed, file, line, edits in zip(*(c.to_pylist() for c in batch.columns)):
             record = load(line)
             if record is None:
                 continue
-            now = renamed_record(record, "", {x["path"]: x["name"] for x in names or []})
-            now = {k: coerced(v, dict((x["path"], x["kind"]) for x in kinds or []).get(k, type_of(v))) for k, v in now.items()}
+            later: dict[int, list] = {}
+            for e in edits or []:
+                if file is not None and e["file_no"] > file:
+                    later.setdefault(e["file_no"], []).append(e)
+            record = renamed_record(record, "", {})
+            for n in sorted(later):
+                record = renamed_record(record, "", {e["field_path"]: e["new_path"] for e in later[n]})
+            rows.append((raw_id, feed, file, json.dumps(record, ensure_ascii=False)))
+        cols = list(zip(*rows)) or [[]] * 4
+        types = [batch.schema.types[0], pa.string(), pa.int32(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["raw_id", "feed", "file", "line"])
+
+
+def places(v: object, place: tuple[str, ...], depth: int, out: dict[tuple[str, ...], list]) -> None:
+    """Of every place below: type bits without arrays, depth of arrays, plain values."""
+    t = type_of(v)
+    if t is None:
+        return
+    found = out.setdefault(place, [0, 0, set()])
+    if t == "array":
+        found[1] = max(found[1], depth + 1)
+        for x in v:
+            places(x, place, depth + 1, out)
+        return
+    found[0] |= TYPE_BITS[t]
+    if t == "object":
+        for k, x in v.items():
+            places(x, (*place, k), 0, out)
+    else:
+        found[2].add(json.dumps(plain(v), ensure_ascii=False))
+
+
+def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feed, concept, top, place, above, member, types, depth, values) of every place of every record; place and above are JSON arrays of names."""
+    for batch in batches:
+        rows = []
+        for feed, line in zip(*(c.to_pylist() for c in batch.columns)):
+            record = json.loads(line)
+            found: dict[tuple[str, ...], list] = {}
+            for k, x in record.items():
+                places(x, (k,), 0, found)
+            concept = json.dumps(record.get("concept"), sort_keys=True)
+            rows += [(feed, concept, p[0], json.dumps(p), json.dumps(p[:-1]), p[-1], bits, depth, sorted(values)) for p, (bits, depth, values) in found.items()]
+        cols = list(zip(*rows)) or [[]] * 9
+        types = [pa.string()] * 6 + [pa.int32(), pa.int32(), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["feed", "concept", "top", "place", "above", "member", "types", "depth", "values"])
+
+
+PLAIN = TYPE_BITS["string"] | TYPE_BITS["number"] | TYPE_BITS["boolean"]
+
+
+def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(top, form) of each top-level field: the form of every place below it, as JSON [place, [kind, depth, member]]."""
+    for batch in batches:
+        rows = []
+        for top, found in zip(*(c.to_pylist() for c in batch.columns)):
+            bits = {tuple(json.loads(x["place"])): x["types"] for x in found}
+            depth = {tuple(json.loads(x["place"])): x["depth"] for x in found}
+            member = {tuple(json.loads(x["place"])): x["member"] or "value" for x in found}
+            form, open_ = [], sorted(bits, key=len, reverse=True)
+            while open_:
+                p = open_.pop()
+                b = bits[p]
+                if b & TYPE_BITS["object"]:
+                    kind = "object"
+                    if b & PLAIN:
+                        m = (*p, member[p])
+                        if m not in bits:
+                            # It stands below p, so it is looked at later.
+                            bits[m], depth[m], member[m] = 0, 0, "value"
+                            open_.append(m)
+                            open_.sort(key=len, reverse=True)
+                        bits[m] |= b & PLAIN
+                else:
+                    kind = next((k for k, bit in TYPE_BITS.items() if b == bit), "string")
+                form.append([p, [kind, depth[p], member.get(p, "value")]])
+            rows.append((top, json.dumps(form)))
+        cols = list(zip(*rows)) or [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["top", "form"])
+
+
+def formed(v: object, place: tuple[str, ...], form: dict[tuple[str, ...], list], depth: int | None = None) -> object:
+    """The value in the form of its place."""
+    if v is None:
+        return None
+    kind, deep, member = form[place]
+    depth = deep if depth is None else depth
+    if isinstance(v, list):
+        return [formed(x, place, form, depth - 1) for x in v]
+    if depth:
+        return [formed(v, place, form, depth - 1)]
+    if isinstance(v, dict):
+        return {k: formed(x, (*place, k), form) for k, x in v.items() if x is not None}
+    if kind == "object":
+        return {member: formed(v, (*place, member), form)}
+    return json.dumps(v) if kind == "string" and not isinstance(v, str) else v
+
+
+def unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bring each projected record into the form of the table."""
+    known: dict[str, dict] = {}
+    for batch in batches:
+        rows = []
+        for raw_id, feed, file, line, given in zip(*(c.to_pylist() for c in batch.columns)):
+            form: dict[tuple[str, ...], list] = {}
+            for one in given or []:
+                if one not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    known[one] = {tuple(p): f for p, f in json.loads(one)}
+                form |= known[one]
+            now = {k: formed(v, (k,), form) for k, v in json.loads(line).items() if v is not None}
             concept = now.get("concept")
             rows.append((raw_id, feed, file, concept if isinstance(concept, str) or concept is None else json.dumps(concept), json.dumps(now, sort_keys=True, ensure_ascii=False)))
         cols = list(zip(*rows)) or [[]] * 5
@@ -278,37 +384,25 @@ def unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["raw_id", "feed_id", "file_no", "concept", "record"])
 
 
-def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feed, file, names) from (feed, files, renames): each file's paths with the names they have in the last file."""
-    for batch in batches:
-        rows = []
-        for feed, files, renames in zip(*(c.to_pylist() for c in batch.columns)):
-            latest: dict[str, str] = {}
-            by_file: dict[int, list] = {}
-            for r in renames or []:
-                by_file.setdefault(r["file_no"], []).append((r["field_path"], r["new_path"]))
-            for file in sorted(files, reverse=True):
-                rows.append((feed, file, [{"path": p, "name": q} for p, q in latest.items()]))
-                # What this file renamed applies to the files before it.
-                step = {p: latest.get(q, q) for p, q in by_file.get(file, [])}
-                latest = {p: q for p, q in latest.items() if p not in {x for _, x in by_file.get(file, [])}} | step
-        cols = list(zip(*rows)) or [[]] * 3
-        kind = pa.list_(pa.struct([("path", pa.string()), ("name", pa.string())]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int32(), kind])], names=["feed", "file", "names"])
-
-
 def unified(df: DataFrame, edits: DataFrame) -> DataFrame:
-    """(raw_id, feed_id, file_no, concept, record): every record under the latest names and types of its feed, as canonical JSON."""
-    raw = records(df.select("feed_id", "file_no", "raw_json")).where(F.col("feed").isNotNull() & F.col("file").isNotNull())
-    files = raw.select("feed", "file").distinct().groupBy("feed").agg(F.collect_list("file").alias("files"))
-    renames = edits.where("change_kind = 'renamed'").groupBy(F.col("feed_id").alias("feed")).agg(F.collect_list(F.struct("file_no", "field_path", "new_path")).alias("renames"))
-    names = files.join(renames, "feed", "left").mapInArrow(compiled, "feed string, file int, names array<struct<path:string,name:string>>")
-    # The latest single type of each top-level field of a feed.
-    flat = spread(raw).mapInArrow(paths_of, "feed string, file int, concept string, path string, types int, value string").where(~F.col("path").rlike(r"[.\[]"))
-    per = flat.groupBy("feed", "file", "path").agg(F.bit_or("types").alias("types"))
-    kinds = F.create_map(*[F.lit(x) for k, v in TYPE_BITS.items() for x in (v, k)])
-    last = per.groupBy("feed", "path").agg(F.max_by("types", "file").alias("types")).select("feed", "path", F.try_element_at(kinds, F.col("types")).alias("kind")).where(F.col("kind").isNotNull())
-    last = last.groupBy("feed").agg(F.collect_list(F.struct("path", "kind")).alias("kinds"))
-    rows = df.select("raw_id", F.col("feed_id").cast("string").alias("feed"), F.col("file_no").cast("int").alias("file"), F.col("raw_json").cast("string").alias("line"))
-    joined = rows.join(names, ["feed", "file"], "left").join(last, "feed", "left").select("raw_id", "feed", "file", "line", "names", "kinds")
-    return joined.mapInArrow(unify, f"raw_id {df.schema['raw_id'].dataType.simpleString()}, feed_id string, file_no int, concept string, record string")
+    """(raw_id, feed_id, file_no, concept, record): every record under the latest names of its feed and in one form for all, as canonical JSON."""
+    kind = df.schema["raw_id"].dataType.simpleString()
+    edits = edits.where("change_kind = 'renamed'").groupBy(F.col("feed_id").alias("feed")).agg(F.collect_list(F.struct("file_no", "field_path", "new_path")).alias("edits"))
+    rows = spread(df.select("raw_id", F.col("feed_id").cast("string").alias("feed"), F.col("file_no").cast("int").alias("file"), F.col("raw_json").cast("string").alias("line")))
+    # Written once, as the forms and the result both read it.
+    lines = cut(rows.join(edits, "feed", "left").select("raw_id", "feed", "file", "line", "edits").mapInArrow(projected, f"raw_id {kind}, feed string, file int, line string"))
+    flat = cut(lines.select("feed", "line").mapInArrow(places_of, "feed string, concept string, top string, place string, above string, member string, types int, depth int, values array<string>"))
+    seen = flat.groupBy("top", "place").agg(F.bit_or("types").alias("types"), F.max("depth").alias("depth"))
+    # The member that plain values belong into where others are objects.
+    mixed = seen.where(F.col("types").bitwiseAND(PLAIN) > 0).where(F.col("types").bitwiseAND(TYPE_BITS["object"]) > 0).select("place")
+    named = flat.where(F.col("concept") != "null").select("feed", "concept", "place", "above", "member", F.explode("values").alias("value"))
+    loose = named.join(mixed, "place", "left_semi").select("feed", "concept", "place", "value").distinct()
+    held = named.select("feed", "concept", F.col("above").alias("place"), "member", "value").join(mixed, "place", "left_semi").distinct()
+    votes = loose.join(held, ["feed", "concept", "place", "value"]).groupBy("place", "member").agg(F.count("*").alias("n"))
+    member = votes.groupBy("place").agg(F.min_by("member", F.struct(-F.col("n"), "member")).alias("member"))
+    form = seen.join(member, "place", "left").groupBy("top").agg(F.collect_list(F.struct("place", "types", "depth", "member")).alias("found"))
+    form = form.select("top", "found").mapInArrow(forms, "top string, form string")
+    # A feed gets the forms of the fields it has.
+    given = flat.select("feed", "top").distinct().join(form, "top").groupBy("feed").agg(F.collect_list("form").alias("given"))
+    joined = lines.join(given, lines["feed"].eqNullSafe(given["feed"]), "left").select("raw_id", lines["feed"], "file", "line", "given")
+    return joined.mapInArrow(unify, f"raw_id {kind}, feed_id string, file_no int, concept string, record string")

@@ -50,6 +50,28 @@ def test_schema_changes(spark):
     assert table[0]["new"] == ["a"] and table[0]["s"] == [{"id": "a", "N": 1}] and "old" not in table[0]
 
 
+def tabled(spark, rows, **options):
+    df = spark.createDataFrame([(i, f, n, json.dumps(x)) for i, (f, n, x) in enumerate(rows)], "raw_id bigint, feed_id string, file_no int, raw_json string")
+    return {r.raw_id: json.loads(r.record) for r in drift.unified(df, drift.changes(df, **options)).collect()}
+
+
+def test_table_has_one_form_at_every_depth(spark):
+    rows = [("f", 1, {"concept": c, "sources": [f"/{c}"], "at": {"when": 5}, "status": "x", "by": "me"}) for c in "ab"]
+    rows += [("f", 2, {"concept": c, "sources": [{"id": "s0", "href": f"/{c}"}, f"/{c}{c}"], "at": {"when": "5 May"}, "status": True, "by": "me"}) for c in "ab"]
+    rows += [("g", 1, {"concept": "z", "sources": "/z", "status": [["y"], "v"], "by": {"name": "me", "more": {"n": 1}}}), ("g", 1, {"concept": "y", "sources": [], "by": {"more": 2}})]
+    table = tabled(spark, rows)
+    assert table[0] == {"concept": "a", "sources": [{"href": "/a"}], "at": {"when": "5"}, "status": [["x"]], "by": {"value": "me"}}
+    assert table[2] == {"concept": "a", "sources": [{"id": "s0", "href": "/a"}, {"href": "/aa"}], "at": {"when": "5 May"}, "status": [["true"]], "by": {"value": "me"}}
+    assert table[4] == {"concept": "z", "sources": [{"href": "/z"}], "status": [["y"], ["v"]], "by": {"name": "me", "more": {"n": 1}}}
+    assert table[5] == {"concept": "y", "sources": [], "by": {"more": {"value": 2}}}
+
+
+def test_table_keeps_what_a_rename_meets(spark):
+    rows = [("f", 1, {"concept": c, "a": {"x": c}, "q": 7}) for c in "ab"] + [("f", 2, {"concept": c, "b": {"x": c}, "p": 7}) for c in "ab"]
+    rows += [("f", 3, {"concept": c, "b": {"y": c}, "p": 7}) for c in "ab"] + [("f", 4, {"concept": c, "b": {"y": c}, "q": 7}) for c in "ab"]
+    assert all(r == {"concept": r["concept"], "b": {"y": r["concept"]}, "q": 7} for r in tabled(spark, rows).values())
+
+
 def test_schema_changes_of_nothing(spark):
     assert changes(spark, [])[0] == set()
 
