@@ -4,8 +4,10 @@ Every record is flattened to its paths with their JSON types and values. The sch
 tree of paths; between a file and the one before it, a tree edit script of least cost turns the old
 tree into the new one: keeping a node is free, changing its types costs 1, renaming it costs 1 and
 needs equal values as evidence, removing or adding a subtree costs its number of nodes. Children are
-matched under matched parents only, level by level, by a minimum-cost assignment. The scripts of all files
-compile into a projection that carries each record through the later renames of its feed.
+matched under matched parents only, level by level, by a minimum-cost assignment. For the projection
+the script also has moves to another parent, on the same evidence and at the cost of a rename; the
+listed changes report those as removed and added. The scripts of all files compile into a projection
+that carries each record through the later renames and moves of its feed.
 
 The table has one form for all feeds: a place is the names down to it, and a place has one type in
 every record. Where some values are arrays, all become arrays (nested as deep as the deepest); where
@@ -194,25 +196,71 @@ def edit_script(old: Tree, new: Tree, evidence: set[tuple[str, str]], a: str = "
     return out + [(q, "added", "") for q in come if q not in matched.values()]
 
 
-def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feed, file, before, path, new_path): a path that goes and one of the same types that comes under the same parent."""
+def below(path: str, above: str) -> bool:
+    return path == above or path.startswith((f"{above}.", f"{above}[]"))
+
+
+def arrays_of(path: str) -> str:
+    """The path down to the innermost array element it stands in."""
+    return path[: path.rfind("[]") + 2] if "[]" in path else ""
+
+
+def moves(old: Tree, new: Tree, evidence: set[tuple[str, str]], renames: list[tuple[str, str]]) -> list[tuple[str, str, str]]:
+    """(path once the renames are done, 'moved', new path) of what goes on under another parent, outermost first."""
+
+    def now_at(p: str) -> str:
+        return next((q + p[len(r) :] for r, q in renames if below(p, r)), p)
+
+    kept = {now_at(p) for p in old}
+    # Of a pair only one end may be free: an element is no place of its own, and what has gone on elsewhere stays there.
+    gone = [p for p in old if p and now_at(p) not in new and any(p == a for a, _ in evidence)]
+    come = [q for q in new if q and q not in kept and any(q == b for _, b in evidence)]
+    fits = {(p, q) for p, q in evidence if arrays_of(now_at(p)) == arrays_of(q) and not q.endswith("[]")}
+    out: list[tuple[str, str, str]] = []
+    for p, q in sorted(matching(old, new, gone, come, fits).items()):
+        if not any(below(now_at(p), a) or below(q, b) for a, _, b in out):
+            out.append((now_at(p), "moved", q))
+    return out
+
+
+def candidates(moving: bool):
+    """(feed, file, before, path, new_path): a path that goes and one of the same types that comes, under the same parent or, if ``moving``, any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return candidate_rows(batches, moving)
+
+    return run
+
+
+def candidate_rows(batches: Iterator[pa.RecordBatch], moving: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for feed, file, before, old, new in zip(*(c.to_pylist() for c in batch.columns)):
             was, now = ({x["path"]: x["types"] for x in s or []} for s in (old, new))
             came = [q for q in now if q not in was]
-            rows += [(feed, file, before, p, q) for p in was if p not in now for q in came if parent_of(p) == parent_of(q) and was[p] == now[q] and p[-2:] != "[]"]
+            rows += [(feed, file, before, p, q) for p in was if p not in now for q in came if (moving or parent_of(p) == parent_of(q)) and was[p] == now[q] and p[-2:] != "[]"]
         cols = list(zip(*rows)) or [[]] * 5
         types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["feed", "file", "before", "path", "new_path"])
 
 
-def scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def scripts(moving: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return script_rows(batches, moving)
+
+    return run
+
+
+def script_rows(batches: Iterator[pa.RecordBatch], moving: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for feed, file, old, new, proof in zip(*(c.to_pylist() for c in batch.columns)):
             was, now = (tree_of([(x["path"], x["types"]) for x in s or []]) for s in (old, new))
-            rows += [(feed, file, *edit) for edit in edit_script(was, now, {(x["path"], x["new_path"]) for x in proof or []})]
+            evidence = {(x["path"], x["new_path"]) for x in proof or []}
+            edits = edit_script(was, now, {(p, q) for p, q in evidence if parent_of(p) == parent_of(q)})
+            if moving:
+                edits += moves(was, now, evidence, [(p, q) for p, kind, q in edits if kind == "renamed"])
+            rows += [(feed, file, *edit) for edit in edits]
         cols = list(zip(*rows)) or [[]] * 5
         types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["feed_id", "file_no", "field_path", "change_kind", "new_path"])
@@ -223,8 +271,11 @@ def records(df: DataFrame) -> DataFrame:
     return df.select(F.col("feed_id").cast("string").alias("feed"), F.col("file_no").cast("int").alias("file"), F.col("raw_json").cast("string").alias("line"))
 
 
-def changes(df: DataFrame) -> DataFrame:
-    """(feed_id, file_no, field_path, change_kind, new_path) between each file of a feed and the one before it."""
+def changes(df: DataFrame, moving: bool = False) -> DataFrame:
+    """(feed_id, file_no, field_path, change_kind, new_path) between each file of a feed and the one before it.
+
+    With ``moving`` there are also rows of kind moved, besides the removal and the addition they stand for.
+    """
     raw = records(df).where(F.col("feed").isNotNull() & F.col("file").isNotNull())
     flat = cut(spread(raw).mapInArrow(paths_of, "feed string, file int, concept string, path string, types int, value string"))
     # One row a file; the number of its distinct paths is that of its layout.
@@ -233,7 +284,7 @@ def changes(df: DataFrame) -> DataFrame:
     files = raw.select("feed", "file").distinct().join(schemas, ["feed", "file"], "left")
     order = Window.partitionBy("feed").orderBy("file")
     pairs = cut(files.select("feed", "file", F.lag("file").over(order).alias("before"), F.lag("schema").over(order).alias("old"), F.col("schema").alias("new")).where(F.col("before").isNotNull()))
-    maybe = pairs.select("feed", "file", "before", "old", "new").mapInArrow(candidates, "feed string, file int, before int, path string, new_path string")
+    maybe = pairs.select("feed", "file", "before", "old", "new").mapInArrow(candidates(moving), "feed string, file int, before int, path string, new_path string")
     values = flat.where(F.col("concept").isNotNull()).select("feed", "file", "concept", "path", "value").groupBy("feed", "file", "concept", "path").agg(F.min("value").alias("value"))
     was = values.select("feed", F.col("file").alias("before"), "concept", "path", F.col("value").alias("old_value"))
     now = values.select("feed", "file", "concept", F.col("path").alias("new_path"), F.col("value").alias("new_value"))
@@ -241,7 +292,7 @@ def changes(df: DataFrame) -> DataFrame:
     proof = seen.groupBy("feed", "file", "path", "new_path").agg(F.count("*").alias("n"), F.bool_and(F.col("old_value") == F.col("new_value")).alias("alike")).where("n >= 2 and alike")
     proof = proof.groupBy("feed", "file").agg(F.collect_list(F.struct("path", "new_path")).alias("proof"))
     judged = pairs.join(proof, ["feed", "file"], "left").select("feed", "file", "old", "new", "proof")
-    return judged.mapInArrow(scripts, "feed_id string, file_no int, field_path string, change_kind string, new_path string")
+    return judged.mapInArrow(scripts(moving), "feed_id string, file_no int, field_path string, change_kind string, new_path string")
 
 
 def renamed_record(v: object, path: str, names: dict[str, str]) -> object:
@@ -257,8 +308,53 @@ def renamed_record(v: object, path: str, names: dict[str, str]) -> object:
     return [renamed_record(x, f"{path}[]", names) for x in v] if isinstance(v, list) else v
 
 
+def take(v: dict, path: str) -> tuple[dict, str] | None:
+    """The object that holds a path of members, and its name there."""
+    if v.get(path) is not None:
+        return v, path
+    at = path.find(".")
+    while at >= 0:
+        inner = v.get(path[:at])
+        if isinstance(inner, dict) and (found := take(inner, path[at + 1 :])):
+            return found
+        at = path.find(".", at + 1)
+    return None
+
+
+def move(v: object, path: str, new_path: str) -> None:
+    """Take what stands at a path to another one, if that place is free and what is above it can hold it."""
+    if isinstance(v, list):
+        for x in v:
+            move(x, path, new_path)
+    elif isinstance(v, dict) and "[]" in path:
+        above, _, rest = path.partition("[]")
+        if found := take(v, above):
+            inner = found[0][found[1]]
+            for x in inner if isinstance(inner, list) else []:
+                move(x, rest.removeprefix("."), new_path[len(above) + 2 :].removeprefix("."))
+    elif isinstance(v, dict) and (found := take(v, path)) and not take(v, new_path):
+        *above, name = new_path.split(".")
+        to = v
+        for k in above:
+            to = to.get(k) if to.get(k) is not None else {}
+            if not isinstance(to, dict):
+                return
+        to = v
+        for k in above:
+            if to.get(k) is None:
+                to[k] = {}
+            to = to[k]
+        to[name] = found[0].pop(found[1])
+        # An object that held nothing else goes with it.
+        while not found[0] and "." in path:
+            path = path.rpartition(".")[0]
+            if not (found := take(v, path)):
+                break
+            del found[0][found[1]]
+
+
 def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Carry each record through what the later files of its feed renamed."""
+    """Carry each record through what the later files of its feed renamed and moved."""
     for batch in batches:
         rows = []
         for raw_id, feed, file, line, edits in zip(*(c.to_pylist() for c in batch.columns)):
@@ -271,7 +367,9 @@ def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     later.setdefault(e["file_no"], []).append(e)
             record = renamed_record(record, "", {})
             for n in sorted(later):
-                record = renamed_record(record, "", {e["field_path"]: e["new_path"] for e in later[n]})
+                record = renamed_record(record, "", {e["field_path"]: e["new_path"] for e in later[n] if e["change_kind"] == "renamed"})
+                for e in sorted((e for e in later[n] if e["change_kind"] == "moved"), key=lambda e: e["field_path"]):
+                    move(record, e["field_path"], e["new_path"])
             rows.append((raw_id, feed, file, json.dumps(record, ensure_ascii=False)))
         cols = list(zip(*rows)) or [[]] * 4
         types = [batch.schema.types[0], pa.string(), pa.int32(), pa.string()]
@@ -387,7 +485,7 @@ def unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def unified(df: DataFrame, edits: DataFrame) -> DataFrame:
     """(raw_id, feed_id, file_no, concept, record): every record under the latest names of its feed and in one form for all, as canonical JSON."""
     kind = df.schema["raw_id"].dataType.simpleString()
-    edits = edits.where("change_kind = 'renamed'").groupBy(F.col("feed_id").alias("feed")).agg(F.collect_list(F.struct("file_no", "field_path", "new_path")).alias("edits"))
+    edits = edits.where("change_kind in ('renamed', 'moved')").groupBy(F.col("feed_id").alias("feed")).agg(F.collect_list(F.struct("file_no", "field_path", "change_kind", "new_path")).alias("edits"))
     rows = spread(df.select("raw_id", F.col("feed_id").cast("string").alias("feed"), F.col("file_no").cast("int").alias("file"), F.col("raw_json").cast("string").alias("line")))
     # Written once, as the forms and the result both read it.
     lines = cut(rows.join(edits, "feed", "left").select("raw_id", "feed", "file", "line", "edits").mapInArrow(projected, f"raw_id {kind}, feed string, file int, line string"))

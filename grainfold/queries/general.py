@@ -42,7 +42,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records under the latest names of their feed, in one form for all feeds."""
     raw = table(spark, sf_dir, "frontmatter_raw")
-    return drift.unified(raw, drift.changes(raw))
+    return drift.unified(raw, drift.changes(raw, moving=True))
 
 
 #: Columns with timestamps: table, key, column.

@@ -72,6 +72,23 @@ def test_table_keeps_what_a_rename_meets(spark):
     assert all(r == {"concept": r["concept"], "b": {"y": r["concept"]}, "q": 7} for r in tabled(spark, rows).values())
 
 
+def test_table_follows_moves(spark):
+    rows = [("f", 1, {"concept": c, "timestamp": f"{c}1", "s": [{"u": f"{c}2"}], "meta": {"k": f"{c}3", "old": f"{c}4"}}) for c in "abc"]
+    rows += [("f", 2, {"concept": c, "generated": {"at": f"{c}1", "by": "me"}, "s": [{"v": {"w": f"{c}2"}}], "info": {"k": f"{c}3", "new": f"{c}4"}}) for c in "abc"]
+    rows += [("f", 3, {"concept": c, "generated": {"by": "me"}, "at": f"{c}1", "s": [{"v": {"w": f"{c}2"}}], "info": {"k": f"{c}3", "new": f"{c}4"}}) for c in "abc"]
+    table = tabled(spark, rows, moving=True)
+    assert table[0] == {"concept": "a", "at": "a1", "s": [{"v": {"w": "a2"}}], "info": {"k": "a3", "new": "a4"}}
+    assert table[3] == table[6] == {"concept": "a", "at": "a1", "generated": {"by": "me"}, "s": [{"v": {"w": "a2"}}], "info": {"k": "a3", "new": "a4"}}
+    assert "moved" not in {kind for _, _, _, kind, _ in changes(spark, rows)[0]}
+
+
+def test_table_does_not_move_onto_what_is_there(spark):
+    rows = [("f", 1, {"concept": c, "x": c * 2, "g": "plain"}) for c in "ab"] + [("f", 2, {"concept": c, "g": {"x": c * 2}}) for c in "ab"]
+    rows += [("f", 1, {"concept": "c", "x": "cc", "g": {"x": "other"}})]
+    table = tabled(spark, rows, moving=True)
+    assert table[0] == {"concept": "a", "x": "aa", "g": {"value": "plain"}} and table[4] == {"concept": "c", "x": "cc", "g": {"x": "other"}}
+
+
 def test_schema_changes_of_nothing(spark):
     assert changes(spark, [])[0] == set()
 
