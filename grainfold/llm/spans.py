@@ -258,14 +258,21 @@ def shared_share(df: DataFrame, key: str, text: str, min_run: int = 200) -> Data
     classes = cut(classes)
     places = shared_anchors(docs, min_run).groupBy("k").agg(F.collect_set("start").alias("places"))
     wanted = places.join(classes, "k").select("k", F.col("first").alias("doc"), "places")
-    room = min_run - anchor_size(min_run)
+    size = anchor_size(min_run)
+    room = min_run - size
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, t, at in zip(*(c.to_pylist() for c in batch.columns)):
-                start = np.unique((np.array(at)[:, None] - np.arange(room + 1)).ravel())
-                start = start[(start >= 0) & (start + min_run <= len(t))]
-                h = Rolling([t]).stretch(start, min_run).view(np.int64)
+                r = Rolling([t])
+                # Repeats of an anchor within the text were dropped: every place of its code points counts.
+                grams = r.grams(size)
+                at = np.flatnonzero(np.isin(grams, grams[np.array(at)]))
+                near = np.zeros(len(t) + 1, np.int64)
+                np.add.at(near, np.maximum(at - room, 0), 1)
+                np.add.at(near, at + 1, -1)
+                start = np.flatnonzero(np.cumsum(near)[: len(t) - min_run + 1] > 0)
+                h = r.stretch(start, min_run).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k)), pa.array(start.astype(np.int32)), pa.array(h)], names=["k", "start", "h"])
 
     near = docs.join(wanted, ["doc", "k"]).dropDuplicates(["doc", "k"]).select("k", "text", "places")

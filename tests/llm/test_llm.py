@@ -354,6 +354,20 @@ def test_shared_share_against_brute_force(spark):
         assert got[k] == len(cover), k
 
 
+def test_shared_share_of_repeats_within_a_text(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    p = text(300)
+    docs = {1: text(30) + p + text(25) + p + p + text(9), 2: text(11) + p, 3: "xy" * 400 + text(20), 4: text(20) + "xy" * 50, 5: "-" * 700 + "z", 6: "-" * 45}
+    got = {r.id: r.shared_chars for r in spans.shared_share(spark.createDataFrame(list(docs.items()), "id bigint, t string"), "id", "t", 40).collect()}
+    for k, t in docs.items():
+        cover = set()
+        for i in range(len(t) - 39):
+            if any(t[i : i + 40] in o for j, o in docs.items() if j != k):
+                cover.update(range(i, i + 40))
+        assert got[k] == len(cover), k
+
+
 def test_shared_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, t string")
     assert spans.shared_pairs(df, "id", "t").collect() == [] and spans.shared_share(df, "id", "t").collect() == []
