@@ -99,6 +99,13 @@ def test_scores_out_of_range_have_no_rank(spark):
     assert got == {1: (1, 1), 2: (None, 3), 3: (None, 1), 4: (None, None)}
 
 
+def test_every_term_counts_against_the_score(spark):
+    w = spark.createDataFrame([("a", f"t{i}", 1.0) for i in range(10)] + [("a", "rest", -10.0), ("b", "t", 0.5)], "key string, term string, z double")
+    hits = spark.createDataFrame([(1, "q", "a", 0.9), (2, "q", "b", 0.1)], "hit int, q string, key string, score double")
+    got = {r.hit: (r.weight, r.weight_rank) for r in terms.against_score(hits, w, "key", "hit", "q", "score").collect()}
+    assert got == {1: (0.0, 2), 2: (0.5, 1)}
+
+
 # 6: markup
 
 
