@@ -151,28 +151,39 @@ def features(kind: str, text: str, m: re.Match) -> tuple[str, ...]:
     return tuple(out)
 
 
-def tree(text: str, begin: int = 0, end: int | None = None, depth: int = 0) -> list[Node]:
-    """The nodes of a stretch, with those inside them."""
-    end = len(text) if end is None else end
-    if not LINE_STARTS.search(text, begin, end):
-        return []
-    out, at = [], begin
-    while m := SCAN.search(text, at, end):
-        if m.end() == m.start():
-            at = m.end() + 1
+def tree(text: str) -> list[Node]:
+    """The nodes of a text, with those inside them, however deep."""
+    out: list[Node] = []
+    open_ = [(0, len(text), out)]
+    while open_:
+        begin, end, nodes = open_.pop()
+        if not LINE_STARTS.search(text, begin, end):
             continue
-        kind = next(k for k in PATTERNS if m.group(k) is not None)
-        group = INNER.get(kind)
-        inner = m.span(group) if group else (-1, -1)
-        if kind == "display":
-            inner = m.span("d1") if m.group("d1") is not None else m.span("d2")
-        elif kind == "inline":
-            inner = m.span("i1") if m.group("i1") is not None else m.span("i2")
-        node = Node(kind, m.start(), m.end(), inner, features(kind, text, m), m)
-        if inner[0] >= 0 and inner[1] - inner[0] > 1 and depth < 8:
-            node.children = tree(text, inner[0], inner[1], depth + 1)
-        out.append(node)
-        at = m.end()
+        at = begin
+        while m := SCAN.search(text, at, end):
+            if m.end() == m.start():
+                at = m.end() + 1
+                continue
+            kind = next(k for k in PATTERNS if m.group(k) is not None)
+            group = INNER.get(kind)
+            inner = m.span(group) if group else (-1, -1)
+            if kind == "display":
+                inner = m.span("d1") if m.group("d1") is not None else m.span("d2")
+            elif kind == "inline":
+                inner = m.span("i1") if m.group("i1") is not None else m.span("i2")
+            node = Node(kind, m.start(), m.end(), inner, features(kind, text, m), m)
+            if inner[0] >= 0 and inner[1] - inner[0] > 1:
+                open_.append((*inner, node.children))
+            nodes.append(node)
+            at = m.end()
+    return out
+
+
+def all_of(nodes: list[Node]) -> list[Node]:
+    """The nodes and those inside them, each before its children."""
+    out = list(nodes)
+    for n in out:
+        out += n.children
     return out
 
 
@@ -250,35 +261,30 @@ def train(pages: list[str] = PAGES) -> Model:
 
 def infer(nodes: list[Node], model: Model) -> None:
     """Marginals of all nodes: messages up from the leaves, then down from the root."""
-
-    def up(n: Node) -> None:
+    every = all_of(nodes)
+    for n in reversed(every):
         z = max(-30.0, min(30.0, model.bias + sum(model.weights.get(f, 0.0) for f in n.features)))
         p = 1 / (1 + math.exp(-z))
         belief = [1 - p, p, 0.5]
         own = TYPES[n.type][1]
         n.messages = []
         for c in n.children:
-            up(c)
             m = [sum(t * b for t, b in zip(model.tie[own, state], c.below)) for state in range(3)]
             n.messages.append(m)
             belief = [b * x for b, x in zip(belief, m)]
             total = sum(belief)
             belief = [b / total for b in belief]
         n.below = belief
-
-    def down(n: Node, message: list[float]) -> None:
-        belief = [b * m for b, m in zip(n.below, message)]
+    down = {id(n): [0.5, 0.5, 0.0] for n in nodes}
+    for n in every:
+        belief = [b * m for b, m in zip(n.below, down.pop(id(n)))]
         total = sum(belief)
         n.p = belief[1] / total
         own = TYPES[n.type][1]
         for c, m in zip(n.children, n.messages):
             rest = [b / max(x, 1e-300) for b, x in zip(belief, m)]
             total = sum(rest)
-            down(c, [sum(rest[state] / total * model.tie[own, state][child] for state in range(3)) for child in range(3)])
-
-    for n in nodes:
-        up(n)
-        down(n, [0.5, 0.5, 0.0])
+            down[id(c)] = [sum(rest[state] / total * model.tie[own, state][child] for state in range(3)) for child in range(3)]
 
 
 def parsed(text: str, model: Model) -> list[Node]:
@@ -288,29 +294,29 @@ def parsed(text: str, model: Model) -> list[Node]:
 
 
 def kinds(nodes: list[Node]) -> set[str]:
-    out = set()
-    for n in nodes:
-        if n.p > 0.5:
-            out.add(TYPES[n.type][0])
-        out |= kinds(n.children)
-    return out
+    return {TYPES[n.type][0] for n in all_of(nodes) if n.p > 0.5}
 
 
 def render(text: str, begin: int, end: int, nodes: list[Node]) -> str:
     """The stretch with its markup turned into plain structure."""
-    out, at = [], begin
-    for n in nodes:
-        out.append(text[at : n.begin])
-        out.append(clean_node(text, n) if n.p > 0.5 else text[n.begin : n.inner[0]] + render(text, *n.inner, n.children) + text[n.inner[1] : n.end] if n.inner[0] >= 0 else text[n.begin : n.end])
-        at = n.end
-    out.append(text[at:end])
-    return "".join(out)
+    done: dict[int, str] = {}
+
+    def joined(begin: int, end: int, nodes: list[Node]) -> str:
+        out, at = [], begin
+        for n in nodes:
+            out += [text[at : n.begin], done.pop(id(n))]
+            at = n.end
+        return "".join([*out, text[at:end]])
+
+    for n in reversed(all_of(nodes)):
+        inner = joined(*n.inner, n.children) if n.inner[0] >= 0 else ""
+        done[id(n)] = clean_node(text, n, inner) if n.p > 0.5 else text[n.begin : n.inner[0]] + inner + text[n.inner[1] : n.end] if n.inner[0] >= 0 else text[n.begin : n.end]
+    return joined(begin, end, nodes)
 
 
-def clean_node(text: str, n: Node) -> str:
+def clean_node(text: str, n: Node, inner: str) -> str:
     """Headings become '# ', lists '- ', tables pipe rows, code fences or spans, formulas stay between dollars."""
     s, m = text[n.begin : n.end], n.match
-    inner = render(text, *n.inner, n.children) if n.inner[0] >= 0 else ""
     raw = text[n.inner[0] : n.inner[1]] if n.inner[0] >= 0 else ""
     if n.type == "html_tag":
         name, closing = re.match(r"</?([A-Za-z0-9]+)", s).group(1).lower(), s[1] == "/"

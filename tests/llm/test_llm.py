@@ -197,6 +197,14 @@ def test_clean_text():
     assert out == "## Title\n\nA & B\n\n- x\n- y\n\nlabel bold $x^2$\n# Part\n```\n<b>**k**</b>\n```"
 
 
+@pytest.mark.parametrize("depth", [9, 1500])
+def test_markup_at_any_depth(depth):
+    names = ["".join(x) for x in itertools.islice(itertools.product("abcdefghijklm", repeat=3), depth)]
+    text = "".join(f"\\begin{{{n}}}" for n in names) + "see <b>this</b>" + "".join(f"\\end{{{n}}}" for n in reversed(names))
+    assert kinds(text) == {"html", "latex"}
+    assert markup.cleaned(text, markup.parsed(text, MODEL)) == "see this"
+
+
 def test_markup_frames(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a **b** <i>c</i>", "x"), (3, "a **b** <i>c</i>", "x"), (4, "w " * 200_000, "x")], "id bigint, t string, key string")
     assert sorted(tuple(r) for r in markup.apply(df, "id", "t").collect()) == [(3, "html"), (3, "html"), (3, "markdown"), (3, "markdown")]
