@@ -1,13 +1,13 @@
-"""Markup residue in texts: finding it with a tree-structured graphical model, and turning it into clean text.
+"""Markup residue in texts: finding it with a tree of classified stretches, and turning it into clean text.
 
 A scan takes every stretch that may be markup, real or not, as a node; a stretch inside another one
 is its child, so the nodes of a text form a tree. Each node is markup, literal text, or enclosed by what is
 around it. Its own
-evidence comes from a logistic model over features of the stretch, and parent and child are tied by a
-potential that depends on whether the parent encloses text that belongs to it alone (code, formula,
-comment). Sum-product messages from the leaves up and from the root down give every node's marginal;
-above one half it is markup. Both kinds of parameters are trained from the labelled pages below when
-the operator is built, which takes a moment.
+evidence comes from a logistic model over features of the stretch, trained from the labelled pages below
+when the operator is built, which takes a moment. Parent and child are tied by fixed potentials that
+tell only that the inside of code, formula or comment belongs to it: the messages from the root down
+carry this rule, those from the leaves up carry nothing. So this is a classifier for each node with a
+rule of enclosure; above one half a node is markup.
 
 Defined cases: null, empty and blank texts have no markup; the clean text of a null text is null.
 Texts of any length are read whole. Repeated rows come out repeatedly.
@@ -227,7 +227,7 @@ class Model:
 
 
 def train(pages: list[str] = PAGES) -> Model:
-    """Logistic weights of the features, by gradient steps, and the potentials, by smoothed counts."""
+    """Logistic weights of the features, by gradient steps, and the fixed potentials."""
     samples, counts = [], {}
 
     def visit(nodes: list[Node], stretches: set[tuple[int, int]], parent: Node | None, parent_real: bool) -> None:
