@@ -130,3 +130,23 @@ def test_mixture_decides_undeclared_order(spark):
     found = resolved(spark, rows, [("u", "UTC", None), ("v", "UTC", None)])
     assert found[48].utc_us == us(2024, 5, 4, 10) and found[48].posterior > 0.9
     assert found[49].status == "ambiguous" and found[50].utc_us == us(2024, 4, 4, 10)
+
+
+def test_mixture_weighs_declarations(spark):
+    # A declared order holds for dates that fit both, few dates against it are doubtful, many overrule it.
+    few = [("few", "04/05/2024"), ("few", "13/05/2024")] + [("few", f"05/{d}/2024") for d in range(13, 29)]
+    many = [("many", f"{d}/05/2024") for d in range(13, 32)] * 700 + [("many", "04/05/2024"), ("many", "25/12/2023")]
+    found = resolved(spark, few + many, [("few", "UTC", "mdy"), ("many", "UTC", "mdy")])
+    assert found[0].utc_us == us(2024, 4, 5) and (found[1].status, found[1].format) == ("ambiguous", "misprint")
+    assert found[len(few)].utc_us == us(2024, 5, 13) and found[len(few + many) - 1].utc_us == us(2023, 12, 25) and found[len(few + many) - 2].utc_us == us(2024, 5, 4)
+
+
+def test_mixture_marks_unknown_zones_and_units(spark):
+    rows = [("z", "2024-01-01 10:00"), ("z", "2024-01-01T10:00Z"), (None, "2024-01-01 10:00"), (None, "2024-01-01T10:00Z"), ("e", "99999999999")] + [("ms", str(10**12 + k)) for k in range(99)] + [("ms", "99999999999")]
+    found = resolved(spark, rows, [("z", None, None), ("e", "UTC", None), ("ms", "UTC", None)])
+    assert [found[k].status for k in range(5)] == ["ambiguous", "resolved", "ambiguous", "resolved", "ambiguous"]
+    assert found[104].utc_us == 99999999999 * 1000 and found[104].format == "epoch_ms"
+
+
+def test_instants_of_nothing(spark):
+    assert resolved(spark, [], [("a", "UTC", None)]) == {} and resolved(spark, [("a", "2024-01-01T00:00Z")], [])[0].utc_us == us(2024, 1, 1)
