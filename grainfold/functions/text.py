@@ -47,7 +47,7 @@ def slug(title: Column, resource: Column) -> Column:
 
 def stripped_markup(c: Column) -> Column:
     """Text of HTML or XML without scripts, styles, comments and tags; the basic entities decoded, '&amp;' first."""
-    c = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", " ")
+    c = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
     c = F.regexp_replace(c, r"<[^>]+>", " ")
     for entity, sign in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):

@@ -17,14 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.functions import paths
-from grainfold.plans.runtime import cut, once
+from grainfold.plans.runtime import cut, once, ranges
 
 WIDTH = 24
+#: Rows of one range, of which the events stand in memory as one array.
+RANGE_ROWS = 1_000_000
 
 
 def probe(key: Column, at: Column) -> Column:
@@ -43,9 +46,12 @@ def last_event(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The greatest event of a range; columns probe, is_ref, alive."""
     best: tuple[bytes, bool] | None = None
     for batch in batches:
-        for p, ref, alive in zip(*(c.to_pylist() for c in batch.columns)):
-            if not ref and (best is None or p > best[0]):
-                best = (p, alive)
+        events = batch.filter(pc.invert(batch.column(1)))
+        if events.num_rows:
+            keys = keys_of(events.column(0))
+            at = int(np.argsort(keys, kind="stable")[-1])
+            last = (keys[at].ljust(WIDTH, b"\0"), events.column(2)[at].as_py())
+            best = last if best is None or last[0] > best[0] else best
     if best:
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([best[0]]), pa.array([best[1]])], names=["part", "probe", "alive"])
 
@@ -98,8 +104,9 @@ def orphans(refs: DataFrame, events: DataFrame) -> DataFrame:
     rows = clean.select(probe(F.col("key"), F.col("at")).alias("probe"), F.lit(False).alias("is_ref"), "alive", *empty).union(
         known.select(probe(F.col("key"), F.coalesce("at", never)), F.lit(True), F.lit(False), *fields)
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Written once: both passes must see the same ranges.
+    # Written before it is ranged, as counting and sampling read it too, and after, as both passes must see the same ranges.
+    rows = cut(rows)
+    parts = ranges(rows, RANGE_ROWS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = cut(rows.repartitionByRange(parts, "probe", "is_ref", "ref_id", "ref_pos").sortWithinPartitions("is_ref"))
     # One row for each range, however large the tables are.
     tails = ranged.select("probe", "is_ref", "alive").mapInArrow(last_event, "part int, probe binary, alive boolean").collect()

@@ -9,28 +9,28 @@ from pyspark.sql import functions as F
 
 from grainfold.operators import drift, instants, orphans
 from grainfold.functions.paths import trimmed
-from grainfold.plans.runtime import table
+from grainfold.plans.runtime import cut, table
 
 
 def all_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.references(*(table(spark, sf_dir, t) for t in ("concepts", "incoming_links", "source_entries")))
 
 
-def all_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = orphans.life_events(*(table(spark, sf_dir, t) for t in ("concepts", "removals", "input_files")))
-    return orphans.orphans(all_references(spark, sf_dir), events)
+def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphans.life_events(*(table(spark, sf_dir, t) for t in ("concepts", "removals", "input_files")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference whose target doesn't exist at its instant."""
-    return all_orphans(spark, sf_dir).select("ref_table", "ref_id", "ref_pos")
+    return orphans.orphans(all_references(spark, sf_dir), all_events(spark, sf_dir)).select("ref_table", "ref_id", "ref_pos")
 
 
 def p2_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References and orphans per table and month."""
     month = F.date_format(F.timestamp_micros("at"), "yyyy-MM").alias("month")
-    asked = all_references(spark, sf_dir).groupBy("ref_table", month).agg(F.count("*").alias("n_references"))
-    missed = all_orphans(spark, sf_dir).groupBy("ref_table", month).agg(F.count("*").alias("n_orphans"))
+    refs = cut(all_references(spark, sf_dir))
+    asked = refs.groupBy("ref_table", month).agg(F.count("*").alias("n_references"))
+    missed = orphans.orphans(refs, all_events(spark, sf_dir)).groupBy("ref_table", month).agg(F.count("*").alias("n_orphans"))
     return asked.join(missed, ["ref_table", "month"], "left").select("ref_table", "month", "n_references", F.coalesce("n_orphans", F.lit(0)).cast("bigint").alias("n_orphans"))
 
 

@@ -223,7 +223,7 @@ def oracle_sql() -> dict[str, str]:
     shown = "case when sum(n) > 1 then t || ' (×' || sum(n)::bigint || ')' else t end as warning"
     good = "l as (select feed_id || '/' || file_no as doc, raw_id as pos, raw_json as line, json_valid(raw_json) as ok from frontmatter_raw where trim(raw_json) <> '')"
     doclines = "dl as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos, unnest(string_split(text, chr(10))) as line from documents where text is not null)"
-    strip = r"regexp_replace(regexp_replace(regexp_replace(part_text, '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+    strip = r"regexp_replace(regexp_replace(regexp_replace(part_text, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
     for e, s in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''")):
         strip = f"replace({strip}, '{e}', '{s}')"
     base = "regexp_replace({0}, '^(.+)\\.[^.]*$', '\\1')"

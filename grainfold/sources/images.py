@@ -173,7 +173,7 @@ def measure(rgba: np.ndarray) -> dict[str, float]:
     alpha = rows[..., 3] / 255
     light = (rows[..., :3] @ np.array([0.299, 0.587, 0.114])) * alpha + 255 * (1 - alpha)
     return {
-        "h1": mean(rows[:, 3:] - rows[:, 2:-1]) if width > 3 else 0.0,
+        "h1": mean(rows[:, 1:-2] - rows[:, :-3]) if width > 3 else 0.0,
         "h3": mean(rows[:, 3:] - rows[:, :-3]) if width > 3 else 0.0,
         "v1": mean(px[below] - px[below + 1]) if len(below) else 0.0,
         "v2": mean(px[below] - px[below + 2]) if len(below) else 0.0,

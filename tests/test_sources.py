@@ -181,6 +181,17 @@ def test_verdicts():
     assert images.inspect(b"x" * 600, "image/tiff")[2] == "content" and images.inspect(b"x", "image/tiff")[3] == "only 1 bytes"
 
 
+def test_neighbours_of_a_narrow_picture():
+    """Of a row of six, the pairs (0, 1), (1, 2), (2, 3) are compared at one step as those with (0, 3), (1, 4), (2, 5) at three."""
+    px = np.zeros((2, 6, 4), np.uint8)
+    px[:, 0] = 100
+    found = images.measure(px)
+    assert abs(found["h1"] - 400 / 3) < 1e-9 and abs(found["h3"] - 400 / 3) < 1e-9
+    px[:, :] = 0
+    px[:, 5] = 100
+    assert images.measure(px)["h1"] == 0 and images.measure(px)["h3"] > 0
+
+
 @pytest.mark.parametrize(
     ("data", "media", "size"),
     [
