@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from oracle import assert_equal, connect
 from tokenizers import Tokenizer
@@ -69,6 +70,43 @@ def test_similar_sets_global_splits(spark, monkeypatch):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_similar_sets_of_dense_nodes(spark, monkeypatch):
+    """Clusters around common tokens, over the cluster and within a task, with sets of many sizes and one very large."""
+    rng = random.Random(12)
+    core = [f"c{i}" for i in range(7)]
+    rows = [(f"a{i}", core + rng.sample([f"u{j}" for j in range(60)], 3)) for i in range(150)] + [(f"b{i}", core[: rng.randint(3, 7)] + rng.sample([f"u{j}" for j in range(9)], rng.randint(1, 6))) for i in range(150)]
+    large = [f"w{j}" for j in range(3000)]
+    rows += [("large", large), ("larger", large[200:] + ["more"]), ("half", large[:1500]), ("thirty", large[:33]), ("thirties", large[:36])]
+    df, want = spark.createDataFrame(rows, "id string, tags array<string>"), brute_pairs(rows, 0.7, 1)
+    for local, deepest in ((200_000, 24), (40, 24), (200_000, 2)):
+        monkeypatch.setattr(setjoin, "LOCAL", local)
+        monkeypatch.setattr(setjoin, "DEEPEST", deepest)
+        got = {tuple(r) for r in setjoin.similar_sets(df, "id", "tags", 0.7, 1).collect()}
+        assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 300, (local, len(got), len(want))
+
+
+def test_a_dense_node_without_pairs_is_not_compared_pair_by_pair():
+    """Of 20,000 sets that have six of ten tokens in common no pair is a candidate."""
+    n = 20_000
+    tokens = np.concatenate([np.tile(setjoin.mix(np.arange(6, dtype=np.uint64)), (n, 1)), setjoin.mix(np.arange(100, 100 + 4 * n, dtype=np.uint64)).reshape(n, 4)], axis=1)
+    node, first, size = np.zeros(n, np.uint64), np.arange(n) * 10, np.full(n, 10)
+    share, have = setjoin.overlap(node, first, size, tokens.ravel())
+    assert share.min() >= 0.6 and sum(int((i != j).sum()) for i, j in setjoin.prefix_pairs(node, first, size, tokens.ravel(), have, share > 0, 0.7)) == 0
+
+
+def test_prefixes_lose_no_pair():
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.choice(60, rng.integers(1, 45), replace=False)).astype(np.uint64) for _ in range(300)]
+    sets += [np.sort(np.append(s[rng.random(len(s)) < 0.9], np.uint64(70))) for s in sets[:150]]
+    size = np.array([len(s) for s in sets])
+    first, tokens, node = np.cumsum(size) - size, np.concatenate(sets), np.zeros(len(sets), np.uint64)
+    _, have = setjoin.overlap(node, first, size, tokens)
+    for threshold in (0.3, 0.7, 0.9, 1.0):
+        got = {(int(a), int(b)) for i, j in setjoin.prefix_pairs(node, first, size, tokens, have, np.ones(len(sets), bool), threshold) for a, b in zip(i, j)}
+        want = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if len(set(sets[a]) & set(sets[b])) >= threshold * len(set(sets[a]) | set(sets[b])) - 1e-9}
+        assert want <= got
+
+
 def test_similar_sets_of_nothing(spark):
     assert setjoin.similar_sets(spark.createDataFrame([], "id string, tags array<string>"), "id", "tags", 0.7).collect() == []
 
@@ -321,8 +359,6 @@ def test_containers_of_hard_sizes(spark):
 
 
 def test_crossover_keeps_every_item():
-    import numpy as np
-
     rng = np.random.default_rng(0)
     size = [int(x) for x in rng.integers(1, 60, 200)]
     a, b = (packing.best_fit([int(i) for i in rng.permutation(200)], size, 100) for _ in range(2))
