@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +25,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         sc.setCheckpointDir(shared)
     elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="grainfold-"))
+        place = tempfile.mkdtemp(prefix="grainfold-")
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
+        sc.setCheckpointDir(place)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
@@ -33,6 +38,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table into the checkpoint folder and continue from it; smaller than a checkpoint and read column by column."""
+    ensure_checkpoint_dir(df.sparkSession)
+    place = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """``df``, marked for broadcast if it has ``most`` rows at most; beyond that a join with it shuffles. One count job, so give it written data."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Redistribute a scan that has fewer partitions than the cluster has cores.
 
