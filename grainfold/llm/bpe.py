@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainfold.llm.rolling import U, mix
 from grainfold.plans.runtime import spread
 
 #: Folder of the vocabulary files.
@@ -35,7 +36,6 @@ OTHER, LETTER, NUMBER, SPACE, END = range(5)
 SENTINEL = 0x110000
 CHUNK = 1 << 17
 CACHE_LIMIT = 1 << 20
-U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 
@@ -54,13 +54,6 @@ def character_classes() -> np.ndarray:
     return classes
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambler of 64-bit values."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 class PairTable:
     """Open-addressing hash table from a pair of ids to (rank, merged id)."""
 

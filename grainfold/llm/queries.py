@@ -91,6 +91,11 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(table(spark, sf_dir, "documents"), "doc_id", "text", 200)
 
 
+def p10_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every document, and how much of it stands in paragraphs that an earlier place has alike."""
+    return spans.removals(table(spark, sf_dir, "documents"), "doc_id", "text", 200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_containers": p9_containers,
         "p10_found": p10_found,
         "p10_shared": p10_shared,
+        "p10_removals": p10_removals,
     }
 
 

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainfold.llm.rolling import U, mix
 from grainfold.plans.runtime import cut, spread
 
 #: Trees, and the rate of branching: at a Jaccard similarity of 0.7 these find more than 99 of 100 pairs (README).
@@ -40,13 +41,6 @@ TREES, RHO = 14, 0.6
 BRUTE, LOCAL, DEEPEST, ROUNDS = 48, 200_000, 24, 8
 #: Tokens of one task, and the widest sets that are compared as padded rows.
 TASK_TOKENS, WIDE = 6_000_000, 32
-U = np.uint64
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
 
 
 def even_out(tag: str) -> str:

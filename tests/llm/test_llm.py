@@ -9,9 +9,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from oracle import assert_equal, connect
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from grainfold.llm import bpe, markup, packing, queries, segment, setjoin, spans, terms
+from grainfold.llm import bpe, markup, packing, paragraphs, queries, segment, setjoin, spans, terms
 
 QUERIES, SQL = queries.queries(), queries.oracle_sql()
 
@@ -433,3 +434,67 @@ def test_shared_run_behind_a_difference(spark):
         docs += [(2 * i, text(rng.randint(0, 40)) + p + "!" + q), (2 * i + 1, text(rng.randint(0, 40)) + p + "?" + q)]
     got = {tuple(r) for r in spans.shared_pairs(spark.createDataFrame(docs, "id bigint, t string"), "id", "t", 200).collect()}
     assert got == brute_spans(docs, 200) and 0 < len(got) < 60
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[rng.randrange(len(out))] = f"w{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_banding_finds_alike_paragraphs(spark):
+    """Recall of paragraph pairs of 0.8 or more against all pairs, and what each verified pair says of itself."""
+    rng = random.Random(21)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(120)] for _ in range(60)]
+    texts = [edited(rng, base[i % 60], rng.choice([0, 1, 1, 2])) for i in range(300)]
+    want = {(i, j) for i, j in itertools.combinations(range(300), 2) if texts[i] != texts[j] and paragraphs.similarity(texts[i], texts[j]) >= 0.8}
+    docs = spark.createDataFrame([(i, "short one\n\n" + t, i) for i, t in enumerate(texts)], "doc bigint, text string, k bigint")
+    places, pairs, _ = paragraphs.linked(docs, docs.select("k", F.col("doc").alias("first")), 200)
+    of = {}
+    for r in places.collect():
+        of.setdefault(r.p, []).append(r.k)
+    got = {tuple(sorted((a, b))): r.run for r in pairs.where("alike").collect() for a in of[r.pa] for b in of[r.pb]}
+    assert set(got) <= want and len(got) >= 0.99 * len(want) and len(want) > 200
+    assert all(run == any(texts[a][i : i + 200] in texts[b] for i in range(len(texts[a]) - 199)) for (a, b), run in got.items())
+
+
+def test_paragraphs_without_words_and_signs():
+    for t in ("x" * 300, "日本語" * 100, " " * 300, "a b"):
+        r = paragraphs.Rolling([t, "some other words that make a paragraph here", t])
+        keys = paragraphs.band_keys(r, np.cumsum([len(t), 43, len(t)]))
+        assert (keys[0] == keys[2]).all() and (keys[0] != keys[1]).all()
+    assert paragraphs.paragraphs_of("a\n\nbb\r\n \r\nccc\n\n", 1) == [(0, 1), (3, 6), (10, 13)] and paragraphs.paragraphs_of("", 1) == []
+
+
+def test_components(spark):
+    rng = random.Random(22)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, b) for b in range(201, 400)]
+    label = {}
+    find = lambda x: x if label.get(x, x) == x else find(label[x])
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        label[b] = a
+    got = dict(tuple(r) for r in paragraphs.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert paragraphs.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_removals(spark):
+    rng = random.Random(23)
+    long = lambda: [f"w{rng.randrange(3000)}" for _ in range(90)]
+    a, b, c = long(), long(), long()
+    one, two = " ".join(a), edited(rng, a, 1)
+    docs = [(1, one + "\n\n" + " ".join(b)), (2, two), (3, " ".join(b) + "\n\n" + one), (4, " ".join(c)), (5, " ".join(c)), (6, "short"), (7, None), (7, None), (None, one), (8, ""), (9, " ".join(long()))]
+    got = {r.id: tuple(r)[1:] for r in spans.removals(spark.createDataFrame([(*d, "clash") for d in docs], "id bigint, t string, doc string"), "id", "t", 200).collect()}
+    gone = len(" ".join(c))
+    assert got == {1: (1, 2, 2, 0), 2: (1, 1, 1, len(two)), 3: (1, 2, 2, len(one) + len(" ".join(b))), 4: (4, 1, 1, 0), 5: (4, 1, 1, gone), 6: (6, 0, 0, 0), 7: (7, 0, 0, 0), 8: (8, 0, 0, 0), 9: (9, 1, 0, 0)}
+
+
+def test_a_shared_anchor_is_no_shared_run(spark):
+    """Texts that have only the code points of an anchor in common."""
+    rng = random.Random(24)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    p = text(16)
+    docs = [(i, text(60) + p + text(60)) for i in range(40)]
+    assert {tuple(r) for r in spans.shared_pairs(spark.createDataFrame(docs, "id bigint, t string"), "id", "t", 40).collect()} == brute_spans(docs, 40)
