@@ -42,7 +42,7 @@ def retrieve_concepts_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.document_frequencies(retrieval.term_frequencies(documents(spark, sf_dir)))
+    return retrieval.document_frequencies(documents(spark, sf_dir))
 
 
 def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,7 @@ def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = retrieval.weights(documents(spark, sf_dir))
-    return w.groupBy(F.col("key").alias("doc_id")).agg(F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 4).alias("norm"))
+    return retrieval.norms(documents(spark, sf_dir)).select(F.col("key").alias("doc_id"), F.round("norm", 4).alias("norm"))
 
 
 def tokenize_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
