@@ -82,23 +82,3 @@ def matchable(c: Column) -> Column:
 
 def shortened(c: Column, limit: int) -> Column:
     return F.when(F.char_length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("…"))).otherwise(c)
-
-
-def prose_lines(text: Column) -> Column:
-    """Lines outside fenced code, in order: array of (pos, line).
-
-    A fence opens with three or more backticks or tildes; only the same sign, at least as long, closes it.
-    """
-    acc = F.struct(F.lit("").alias("fence"), F.array().cast("array<struct<pos:int,line:string>>").alias("out"), F.lit(0).alias("n"))
-
-    def step(a: Column, line: Column) -> Column:
-        mark = F.regexp_extract(line, r"^\s*(`{3,}|~{3,})", 1)
-        closes = (mark != "") & (F.substring(mark, 1, 1) == F.substring(a["fence"], 1, 1)) & (F.char_length(mark) >= F.char_length(a["fence"]))
-        inside = a["fence"] != ""
-        fence = F.when(inside & closes, "").when(inside, a["fence"]).otherwise(mark)
-        out = F.when(inside | (mark != ""), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["n"].alias("pos"), line.alias("line")))))
-        return F.struct(fence.alias("fence"), out.alias("out"), (a["n"] + 1).alias("n"))
-
-    folded = F.aggregate(F.split(text, "\n"), acc, step, lambda a: a["out"])
-    whole = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("pos"), line.alias("line")))
-    return F.when(text.rlike(r"(?m)^\s*(```|~~~)"), folded).otherwise(whole)

@@ -6,10 +6,13 @@ describe one concept, the one loaded last (then of the greatest row_id) is curre
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.functions import paths, text
+from grainfold.functions import links, paths
 
 FORMAT_VERSION = "0.2"
 UNINDEXED = r"^(archive|trash)(/|$)"
@@ -111,18 +114,29 @@ def directories(concepts: DataFrame) -> DataFrame:
 
 
 def markdown_links(df: DataFrame, key: str, content: str, source: str) -> DataFrame:
-    """(key, concept_id): concepts that the links and reference definitions in prose lines name."""
-    lines = df.where(F.col(content).contains("](") | F.col(content).contains("]:")).select(key, paths.directory(F.coalesce(F.col(source), F.lit(""))).alias("dir"), F.explode(text.prose_lines(F.regexp_replace(F.col(content), "\r\n", "\n"))).alias("l"))
-    inline = F.regexp_extract_all("l.line", F.lit(r"""\]\(\s*(<[^>]*>|[^()\s]*)(?:\s+(?:"[^"]*"|'[^']*'|\([^()]*\)))?\s*\)"""), F.lit(1))
-    defined = F.filter(F.array(F.regexp_extract("l.line", r"^[ \t]{0,3}\[[^\]\n]+\]:[ \t]*(<[^>]*>|\S+)", 1)), lambda x: x != "")
-    targets = lines.select(key, "dir", F.explode(F.concat(inline, defined)).alias("target"))
-    return targets.select(key, paths.concept_of_link(F.col("target"), F.col("dir")).alias("concept_id")).where("concept_id is not null")
+    """(key, concept_id): concepts that the links and reference definitions in prose lines name, each as often as it is named.
+
+    Fences make the lines of a text depend on those before, so each text is scanned once, in one pass.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, (text_, origin) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                named = [c for t in links.prose_targets(text_) if (c := links.resolve(t, (origin or "").rpartition("/")[0])) is not None]
+                at += [i] * len(named)
+                found += named
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], names=["key", "concept_id"])
+
+    texts = df.where(F.col(content).contains("](") | F.col(content).contains("]:")).select(F.col(key), F.col(content), F.col(source).cast("string"))
+    return texts.mapInArrow(run, f"key {kind}, concept_id string").withColumnRenamed("key", key)
 
 
-def incoming(links: DataFrame, doomed: DataFrame) -> DataFrame:
+def incoming(linked: DataFrame, doomed: DataFrame) -> DataFrame:
     """Distinct (from_concept_id, to_concept_id) that lead from survivors to doomed concepts."""
     ids = doomed.select("concept_id").distinct()
-    into = links.join(ids.withColumnRenamed("concept_id", "to_concept_id"), "to_concept_id", "left_semi")
+    into = linked.join(ids.withColumnRenamed("concept_id", "to_concept_id"), "to_concept_id", "left_semi")
     return into.join(ids.withColumnRenamed("concept_id", "from_concept_id"), "from_concept_id", "left_anti").select("from_concept_id", "to_concept_id").distinct()
 
 
@@ -147,7 +161,7 @@ def doomed_by(ids: DataFrame, target: str) -> DataFrame:
     return ids.where(F.coalesce((page | below) & kept, F.lit(False))).select("concept_id")
 
 
-def removal_plan(ids: DataFrame, links: DataFrame, target: str) -> DataFrame:
+def removal_plan(ids: DataFrame, linked: DataFrame, target: str) -> DataFrame:
     """(kind, subject, object): concepts to remove, directories that vanish, links that lead to them."""
     doomed = doomed_by(ids, target)
     survivors = ids.join(doomed, "concept_id", "left_anti")
@@ -155,7 +169,7 @@ def removal_plan(ids: DataFrame, links: DataFrame, target: str) -> DataFrame:
     return (
         doomed.select(F.lit("concept").alias("kind"), F.col("concept_id").alias("subject"), none)
         .union(emptied_dirs(doomed, survivors).select(F.lit("directory"), "dir", none))
-        .union(incoming(links, doomed).select(F.lit("link"), "from_concept_id", "to_concept_id"))
+        .union(incoming(linked, doomed).select(F.lit("link"), "from_concept_id", "to_concept_id"))
     )
 
 

@@ -235,7 +235,8 @@ def oracle_sql() -> dict[str, str]:
 
     diff = wiki_sql()["snapshot_diff"]
     phrases = " ".join(f"when '{k}' then '{v}'" for k, v in text.REASONS.items())
-    shape = rf"(?i)\b({intake.NOUNS})\b.*\b({intake.FAULTS})\b|\b({intake.FAULTS})\b.*\b({intake.NOUNS})\b"
+    nouns, faults = "|".join(intake.PICTURE_WORDS), "|".join(intake.FAULT_WORDS + intake.FAULT_PHRASES)
+    shape = rf"(?i)\b({nouns})\b.*\b({faults})\b|\b({faults})\b.*\b({nouns})\b"
     return {
         "classify_inputs": f"with {classes} select * from classes",
         "ignored_buckets": f"with {classes} select reason, count(*) as n, case reason {phrases} end as phrase from (select file_id, reason from classes where bucket = 'ignored' union select file_id, ignore_reason from input_files) where reason is not null group by 1",

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainfold.functions import frontmatter as fm
-from grainfold.functions import paths, text
+from grainfold.functions import links, paths, text
 
 
 def one(spark, expression, **values):
@@ -19,7 +19,7 @@ def one(spark, expression, **values):
     ],
 )
 def test_concept_of_link(spark, target, directory, concept):
-    from grainfold.operators.rewrite import resolve
+    from grainfold.functions.links import resolve
 
     assert one(spark, paths.concept_of_link(F.col("t"), F.col("d")), t=target, d=directory) == concept
     if target is not None:
@@ -40,9 +40,31 @@ def test_slug(spark, title, resource, slug):
     assert one(spark, text.slug(F.col("t"), F.col("r")), t=title, r=resource) == slug
 
 
-def test_prose_lines_skip_fences(spark):
-    body = "a\n```\nb\n~~~\n```\nc\n~~~~\nd\n~~~\ne\n~~~~\nf"
-    assert [r.line for r in one(spark, text.prose_lines(F.col("t")), t=body)] == ["a", "c", "f"]
+def test_prose_skips_fences():
+    lines = "a\n```\nb\n~~~\n```\nc\n~~~~\nd\n~~~\ne\n~~~~\nf\n``x``".split("\n")
+    assert [x for x, shown in zip(lines, links.prose(lines)) if shown] == ["a", "c", "f", "``x``"]
+
+
+@pytest.mark.parametrize(
+    ("line", "targets"),
+    [
+        ("[a](b.md)", ["b.md"]), ("![a]( <b c> 'T' ) x [d](e \"t\")", ["<b c>", "e"]), ("[a](b (t)) [c]()", ["b", ""]), ("[a](b c) [d](e", []), ("[a](b(c).md)", []), ("[a](b \"t) [c](d)", ["d"]), ("](x)", ["x"]), ("a]( (b))", []),
+        ("[a](b (t(u)))", []), ("[a](<b)", []), ("", []),
+    ],
+)
+def test_inline_links(line, targets):
+    assert [x.target(line) for x in links.inline_links(line)] == targets
+
+
+@pytest.mark.parametrize(("line", "target"), [("[a]: b 'T'", "b"), ("   [a b]: <c d> e", "<c d>"), ("    [a]: b", None), ("[]: b", None), ("[a]:", None), ("[a] : b", None), ("x [a]: b", None), ("[a]:b", "b")])
+def test_definitions(line, target):
+    found = links.definition(line)
+    assert (found and found.target(line)) == target
+
+
+@pytest.mark.parametrize(("line", "item"), [("- a b", "a b"), ("  * [2] a", "a"), ("12) x", "x"), ("[3] [4] x", "[4] x"), ("-a", None), ("a b", None), ("- ", None), ("1.5 x", None), ("", None)])
+def test_bullets(line, item):
+    assert links.bullet(line) == item
 
 
 def test_stripped_markup(spark):
