@@ -55,16 +55,16 @@ def in_directory(path: Column, name: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.concat(paths.directory(path), F.lit("/"), name)).otherwise(name)
 
 
-def archive_targets(files: DataFrame, existing: DataFrame, key: str, path: str, stamp: str) -> DataFrame:
-    """(key, target): a name below ``archive/`` that no existing path has and no other file of the batch gets.
+def archive_targets(files: DataFrame, existing: DataFrame, key: str, path: str, stamp: str, root: str = "archive") -> DataFrame:
+    """(key, target): a name below ``root`` that no existing path has and no other file of the batch gets.
 
     First the plain name, then one with the stamp, then with a counter. ``.md`` originals end in ``.orig``.
     Files of a batch that want the same name are served in order of their key.
     """
     name = paths.basename(F.col(path))
     orig = F.when(F.endswith(name, F.lit(".md")), ".orig").otherwise("")
-    plain = F.concat(F.lit("archive/"), in_directory(F.col(path), F.concat(name, orig)))
-    stamped = F.concat(F.lit("archive/"), in_directory(F.col(path), F.concat(stem(name), F.lit(f".{stamp}"))))
+    plain = F.concat(F.lit(f"{root}/"), in_directory(F.col(path), F.concat(name, orig)))
+    stamped = F.concat(F.lit(f"{root}/"), in_directory(F.col(path), F.concat(stem(name), F.lit(f".{stamp}"))))
     wish = files.select(F.col(key), plain.alias("plain"), stamped.alias("head"), F.concat(suffix(name), orig).alias("tail"))
     taken = existing.select(F.col("target").alias("plain")).distinct().withColumn("taken", F.lit(1))
     ranked = wish.withColumn("n", F.row_number().over(Window.partitionBy("plain").orderBy(key)) - 1).join(taken, "plain", "left")

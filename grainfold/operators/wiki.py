@@ -105,6 +105,31 @@ def emptied_dirs(doomed: DataFrame, survivors: DataFrame) -> DataFrame:
     return above(doomed).join(above(survivors), "dir", "left_anti")
 
 
+def structure(concepts: DataFrame) -> DataFrame:
+    """(part, name, n): directories, types with the number of their concepts, and ids, as a preview of the knowledge base."""
+    listed = directories(concepts).select(F.lit("directory").alias("part"), F.col("dir").alias("name"), F.lit(None).cast("bigint").alias("n"))
+    typed = types_in_use(concepts).select(F.lit("type"), "type", F.col("n").cast("bigint"))
+    return listed.union(typed).union(concepts.select(F.lit("concept"), "concept_id", F.lit(None).cast("bigint")))
+
+
+#: Kinds of log lines, in order.
+LOGGED = ("created", "updated", "removed", "images", "warning")
+
+
+def log_lines(rows: DataFrame) -> DataFrame:
+    """(part, subject, line) of the log for what was done (kind, subject, object); other kinds aren't logged."""
+    flat = F.trim(F.regexp_replace("subject", r"\s+", " "))
+    page = F.format_string("[%s](/%s.md).", "subject", "subject")
+    line = (
+        F.when(F.col("kind") == "created", F.concat(F.lit("* **Creation**: Added "), page))
+        .when(F.col("kind") == "updated", F.concat(F.lit("* **Update**: Updated "), page))
+        .when(F.col("kind") == "removed", F.format_string("* **Removal**: Removed [%s](%s).", "subject", F.coalesce("object", F.lit(""))))
+        .when(F.col("kind") == "images", F.concat(F.lit("* **Images**: "), flat))
+        .when(F.col("kind") == "warning", F.concat(F.lit("* **Warning**: "), flat))
+    )
+    return rows.where(F.col("kind").isin(*LOGGED)).select(F.array_position(F.array(*map(F.lit, LOGGED)), F.col("kind")).cast("int").alias("part"), "subject", line.alias("line"))
+
+
 def types_in_use(concepts: DataFrame) -> DataFrame:
     return concepts.groupBy(F.coalesce("concept_type", F.lit("(untyped)")).alias("type")).agg(F.count("*").alias("n"))
 
@@ -203,6 +228,7 @@ def rendered(concepts: DataFrame, events: DataFrame, sources: DataFrame) -> Data
         listed("supersedes", "supersedes"),
         origin,
         checked,
+        given("stale_after", F.col("stale_after")) if "stale_after" in concepts.columns else F.lit(None),
         F.concat(F.lit("sources: "), "sources"),
     )
     body = paths.trimmed(F.coalesce("body", F.lit("")))

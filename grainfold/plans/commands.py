@@ -1,38 +1,77 @@
 """The four commands over a directory with ``input/`` and ``wiki/``: update, query, remove, migrate.
 
-What a command decides is a plan over DataFrames; only moving and writing files happens on the driver.
-Snapshots are collected before anything is written, as a lazy plan would read the changed files.
+What a command decides is a plan over DataFrames; contents are read, moved and written by the executors, below a root that
+all of them share. The driver lists names, counts, and writes the log line by line. Whatever is needed from a state of the
+files is written before they change, as a lazy plan would read the changed ones.
+
+An update has two halves: ``begin`` takes in what can be taken in and stages what an agent has to write from, ``finish``
+brings in what the agent has done. The agent itself is outside; ``update`` calls the one it is given in between.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from dataclasses import dataclass, field
+import shutil
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfold.functions import frontmatter
 from grainfold.operators import intake, retrieval, rewrite, wiki
+from grainfold.plans import prepass, prompts
+from grainfold.plans.runtime import cut
 from grainfold.sources import files
 
 LOG_TITLE = "# Wiki Update Log"
 GENERATED = ("index.md", "log.md")
+STAGED = ".extracted"
 
 
-@dataclass
+@dataclass(frozen=True)
 class Report:
-    created: list[str] = field(default_factory=list)
-    updated: list[str] = field(default_factory=list)
-    removed: list[tuple[str, str]] = field(default_factory=list)
-    imported: list[str] = field(default_factory=list)
-    ignored: list[tuple[str, str]] = field(default_factory=list)
-    for_agent: list[str] = field(default_factory=list)
-    warnings: list[str] = field(default_factory=list)
-    directories: list[str] = field(default_factory=list)
+    """What a command has done: rows (kind, subject, object), written, and their number by kind."""
+
+    rows: DataFrame | None
+    counts: dict[str, int]
+    concepts_before: int = 0
+    concepts_after: int = 0
     error: str | None = None
 
+    def names(self, kind: str) -> list[str]:
+        """Subjects of one kind, in order; collects them, so it is for reports of a size to be shown."""
+        return [r["subject"] for r in self.rows.where(F.col("kind") == kind).orderBy("subject").select("subject").collect()] if self.rows is not None else []
+
+
+@dataclass(frozen=True)
+class Session:
+    """An update that waits for its agent. waiting has (relative_path, source_format, warnings, n_parts), images what ``prepass`` tells of each."""
+
+    root: str
+    stamp: str
+    before: DataFrame
+    pre_agent: DataFrame
+    imported: DataFrame
+    ignored: DataFrame
+    waiting: DataFrame
+    targets: DataFrame
+    names: DataFrame
+    images: DataFrame
+    note: str | None
+    n_waiting: int
+
+    def prompt(self, most_images: int | None = intake.FALLBACK_IMAGES) -> str:
+        """The text for one turn of the agent, with an entry for every file that waits."""
+        base, staged = os.path.join(self.root, "wiki"), os.path.join(self.root, "input", STAGED)
+        texts = self.names.groupBy("relative_path").agg(F.transform(F.sort_array(F.collect_list(F.struct("part_no", "name"))), lambda x: F.concat(F.lit(staged + "/"), x["name"])).alias("texts"))
+        told = self.images.select(F.col("doc").alias("relative_path"), F.concat(F.lit(staged + "/"), "findings").alias("findings")).distinct()
+        listed = self.waiting.join(self.targets, "relative_path").withColumn("target", F.concat(F.lit(base + "/"), "target")).join(texts, "relative_path", "left").join(told, "relative_path", "left")
+        entries = prompts.file_entries(listed, self.images, most_images).orderBy("relative_path")
+        shape = wiki.structure(load_concepts(entries.sparkSession, self.root)).orderBy("part", "name")
+        return prompts.update_prompt([r["entry"] for r in entries.toLocalIterator()], [tuple(r) for r in shape.toLocalIterator()])
+
 
 def concept_files(spark: SparkSession, root: str) -> DataFrame:
     """(concept_id, content) of the concept pages below wiki/."""
@@ -42,107 +81,171 @@ def concept_files(spark: SparkSession, root: str) -> DataFrame:
 
 def load_concepts(spark: SparkSession, root: str) -> DataFrame:
     """Concepts whose front matter can be read, with their typed fields."""
-    pages = concept_files(spark, root)
-    parsed = frontmatter.parse_documents(pages, "concept_id", "content").where("frontmatter is not null")
-    return parsed.select("concept_id", F.col("frontmatter.type").alias("concept_type"), "frontmatter.title", "frontmatter.description", "frontmatter.tags", "frontmatter.status", "body")
+    parsed = frontmatter.parse_documents(concept_files(spark, root), "concept_id", "content").where("frontmatter is not null")
+    return parsed.select("concept_id", F.col("frontmatter.type").alias("concept_type"), *[f"frontmatter.{c}" for c in ("title", "description", "tags", "status", "stale_after")], "body")
+
 
+def snapshot(spark: SparkSession, root: str) -> DataFrame:
+    return cut(wiki.snapshot(concept_files(spark, root), "content"))
 
-def hashes(spark: SparkSession, root: str) -> dict[str, str]:
-    return {r["concept_id"]: r["hash"] for r in wiki.snapshot(concept_files(spark, root), "content").collect()}
 
+def read_index(root: str) -> str | None:
+    """The index page of the root, if there is one."""
+    path = os.path.join(root, "wiki", "index.md")
+    if not os.path.exists(path):
+        return None
+    with open(path, encoding="utf-8") as f:
+        return f.read()
 
-def changed(before: dict[str, str], after: dict[str, str]) -> tuple[list[str], list[str]]:
-    return sorted(set(after) - set(before)), sorted(k for k, v in after.items() if before.get(k, v) != v)
+
+def write_pages(pages: DataFrame, base: str) -> None:
+    """Write pages (concept_id, content)."""
+    files.write_texts(pages.select(F.concat("concept_id", F.lit(".md")).alias("relative_path"), "content"), base)
 
 
 def reindex(spark: SparkSession, root: str) -> None:
     """Write the index page of every directory and delete those that no longer qualify."""
     base = os.path.join(root, "wiki")
-    pages = {r["dir"]: r["markdown"] for r in wiki.index_pages(load_concepts(spark, root)).collect()}
-    for p in files.walk(base):
-        if os.path.basename(p) == "index.md" and os.path.dirname(p) not in pages:
-            os.unlink(os.path.join(base, p))
-    for d, text in pages.items():
-        files.write_text(os.path.join(base, d, "index.md"), text)
-
-
-def log_entry(date: str, report: Report) -> str:
-    """The newest entry of the log."""
-    lines = [f"* **Creation**: Added [{c}](/{c}.md)." for c in report.created]
-    lines += [f"* **Update**: Updated [{c}](/{c}.md)." for c in report.updated]
-    lines += [f"* **Removal**: Removed [{c}]({p})." for c, p in report.removed]
-    lines += [f"* **Warning**: {w}" for w in counted(report.warnings)]
-    return "\n".join([f"## {date}", "", *(lines or ["* **No-op**: No concepts changed."]), "", ""])
-
-
-def counted(warnings: list[str]) -> list[str]:
-    """Repeats once, with their number."""
-    seen: dict[str, int] = {}
-    for w in warnings:
-        flat = " ".join(w.split())
-        m = re.fullmatch(r"(.*\S)\s+\(×(\d+)\)", flat)
-        text, n = (m.group(1), int(m.group(2))) if m else (flat, 1)
-        if text:
-            seen[text] = seen.get(text, 0) + n
-    return [f"{t} (×{n})" if n > 1 else t for t, n in seen.items()]
-
+    pages = cut(wiki.index_pages(load_concepts(spark, root)))
+    name = lambda d: F.when(d == "", "index.md").otherwise(F.concat(d, F.lit("/index.md")))
+    there = files.list_files(spark, base).where(F.substring_index("relative_path", "/", -1) == "index.md")
+    files.remove_files(there.join(pages.select(name(F.col("dir")).alias("relative_path")), "relative_path", "left_anti"))
+    files.write_texts(pages.select(name(F.col("dir")).alias("relative_path"), F.col("markdown").alias("content")), base)
 
-def append_log(root: str, date: str, report: Report) -> None:
-    path = os.path.join(root, "wiki", "log.md")
-    old = open(path, encoding="utf-8").read() if os.path.exists(path) else ""
-    if old.startswith(LOG_TITLE):
-        old = old[len(LOG_TITLE) :].lstrip()
-    files.write_text(path, f"{LOG_TITLE}\n\n{log_entry(date, report)}{old}")
 
+def reported(spark: SparkSession, *parts: tuple[str, DataFrame, Column | str, Column | str | None]) -> Report:
+    """A report of (kind, rows, subject, object)."""
+    rows = [df.select(F.lit(kind).alias("kind"), (F.col(s) if isinstance(s, str) else s).alias("subject"), (F.lit(None).cast("string") if o is None else F.col(o) if isinstance(o, str) else o).alias("object")) for kind, df, s, o in parts]
+    written = cut(reduce(DataFrame.union, rows))
+    return Report(written, {r["kind"]: r["count"] for r in written.groupBy("kind").count().collect()})
 
-def update(spark: SparkSession, root: str, date: str, stamp: str) -> Report:
-    """Take in what lies in input/: import conformant pages, extract documents, archive, reindex, log.
 
-    What an agent has to write from the extracted texts is outside; they are left under input/.extracted.
-    """
+def append_log(root: str, date: str, report: Report) -> None:
+    """Put the newest entry on top of the log, line by line."""
+    path = os.path.join(root, "wiki", "log.md")
+    new = path + ".new"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(new, "w", encoding="utf-8") as out:
+        out.write(f"{LOG_TITLE}\n\n## {date}\n\n")
+        n = 0
+        for r in wiki.log_lines(report.rows).orderBy("part", "subject").toLocalIterator():
+            out.write(r["line"] + "\n")
+            n += 1
+        out.write("\n" if n else "* **No-op**: No concepts changed.\n\n")
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as old:
+                first = old.readline()
+                while first.startswith(LOG_TITLE) or not first.strip():
+                    first = old.readline()
+                    if not first:
+                        break
+                out.write(first)
+                shutil.copyfileobj(old, out)
+    os.replace(new, path)
+
+
+def begin(spark: SparkSession, root: str, stamp: str, analyse: prepass.Analyse | None = None) -> Session:
+    """Take in conformant pages and stage everything else for the agent: texts, images and, if there is a model, its findings."""
     source, base = os.path.join(root, "input"), os.path.join(root, "wiki")
-    report, before = Report(), hashes(spark, root)
+    staging = os.path.join(source, STAGED)
+    files.remove_directory(staging)
     files.remove_junk(source)
-    listed = files.list_files(spark, source, lambda p, is_dir: is_dir and os.path.basename(p) == ".extracted")
+    before = snapshot(spark, root)
+    listed = files.list_files(spark, source, lambda p, is_dir: is_dir and os.path.basename(p) == STAGED)
     classes = listed.withColumn("c", intake.classified(F.col("relative_path"))).select("relative_path", "absolute_path", "c.*")
-    rows = classes.collect()
-    report.ignored = [(r["relative_path"], r["reason"]) for r in rows if r["bucket"] == "ignored"]
-    pages = files.read_texts(classes.where("bucket = 'conformant'").select("relative_path", "absolute_path"))
-    heads = {r["relative_path"]: r["type"] for r in frontmatter.parse_documents(pages, "relative_path", "content").select("relative_path", "frontmatter.type").collect()}
-    mapping: dict[str, str] = {}
-    for path, kind in sorted(heads.items()):
-        if kind is None:
-            report.for_agent.append(path)
-            continue
-        target = re.sub(r"(?i)\.markdown$", ".md", path)
-        original = os.path.join(source, path)
-        files.write_text(os.path.join(base, target), open(original, encoding="utf-8").read())
-        archived = files.free_name(os.path.join(base, "archive"), path, stamp)
-        files.move(original, archived)
-        mapping[path] = os.path.relpath(archived, os.path.join(base, "archive"))
-        report.imported.append(path)
+    texts = files.read_texts(classes.where("bucket = 'conformant'").select("relative_path", "absolute_path"))
+    heads = frontmatter.parse_documents(texts, "relative_path", "content").select("relative_path", "frontmatter.type")
+    pages = cut(texts.join(heads, "relative_path"))
     suffix = F.lower(F.regexp_extract("relative_path", r"(\.[^./]+)$", 1))
-    documents = files.read_files(classes.where((F.col("bucket") == "non-conformant") & suffix.isin(*intake.EXTRACTED_SUFFIXES)).select("relative_path", "absolute_path"))
-    for r in files.extract_documents(documents, "relative_path", "relative_path", "data").drop("images").toLocalIterator():
-        if r["reason"]:
-            report.ignored.append((r["relative_path"], r["reason"]))
-            continue
-        report.for_agent.append(r["relative_path"])
-        report.warnings += list(r["warnings"] or [])
-        stem = os.path.splitext(r["relative_path"])[0] + "-extracted"
-        for n, part in enumerate(r["parts"], 1):
-            files.write_text(os.path.join(source, ".extracted", f"{stem}.txt" if len(r["parts"]) == 1 else f"{stem}.part{n:02d}.txt"), part)
-    report.for_agent += [r["relative_path"] for r in rows if r["bucket"] == "non-conformant" and os.path.splitext(r["relative_path"])[1].lower() not in intake.EXTRACTED_SUFFIXES]
-    report.for_agent.sort()
-    if mapping:
-        moved = spark.createDataFrame(list(mapping.items()), "old string, new string")
-        for r in rewrite.rewrite_archive_links(concept_files(spark, root), moved).collect():
-            files.write_text(os.path.join(base, r["concept_id"] + ".md"), r["content"])
-    report.created, report.updated = changed(before, hashes(spark, root))
+    readable = classes.where("bucket = 'non-conformant'")
+    documents = files.read_files(readable.where(suffix.isin(*intake.EXTRACTED_SUFFIXES)).select("relative_path", "absolute_path"))
+    extracted = cut(files.extract_documents(documents, "relative_path", "relative_path", "data"))
+    good = extracted.where("reason is null")
+    ignored = classes.where("bucket = 'ignored'").select("relative_path", "reason").union(extracted.where("reason is not null").select("relative_path", "reason"))
+    bare = lambda df: df.select("relative_path", F.lit(None).cast("string").alias("source_format"), F.lit(None).cast("array<string>").alias("warnings"), F.lit(0).alias("n_parts"))
+    waiting = cut(good.select("relative_path", "source_format", "warnings", F.size("parts").alias("n_parts")).union(bare(pages.where("type is null"))).union(bare(readable.where(~suffix.isin(*intake.EXTRACTED_SUFFIXES)))))
+    imported = pages.where("type is not null")
+    targets = cut(intake.archive_targets(imported.select("relative_path").union(waiting.select("relative_path")), below(spark, base, "archive"), "relative_path", "relative_path", stamp))
+    files.write_texts(imported.select(F.regexp_replace("relative_path", r"(?i)\.markdown$", ".md").alias("relative_path"), "content"), base)
+    files.move_files(imported.join(targets, "relative_path").select(F.col("absolute_path").alias("source"), F.concat(F.lit(base + "/"), "target").alias("target")))
+    names = cut(intake.staged_names(good.withColumn("n", F.size("parts")), "relative_path", "relative_path", "n"))
+    part = good.select("relative_path", F.posexplode("parts").alias("k", "content")).withColumn("part_no", F.col("k") + 1)
+    files.write_texts(part.join(names, ["relative_path", "part_no"]).select(F.col("name").alias("relative_path"), "content"), staging)
+    images, note = stage_images(good, names, staging, analyse)
+    return Session(root, stamp, before, snapshot(spark, root), imported.select("relative_path"), cut(ignored), waiting, targets, names, images, note, waiting.count())
+
+
+def below(spark: SparkSession, base: str, directory: str) -> DataFrame:
+    """(target) of the files there are in a directory, with its name."""
+    return files.list_files(spark, os.path.join(base, directory)).select(F.concat(F.lit(directory + "/"), "relative_path").alias("target"))
+
+
+def stage_images(good: DataFrame, names: DataFrame, staging: str, analyse: prepass.Analyse | None) -> tuple[DataFrame, str | None]:
+    """Write the images of documents and the findings about them; (doc, id, status, reason, occurrences, …, path, findings) of each, and what the model calls have used."""
+    staged = cut(prepass.staged_images(good.select(F.col("relative_path").alias("doc"), "images")))
+    first = names.where("part_no = 1").select(F.col("relative_path").alias("doc"), intake.findings_name(F.col("name")).alias("findings"))
+    ending = F.regexp_replace(F.substring_index("media", "/", -1), "^jpeg$", "jpg")
+    place = F.concat(F.regexp_replace("findings", r"-image-findings\.txt$", "-images/"), "id", F.lit("."), ending)
+    placed = staged.join(first, "doc").withColumn("path", place)
+    files.write_binaries(placed.select(F.col("path").alias("relative_path"), "data"), staging)
+    if analyse:
+        found = cut(prepass.run_prepass(prepass.request_batches(staged), analyse))
+        used = prepass.usage(found).first()
+    else:
+        found, used = good.sparkSession.createDataFrame([], prepass.FINDING), None
+    told = cut(prepass.with_findings(placed.drop("data"), found).withColumn("path", F.concat(F.lit(staging + "/"), "path")))
+    rendered = prepass.render_findings(told).join(first, "doc").select(F.col("findings").alias("relative_path"), "content")
+    files.write_texts(rendered, staging)
+    note = f"Pre-analysis: {used['calls']} call(s), {used['input_tokens']} input / {used['output_tokens']} output tokens, cost {used['cost']:.4f}." if used and used["calls"] else None
+    return told, note
+
+
+def finish(spark: SparkSession, session: Session, date: str, message: str = "") -> Report:
+    """Bring in what the agent has done: links to archived originals, indexes, extracted texts into the archive, outcomes, log."""
+    root, source, base = session.root, os.path.join(session.root, "input"), os.path.join(session.root, "wiki")
+    staging = os.path.join(source, STAGED)
+    written = wiki.diff(session.pre_agent, snapshot(spark, root)).select("concept_id")
+    mapping = session.targets.join(session.waiting.select("relative_path"), "relative_path").select(F.col("relative_path").alias("old"), F.regexp_replace("target", "^archive/", "").alias("new"))
+    write_pages(cut(rewrite.rewrite_archive_links(concept_files(spark, root).join(written, "concept_id", "left_semi"), mapping)), base)
+    after = snapshot(spark, root)
+    diff = cut(wiki.diff(session.before, after))
     reindex(spark, root)
+    still = files.list_files(spark, source, lambda p, is_dir: is_dir and os.path.basename(p) == STAGED).select("relative_path")
+    leftover = cut(session.waiting.join(still, "relative_path", "left_semi").select("relative_path"))
+    # The extracted texts and findings of what the agent has archived follow it.
+    findings = session.images.select(F.col("doc").alias("relative_path"), F.col("findings").alias("name")).distinct()
+    done = session.names.select("relative_path", "name").union(findings).join(leftover, "relative_path", "left_anti").select("name")
+    kept = cut(intake.archive_targets(done, below(spark, base, "archive"), "name", "name", session.stamp))
+    files.copy_files(kept.select(F.concat(F.lit(staging + "/"), "name").alias("source"), F.concat(F.lit(base + "/"), "target").alias("target")))
+    files.remove_directory(staging)
     files.remove_empty_dirs(source)
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(message.splitlines())], "pos bigint, line string")
+    resolved = intake.applied_outcomes(session.images.select("doc", "id", "status"), intake.parsed_outcomes(lines)).select("doc", "id", "status")
+    summary = intake.document_summary(session.images.select("doc", "id", F.size("occurrences").alias("occurrences")).join(resolved, ["doc", "id"])).select("summary")
+    if session.note:
+        summary = summary.union(spark.createDataFrame([(session.note,)], "summary string"))
+    told = session.waiting.select("relative_path", F.explode("warnings").alias("w")).select(F.concat("relative_path", F.lit(": "), "w").alias("warning"))
+    told = told.union(intake.limitation_lines(spark.createDataFrame([(message,)], "text string"), "text").select(F.concat(F.lit("Image analysis limitation reported by agent: "), "line")))
+    warned = intake.aggregated_warnings(told.withColumn("pos", F.lit(0)))
+    report = reported(
+        spark,
+        ("created", diff.where("change = 'created'"), "concept_id", None),
+        ("updated", diff.where("change = 'updated'"), "concept_id", None),
+        ("images", summary, "summary", None),
+        ("warning", warned, "warning", None),
+        ("imported", session.imported, "relative_path", None),
+        ("for_agent", session.waiting, "relative_path", None),
+        ("ignored", session.ignored, "relative_path", "reason"),
+        ("leftover", leftover, "relative_path", None),
+    )
     append_log(root, date, report)
-    return report
+    return Report(report.rows, report.counts, session.before.count(), after.count())
+
+
+def update(spark: SparkSession, root: str, date: str, stamp: str, agent: Callable[[str], str] | None = None, analyse: prepass.Analyse | None = None) -> Report:
+    """Take in what lies in input/. The agent gets the prompt, writes and moves files itself, and returns its last message; without one, what needs it is left in input/."""
+    session = begin(spark, root, stamp, analyse)
+    return finish(spark, session, date, agent(session.prompt()) if agent and session.n_waiting else "")
 
 
 def query(spark: SparkSession, root: str, question: str, limit: int = 10) -> DataFrame:
@@ -154,45 +257,43 @@ def query(spark: SparkSession, root: str, question: str, limit: int = 10) -> Dat
     return best.join(concepts, "concept_id").select("concept_id", "score", "title", "body")
 
 
+def query_prompt(spark: SparkSession, root: str, question: str, limit: int = 10) -> str:
+    """The question with its context: rules, index page and the best concepts, which are ``limit`` at most."""
+    best = query(spark, root, question, limit).orderBy(F.desc("score"), "concept_id").select("concept_id", F.concat(F.lit("### "), F.coalesce("title", "concept_id"), F.lit("\n\n"), F.coalesce("body", F.lit(""))))
+    return prompts.query_prompt(question, prompts.query_context([tuple(r) for r in best.collect()], read_index(root)))
+
+
 def plan_removal(spark: SparkSession, root: str, target: str) -> DataFrame:
     """(kind, subject, object) of what a removal would do; nothing is changed."""
     pages = concept_files(spark, root)
-    links = [(r["concept_id"], c) for r in pages.toLocalIterator() for c in rewrite.linked_concepts(r["content"] or "", r["concept_id"].rpartition("/")[0])]
-    return wiki.removal_plan(pages.select("concept_id"), spark.createDataFrame(links, "from_concept_id string, to_concept_id string"), target)
+    return wiki.removal_plan(pages.select("concept_id"), rewrite.references(pages), target)
 
 
 def remove(spark: SparkSession, root: str, target: str, date: str, stamp: str) -> Report:
     """Move concepts to the trash and redirect every link to them."""
-    base, report = os.path.join(root, "wiki"), Report()
-    doomed = sorted(r["concept_id"] for r in wiki.doomed_by(concept_files(spark, root).select("concept_id"), target).collect())
-    if not doomed:
-        report.error = f"nothing to remove at {target}"
-        return report
-    trash: dict[str, str] = {}
-    for c in doomed:
-        place = files.free_name(os.path.join(base, "trash"), c + ".md", stamp)
-        files.move(os.path.join(base, c + ".md"), place)
-        trash[c] = "/" + os.path.relpath(place, base)
-    mapping = spark.createDataFrame(list(trash.items()), "old string, new string")
-    for r in rewrite.rewrite_removed_links(concept_files(spark, root).where(~wiki.is_raw(F.col("concept_id"))), mapping).collect():
-        files.write_text(os.path.join(base, r["concept_id"] + ".md"), r["content"])
-        report.updated.append(r["concept_id"])
-    report.removed = sorted(trash.items())
-    report.updated.sort()
+    base = os.path.join(root, "wiki")
+    doomed = cut(wiki.doomed_by(concept_files(spark, root).select("concept_id"), target))
+    if doomed.isEmpty():
+        return Report(None, {}, error=f"nothing to remove at {target}")
+    page = F.concat("concept_id", F.lit(".md"))
+    trash = cut(intake.archive_targets(doomed.withColumn("page", page), below(spark, base, "trash"), "concept_id", "page", stamp, "trash"))
+    files.move_files(trash.select(F.concat(F.lit(base + "/"), page).alias("source"), F.concat(F.lit(base + "/"), "target").alias("target")))
+    mapping = trash.select(F.col("concept_id").alias("old"), F.concat(F.lit("/"), "target").alias("new"))
+    changed = cut(rewrite.rewrite_removed_links(concept_files(spark, root).where(~wiki.is_raw(F.col("concept_id"))), mapping))
+    write_pages(changed, base)
     reindex(spark, root)
-    report.directories = sorted(files.remove_empty_dirs(base))
+    gone = spark.createDataFrame([(d,) for d in files.remove_empty_dirs(base)], "dir string")
+    report = reported(spark, ("removed", mapping, "old", "new"), ("updated", changed, "concept_id", None), ("directory", gone, "dir", None))
     append_log(root, date, report)
     return report
 
 
 def migrate(spark: SparkSession, root: str, date: str) -> Report:
     """Bring every concept of the older format up to date; a second run changes nothing."""
-    base, report = os.path.join(root, "wiki"), Report()
-    for r in rewrite.migrated(concept_files(spark, root)).collect():
-        files.write_text(os.path.join(base, r["concept_id"] + ".md"), r["content"])
-        report.updated.append(r["concept_id"])
-    report.updated.sort()
-    if report.updated:
+    changed = cut(rewrite.migrated(concept_files(spark, root)))
+    report = reported(spark, ("updated", changed, "concept_id", None))
+    if report.counts:
+        write_pages(changed, os.path.join(root, "wiki"))
         reindex(spark, root)
         append_log(root, date, report)
     return report

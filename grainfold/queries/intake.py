@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainfold.functions import paths, text
-from grainfold.operators import intake
+from grainfold.operators import intake, wiki
 from grainfold.plans.runtime import table
 
 STAMP = "2026-01-01-0000"
@@ -185,13 +185,10 @@ def log_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the update log: creations, updates and removals since the snapshot, then warnings."""
     from grainfold.queries.wiki import LOG_DATE, snapshot_diff
 
-    link = lambda c: F.format_string("[%s](/%s.md)", c, c)
-    diff = snapshot_diff(spark, sf_dir)
-    made = diff.where("change = 'created'").select(F.lit(1).alias("part"), F.concat(F.lit("* **Creation**: Added "), link(F.col("concept_id")), F.lit(".")).alias("line"))
-    changed = diff.where("change = 'updated'").select(F.lit(2), F.concat(F.lit("* **Update**: Updated "), link(F.col("concept_id")), F.lit(".")))
-    gone = table(spark, sf_dir, "removals").select(F.lit(3), F.format_string("* **Removal**: Removed [%s](%s).", "concept_id", F.coalesce("trash_path", F.lit(""))))
-    warned = intake.aggregated_warnings(warnings(spark, sf_dir).drop("bundle_id")).select(F.lit(4), F.concat(F.lit("* **Warning**: "), "warning"))
-    return made.union(changed).union(gone).union(warned).select(F.lit(LOG_DATE).alias("date"), "part", "line")
+    diff = snapshot_diff(spark, sf_dir).select(F.col("change").alias("kind"), F.col("concept_id").alias("subject"), F.lit(None).cast("string").alias("object"))
+    gone = table(spark, sf_dir, "removals").select(F.lit("removed"), "concept_id", "trash_path")
+    warned = intake.aggregated_warnings(warnings(spark, sf_dir).drop("bundle_id")).select(F.lit("warning"), "warning", F.lit(None).cast("string"))
+    return wiki.log_lines(diff.union(gone).union(warned)).select(F.lit(LOG_DATE).alias("date"), "part", "line")
 
 
 def resolved_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,6 +273,6 @@ select p.doc, p.id, coalesce(s, p.status) as status, note from plain p left join
 select '{LOG_DATE}' as date, 1 as part, '* **Creation**: Added [' || concept_id || '](/' || concept_id || '.md).' as line from d where change = 'created'
 union all select '{LOG_DATE}', 2, '* **Update**: Updated [' || concept_id || '](/' || concept_id || '.md).' from d where change = 'updated'
 union all select '{LOG_DATE}', 3, '* **Removal**: Removed [' || concept_id || '](' || coalesce(trash_path, '') || ').' from removals
-union all select '{LOG_DATE}', 4, '* **Warning**: ' || warning from (select {shown} from v where t <> '' group by t)""",
+union all select '{LOG_DATE}', 5, '* **Warning**: ' || warning from (select {shown} from v where t <> '' group by t)""",
         "resolved_parents": f"select {DIR.format('relative_path')} as dir, count(*) as n, coalesce(sum(byte_length), 0)::bigint as bytes from input_files where relative_path is not null group by 1",
     }

@@ -102,23 +102,50 @@ def write_texts(df: DataFrame, root: str) -> None:
     df.select("relative_path", "content").foreachPartition(run)
 
 
-def move(source: str, target: str) -> None:
-    Path(target).parent.mkdir(parents=True, exist_ok=True)
-    shutil.move(source, target)
-
-
-def free_name(directory: str, relative: str, stamp: str) -> str:
-    """A path below the directory that doesn't exist: plain, stamped, or stamped with a counter; ``.md`` gets ``.orig``."""
-    head, name = os.path.split(relative)
-    stem, suffix = os.path.splitext(name)
-    orig = ".orig" if name.endswith(".md") else ""
-    place = os.path.join(directory, head)
-    tries = [f"{name}{orig}", f"{stem}.{stamp}{suffix}{orig}"]
-    n = 0
-    while True:
-        wanted = tries.pop(0) if tries else f"{stem}.{stamp}.{(n := n + 1)}{suffix}{orig}"
-        if not os.path.lexists(os.path.join(place, wanted)):
-            return os.path.join(place, wanted)
+def each_pair(df: DataFrame, act: Callable[[str, str], object]) -> None:
+    """Apply ``act`` to every (source, target) on the executors; the directories of targets are made. A pair whose source is gone is done already."""
+
+    def run(rows: Iterator) -> None:
+        for r in rows:
+            if os.path.lexists(r["source"]):
+                Path(r["target"]).parent.mkdir(parents=True, exist_ok=True)
+                act(r["source"], r["target"])
+
+    df.select("source", "target").foreachPartition(run)
+
+
+def move_files(df: DataFrame) -> None:
+    each_pair(df, shutil.move)
+
+
+def copy_files(df: DataFrame) -> None:
+    each_pair(df, shutil.copyfile)
+
+
+def remove_files(df: DataFrame, path: str = "absolute_path") -> None:
+    """Delete files on the executors; those that are gone are no error."""
+
+    def run(rows: Iterator) -> None:
+        for r in rows:
+            Path(r[path]).unlink(missing_ok=True)
+
+    df.select(path).foreachPartition(run)
+
+
+def remove_directory(path: str) -> None:
+    shutil.rmtree(path, ignore_errors=True)
+
+
+def write_binaries(df: DataFrame, root: str) -> None:
+    """Write every row (relative_path, data) below a root that all executors share."""
+
+    def run(rows: Iterator) -> None:
+        for r in rows:
+            path = Path(root, r["relative_path"])
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(r["data"])
+
+    df.select("relative_path", "data").foreachPartition(run)
 
 
 def is_junk(name: str) -> bool:

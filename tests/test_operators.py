@@ -78,7 +78,6 @@ def test_warnings_are_idempotent(spark):
     assert [r.warning for r in once.orderBy("first_pos").collect()] == ["a b (×2)", "c (×4)"]
     again = intake.aggregated_warnings(once.withColumnRenamed("first_pos", "pos"))
     assert rows(again) == rows(once)
-    assert commands.counted([" a  b ", "c (×3)", "a b", "c"]) == ["a b (×2)", "c (×4)"]
 
 
 def test_archive_links_longest_name_wins():
@@ -117,14 +116,32 @@ def test_prepass(spark):
             raise RuntimeError("down")
         return "Sure:\n```json\n" + json.dumps({"findings": [{"id": "img-01", "classification": "content", "description": " d ", "legible_values": [1, " ", "x"]}, {"id": "img-09", "classification": "content"}, {"id": "img-02", "classification": "odd"}]}) + "\n```"
 
-    df = spark.createDataFrame([("d", 1, "img-01", None, None, None, None), ("d", 1, "img-02", None, None, None, None), ("d", 2, "img-03", None, None, None, None)], "doc string, batch int, id string, location string, context string, media string, data binary")
+    df = spark.createDataFrame([("d", 1, "img-01", None, None, None, None), ("d", 1, "img-02", None, None, None, None), ("d", 2, "img-03", None, None, None, None)], "doc string, batch int, id string, locations array<string>, context string, media string, data binary")
     got = {r.id: r for r in prepass.run_prepass(df, analyse).collect()}
     assert (got["img-01"].status, got["img-01"].description, got["img-01"].legible_values) == ("analyzed", "d", ["1", "x"])
     assert (got["img-02"].status, got["img-03"].status, got["img-03"].reason) == ("failed", "failed", "down")
+    counted = prepass.run_prepass(df, lambda items: prepass.Answer("{}", 10, len(items), 0.5))
+    assert tuple(prepass.usage(counted).first()) == (2, 20, 3, 1.0)
     assert prepass.parse_answer('x [{"id": "a", "classification": "content"}] y', ["a"])["a"]["classification"] == "content" and prepass.parse_answer("none", ["a"]) == {} and prepass.parse_answer(None, ["a"]) == {}
     assert "img-01 at an unknown place" in prepass.instructions([{"id": "img-01"}])
-    shown = prepass.render_findings(spark.createDataFrame([("d", "img-01", "analyzed", "p1", "desc", ["v"])], "doc string, id string, status string, location string, description string, legible_values array<string>")).first().content
-    assert "## img-01 — analyzed\nLocation: p1\nDescription: desc\nLegible values:\n  - v" in shown
+
+
+def test_staged_images_and_findings(spark):
+    from test_sources import chart
+
+    one, two, tiny = chart(), chart(5), chart(0, 8)
+    schema = "doc string, images array<struct<name:string,media:string,data:binary,location:string,context:string>>"
+    shots = [("a", "image/png", one, "p 1", " "), ("b", "image/png", two, None, "x"), ("c", "image/png", one, "p 1", " near\nit "), ("d", "image/png", one, "p 2", "later"), ("e", "image/png", tiny, None, None), ("f", "image/png", None, None, None), ("g", "image/png", b"no", None, None)]
+    df = spark.createDataFrame([("d", [(n, m, x and bytearray(x), p, c) for n, m, x, p, c in shots]), ("n", []), ("o", None)], schema)
+    staged = prepass.staged_images(df).cache()
+    got = {r.id: r for r in staged.collect()}
+    assert {k: (r.status, len(r.occurrences)) for k, r in got.items()} == {"img-01": ("staged", 3), "img-02": ("staged", 1), "img-03": ("decorative", 1), "img-04": ("broken", 1)}
+    asked = {r.id: r for r in prepass.request_batches(staged).collect()}
+    assert set(asked) == {"img-01", "img-02"} and asked["img-01"].locations == ["p 1", "p 2"] and asked["img-01"].context == " near\nit " and asked["img-02"].locations == []
+    found = prepass.run_prepass(prepass.request_batches(staged), lambda items: json.dumps([{"id": "img-01", "classification": "content", "description": "desc", "legible_values": ["v"], "uncertainties": ["u"]}]))
+    shown = prepass.render_findings(prepass.with_findings(staged, found), 4).first().content
+    assert shown.startswith("Image findings for input/d\n4 unique image(s), 6 occurrence(s). Status: staged 0, analyzed 1, decorative 1, unreadable 0, broken 1, failed 1.")
+    assert "## img-01 — analyzed\nLocation: p 1\nAlso at: p 1 — near: near…\nAlso at: p 2 — near: late…\nDescription: desc\nLegible values:\n  - v\nUncertainties:\n  - u" in shown and "## img-02 — failed\nReason: no finding in the answer\nLocation: unknown — near: x" in shown
 
 
 def test_commands(spark, tmp_path):
@@ -139,21 +156,73 @@ def test_commands(spark, tmp_path):
     put("input/index.md", "x")
     put("input/odd.xyz", "x")
     put("input/.DS_Store", "x")
-    r = commands.update(spark, root, "2026-01-01", "S")
-    assert r.imported == ["new.md"] and r.for_agent == ["loose.md", "page.html"] and sorted(r.ignored) == [("index.md", "reserved"), ("odd.xyz", "unsupported")]
-    assert r.created == ["new"] and r.updated == ["b/two"] and "/archive/new.md.orig" in get("wiki/b/two.md") and get("input/.extracted/page-extracted.txt") == "hello"
-    assert "* [One](one.md)" in get("wiki/a/index.md") and "* **Creation**: Added [new](/new.md)." in get("wiki/log.md")
+    session = commands.begin(spark, root, "S")
+    assert session.n_waiting == 2 and get("input/.extracted/page-extracted.txt") == "hello" and get("wiki/new.md").endswith("new page\n") and not os.path.exists(os.path.join(root, "input/new.md"))
+    prompt = session.prompt()
+    assert "- input/page.html (html) -> " in prompt and "Directories: a, b\nTypes in use: T (3)\nExisting ids: a/one, b/two, new" in prompt
+    # The agent writes a page, archives its original and leaves the other file.
+    put("wiki/c/page.md", "---\ntype: T\n---\n\n[from](/archive/page.html)\n")
+    put("wiki/archive/page.html", "<p>hello</p>")
+    os.unlink(os.path.join(root, "input/page.html"))
+    put("wiki/b/two.md", get("wiki/b/two.md").replace("about", "all about"))
+    r = commands.finish(spark, session, "2026-01-01", "The chart is illegible.\ndone")
+    assert r.names("imported") == ["new.md"] and r.names("for_agent") == ["loose.md", "page.html"] and r.names("leftover") == ["loose.md"] and r.names("ignored") == ["index.md", "odd.xyz"]
+    assert r.names("created") == ["c/page", "new"] and r.names("updated") == ["b/two"] and (r.concepts_before, r.concepts_after) == (2, 4)
+    assert get("wiki/archive/page-extracted.txt") == "hello" and get("wiki/archive/new.md.orig").endswith("new page\n") and not os.path.exists(os.path.join(root, "input/.extracted"))
+    assert "* [One](one.md)" in get("wiki/a/index.md") and "* **Creation**: Added [new](/new.md).\n* **Update**: Updated [b/two](/b/two.md).\n* **Warning**: Image analysis limitation reported by agent: The chart is illegible." in get("wiki/log.md")
     assert [x.concept_id for x in commands.query(spark, root, "turbines?").collect()] == ["a/one"]
+    asked = commands.query_prompt(spark, root, "turbines?")
+    assert "--- a/one ---" in asked and "# Wiki Index" in asked and asked.endswith("turbines?")
     plan = rows(commands.plan_removal(spark, root, "b"))
     assert plan == [("concept", "b/two", ""), ("directory", "b", ""), ("link", "a/one", "b/two")]
     m = commands.migrate(spark, root, "2026-01-02")
-    assert m.updated == ["b/two"] and commands.migrate(spark, root, "2026-01-03").updated == []
+    assert m.names("updated") == ["b/two"] and commands.migrate(spark, root, "2026-01-03").counts == {}
     gone = commands.remove(spark, root, "b", "2026-01-04", "S")
-    assert [c for c, _ in gone.removed] == ["b/two"] and gone.updated == ["a/one"] and "(/trash/b/two.md.orig)" in get("wiki/a/one.md")
-    assert "b" in gone.directories and not os.path.exists(os.path.join(root, "wiki/b")) and get("wiki/log.md").startswith("# Wiki Update Log\n\n## 2026-01-04") and get("wiki/log.md").count("# Wiki Update Log") == 1
+    assert gone.names("removed") == ["b/two"] and gone.names("updated") == ["a/one"] and "(/trash/b/two.md.orig)" in get("wiki/a/one.md")
+    assert "b" in gone.names("directory") and not os.path.exists(os.path.join(root, "wiki/b")) and get("wiki/log.md").startswith("# Wiki Update Log\n\n## 2026-01-04") and get("wiki/log.md").count("# Wiki Update Log") == 1
     assert commands.remove(spark, root, "none", "2026-01-05", "S").error
 
 
+def test_update_with_images(spark, tmp_path):
+    """A document with an image goes through the pre-pass, its findings are staged and archived, and what the agent says of failed images counts."""
+    import base64
+
+    from test_sources import chart
+
+    root = str(tmp_path)
+    uri = lambda seed: f'<img src="data:image/png;base64,{base64.b64encode(chart(seed)).decode()}">'
+    files.write_text(os.path.join(root, "input/d/doc.html"), f"<h1>Head</h1><p>text {uri(0)}</p><p>{uri(7)}</p>")
+    finding = json.dumps([{"id": "img-01", "classification": "content", "description": "a chart"}])
+
+    def agent(prompt):
+        assert "Images: 2 unique, 2 occurrence(s)" in prompt and "Image findings: " in prompt and "    - img-02: " in prompt and "    - img-01: " not in prompt
+        files.write_text(os.path.join(root, "wiki/t/doc.md"), "---\ntype: T\n---\n\n[s](/archive/d/doc.html)\n")
+        os.makedirs(os.path.join(root, "wiki/archive/d"))
+        os.rename(os.path.join(root, "input/d/doc.html"), os.path.join(root, "wiki/archive/d/doc.html"))
+        return "- d/doc.html img-02: decorative - a line"
+
+    r = commands.update(spark, root, "2026-01-01", "S", agent, lambda items: prepass.Answer(finding, 5, 6, 0.25))
+    read = lambda p: open(os.path.join(root, p), encoding="utf-8").read()
+    assert r.names("images") == ["Pre-analysis: 1 call(s), 5 input / 6 output tokens, cost 0.2500.", "d/doc.html: 2 occurrence(s), 2 unique — staged 0, analyzed 1, decorative 1, unreadable 0, broken 0, failed 0; missing findings: none"]
+    assert "Description: a chart" in read("wiki/archive/d/doc-image-findings.txt") and "* **Images**: d/doc.html: 2 occurrence(s)" in read("wiki/log.md") and not os.path.exists(os.path.join(root, "input/d"))
+
+
+def test_commands_collect_no_contents(spark, tmp_path, monkeypatch):
+    """Of 300 pages no content reaches the driver."""
+    from pyspark.sql import DataFrame
+
+    root, seen = str(tmp_path), []
+    for i in range(300):
+        files.write_text(os.path.join(root, f"wiki/d{i % 7}/p{i}.md"), f"---\ntype: T\ntimestamp: 2024-01-01\n---\n\nsecret {i} [x](/d0/p0.md)\n")
+    for name in ("collect", "toLocalIterator", "first"):
+        plain = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, plain=plain, **k: [seen.append(self.columns), plain(self, *a, **k)][1])
+    assert commands.migrate(spark, root, "2026-01-01").counts == {"updated": 300}
+    assert commands.remove(spark, root, "d0/p0.md", "2026-01-02", "S").counts["updated"] == 299
+    assert commands.update(spark, root, "2026-01-03", "S").counts == {}
+    assert not any({"content", "body", "hash", "markdown", "data"} & set(c) for c in seen) and "secret" in open(os.path.join(root, "wiki/d1/p1.md"), encoding="utf-8").read()
+
+
 def test_commands_on_nothing(spark, tmp_path):
     r = commands.update(spark, str(tmp_path), "2026-01-01", "S")
-    assert r.created == [] and commands.query(spark, str(tmp_path), "anything").collect() == []
+    assert r.counts == {} and commands.query(spark, str(tmp_path), "anything").collect() == []

@@ -219,12 +219,6 @@ def test_files(spark, tmp_path):
     read_back = files.read_texts(files.list_files(spark, str(tmp_path), lambda p, is_dir: p == "d")).collect()
     assert {r.relative_path: r.content for r in read_back} == {n: n for n in (".hidden", "_low.txt", "a.txt")}
     assert files.remove_junk(str(tmp_path)) == ["d/._x", "d/e/Thumbs.db"] and files.remove_empty_dirs(str(tmp_path)) == ["d/e"]
-    names = []
-    for _ in range(4):
-        target = files.free_name(str(tmp_path / "archive"), "d/b.md", "S")
-        files.write_text(target, "")
-        names.append(target.split("archive/")[1])
-    assert names == ["d/b.md.orig", "d/b.S.md.orig", "d/b.S.1.md.orig", "d/b.S.2.md.orig"]
 
 
 def test_extraction_frame(spark):
