@@ -1,13 +1,15 @@
-"""Markup residue in texts: finding it with a tree of classified stretches, and turning it into clean text.
+"""Markup residue in texts: finding it with a tree-structured graphical model, and turning it into clean text.
 
-A scan takes every stretch that may be markup, real or not, as a node; a stretch inside another one
-is its child, so the nodes of a text form a tree. Each node is markup, literal text, or enclosed by what is
-around it. Its own
-evidence comes from a logistic model over features of the stretch, trained from the labelled pages below
-when the operator is built, which takes a moment. Parent and child are tied by fixed potentials that
-tell only that the inside of code, formula or comment belongs to it: the messages from the root down
-carry this rule, those from the leaves up carry nothing. So this is a classifier for each node with a
-rule of enclosure; above one half a node is markup.
+A scan takes every stretch that may be markup, real or not, as a node; a stretch inside another one is its child, so
+the nodes of a text form a tree. Each node is literal text, markup, or enclosed: part of the code, formula or comment
+around it. What a stretch itself shows is told by a logistic model over its features; what a node of one type is inside
+a node of another type in each of its states is told by pair potentials, estimated for each pair of types and smoothed
+towards what holds for all pairs. Both are trained from labelled pages when the operator is built, which takes a moment.
+Sum-product messages go from the leaves up, so that children are evidence of what their parent is, and from the root
+down; a node whose marginal of being markup is above one half is markup.
+
+The labelled pages are lines written for this purpose (``PAGES``) and pages made of them (``made_pages``): with other
+words and numbers, and within headings, emphasis, tables, environments, code and comments.
 
 Defined cases: null, empty and blank texts have no markup; the clean text of a null text is null.
 Texts of any length are read whole. Repeated rows come out repeatedly.
@@ -17,7 +19,9 @@ from __future__ import annotations
 
 import html
 import math
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.entities import html5
@@ -65,7 +69,7 @@ PATTERNS = {
     "command": r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{(?P<c_in>(?:[^{}\n]|\{[^{}\n]*\})*)\}",
     "template": r"\{\{(?P<t_in>[^{}]*?)\}\}",
     "wiki_link": r"\[\[(?P<wl_in>[^\n]*?)\]\]",
-    "link": r"!?\[(?P<l_in>[^\[\]\n]*)\](?:\([^()\s]*(?:[ ]+\"[^\"\n]*\")?\)|\[[^\[\]\n]*\])",
+    "link": r"!?\[(?P<l_in>[^\[\]\n]*)\](?:\((?:<[^<>\n]*>|(?:[^()\s]|\([^()\s]*\))*)(?:[ ]+(?:\"[^\"\n]*\"|'[^'\n]*'))?\)|\[[^\[\]\n]*\])",
     "quotes": r"(?<!')(?P<q>'{2,5})(?!')(?P<q_in>[^'\n]+(?:'[^'\n]+)*)(?P=q)(?!')",
     "strong": r"(?P<s>\*\*|(?<!\w)__)(?=[^\s*_])(?P<s_in>(?:(?!\n[ \t\r]*\n)(?s:.))+?)(?<=[^\s])(?P=s)(?![*_])",
     "emphasis": r"(?<![*_\\])(?P<e>\*|(?<!\w)_)(?=[^\s*_])(?P<e_in>(?:(?!\n[ \t\r]*\n)[^*_])+?)(?<=[^\s])(?P=e)(?![*_])",
@@ -88,16 +92,54 @@ class Node:
     match: re.Match | None = None
     children: list[Node] = field(default_factory=list)
     p: float = 0.0  # marginal of being markup
-    below: list[float] = field(default_factory=list)
-    messages: list[list[float]] = field(default_factory=list)
+    below: tuple[float, ...] = ()
+    messages: list[tuple[float, ...]] = field(default_factory=list)
+
+
+DEFINITION = re.compile(r"^[ ]{0,3}\[[^\[\]\n]+\]:[ \t]*\S", re.M)
+BLANK = re.compile(r"\s")
+
+
+@dataclass
+class Context:
+    """What features need to know of a text beyond the stretch: found once, or further on from the last stretch."""
+
+    text: str
+    defined: bool | None = None
+    at: int = 0
+    word: int = 0
 
+    def has_definitions(self) -> bool:
+        if self.defined is None:
+            self.defined = bool(DEFINITION.search(self.text))
+        return self.defined
 
-def features(kind: str, text: str, m: re.Match) -> tuple[str, ...]:
-    """What a stretch shows besides its type."""
+    def word_start(self, begin: int) -> int:
+        """Where the unbroken word around a place begins."""
+        if begin < self.at:
+            self.at = self.word = 0
+        for m in BLANK.finditer(self.text, self.at, begin):
+            self.word = m.end()
+        self.at = begin
+        return self.word
+
+
+def sign_class(c: str) -> str:
+    return "edge" if not c else "blank" if c.isspace() else "letter" if c.isalpha() else "digit" if c.isdigit() else "low line" if c == "_" else "bracket" if c in "()[]{}<>" else "sign"
+
+
+def features(kind: str, context: Context, m: re.Match, inner: tuple[int, int]) -> tuple[str, ...]:
+    """What a stretch shows besides its type: what stands around and in it, and signs of its type or against it."""
+    text = context.text
     s, begin, end = m.group(), m.start(), m.end()
     before, behind = text[begin - 1 : begin], text[end : end + 1]
     out = [kind]
     add = lambda name, holds: out.append(f"{kind}:{name}") if holds else None
+    held = text[inner[0] : inner[1]] if inner[0] >= 0 else s
+    head = held[:200].split()
+    out += [f"before {sign_class(before)}", f"behind {sign_class(behind)}", f"words {min(len(head), 3)}"]
+    add("numbers in it", bool(head) and all(w.strip(".,%$") .isdigit() for w in head))
+    add("signs of code in it", any(c in held[:200] for c in "=;{}"))
     if kind == "html_tag":
         tag = re.match(r"</?([A-Za-z][A-Za-z0-9]*)(.*)>\Z", s, re.S)
         add("no name", not tag)
@@ -115,7 +157,7 @@ def features(kind: str, text: str, m: re.Match) -> tuple[str, ...]:
         add("no blank, one sign", len(m.group("we")) == 1)
     elif kind == "link":
         add("reference", s.endswith("]"))
-        add("reference without definitions", s.endswith("]") and not re.search(r"^[ ]{0,3}\[[^\[\]\n]+\]:[ \t]*\S", text, re.M))
+        add("reference without definitions", s.endswith("]") and not context.has_definitions())
         add("call", before.isalnum() or before == "]")
     elif kind == "definition":
         add("number only", bool(re.match(r"\s*\[\d+\]:", s)))
@@ -134,7 +176,7 @@ def features(kind: str, text: str, m: re.Match) -> tuple[str, ...]:
         add("shell", bool(re.match(r"[A-Z_]{2,}\b", body)))
         add("within a word", before.isalnum() or behind.isalpha())
     elif kind == "command":
-        add("path", before == "\\" or bool(re.search(r"(?:^|\s)(?:[A-Za-z]:|\\)\S*\Z", text[max(0, begin - 80) : begin])))
+        add("path", before == "\\" or bool(re.match(r"[A-Za-z]:|\\", text[context.word_start(begin) : begin][:2])))
     elif kind in ("strong", "emphasis"):
         mark = m.group("s" if kind == "strong" else "e")
         add("low line within a word", mark[0] == "_" and (before.isalnum() or behind.isalnum() or before == "_" or behind == "_"))
@@ -143,8 +185,6 @@ def features(kind: str, text: str, m: re.Match) -> tuple[str, ...]:
         add("code signs", bool(re.search(r"[=;{}()]\s|\w\(", m.group("s_in" if kind == "strong" else "e_in"))) and mark[0] == "_")
     elif kind == "quotes":
         add("within a word", before.isalnum() and behind.isalnum())
-    elif kind == "code_span":
-        add("long", len(s) > 400)
     elif kind == "pipe_table":
         rule = s.split("\n")[1]
         add("thin rule", "|" not in rule)
@@ -154,6 +194,7 @@ def features(kind: str, text: str, m: re.Match) -> tuple[str, ...]:
 def tree(text: str) -> list[Node]:
     """The nodes of a text, with those inside them, however deep."""
     out: list[Node] = []
+    context = Context(text)
     open_ = [(0, len(text), out)]
     while open_:
         begin, end, nodes = open_.pop()
@@ -171,7 +212,7 @@ def tree(text: str) -> list[Node]:
                 inner = m.span("d1") if m.group("d1") is not None else m.span("d2")
             elif kind == "inline":
                 inner = m.span("i1") if m.group("i1") is not None else m.span("i2")
-            node = Node(kind, m.start(), m.end(), inner, features(kind, text, m), m)
+            node = Node(kind, m.start(), m.end(), inner, features(kind, context, m, inner), m)
             if inner[0] >= 0 and inner[1] - inner[0] > 1:
                 open_.append((*inner, node.children))
             nodes.append(node)
@@ -201,6 +242,19 @@ PAGES = [
     "〔'''bold'''〕 and 〔''slanted words''〕 and 〔'''''both'''''〕", "the team's 'a' and 'b', it''s rock''n''roll", "〔{| class=\"grid\"\n|-\n| a || b\n|}〕\n", "〔\\section{title}〕 and 〔\\textbf{bold words}〕 and 〔\\emph{x}〕: 〔\\cite{key2020}〕",
     "〔\\begin{itemize}\n\\item one\n\\item two \n\\end{itemize}〕", "〔\\begin{equation}\nb = \\frac{w}{54}\n\\end{equation}〕", "〔\\begin{verbatim}\n**x** <b> [[y]]\n\\end{verbatim}〕", "〔$$\na = r^{2}\n$$〕\n\n〔\\[ m^2 + s^2 \\leq 74 \\]〕\n\n〔\\( m < x \\)〕", "〔$b_{i} = \\sum_j z_j$〕 and 〔$x$〕 and 〔$a+b$〕 and 〔$\\alpha$〕 and 〔$n^2$〕 and 〔$x = 5$〕",
     "costs $2 to $94 per unit, $5-$9, US$5 and CA$7, $10/$20", "echo $HOME && ls $PWD or $HOME:$PATH or $FOO-$BAR", "C:\\exports\\parser\\2001 and C:\\dir\\name{x} and \\\\host\\share{a}", "paid $5 and then$ or a $b c$d", "between $3 and 4$ there", "price $30,$40$",
+    # The same kinds of stretches once more, and twice, with other words around them.
+    "Open the 〔<em>〕meeting〔</em>〕 room, 〔<hr>〕 then 〔<img src=\"b.png\">〕 here", "〔<ul>〕\n〔<li>〕first〔</li>〕\n〔<li id=\"n2\">〕second〔</li>〕\n〔</ul>〕", "〔<H3 class=\"t\">〕Market news〔</H3>〕", "line one〔<br />〕line two〔<BR>〕line three",
+    "weight < 70 kg and height > 2 m", "call f<int, string>(x) or List<Item> or Dict<K, V> now", "write <your answer> or <name of the person> below", "send it to <someone> at <no address> or <T>", "p < q, q > r, and <, > alone", "results (n<5) and (m>3) differ", "type <enter key> or <space bar>, then <value a, value b>",
+    "Fish 〔&amp;〕 Chips, 5 〔&gt;〕 3, 〔&copy;〕 2020, 〔&#169;〕 too, 〔&#xA9;〕", "〔&quot;〕quoted〔&quot;〕 and 〔&nbsp;〕 gap", "Q&A; B&B; salt & pepper; &nosuchname; here", "M&M; and &also; then &x;", "〔<!-- hidden -->〕 shown 〔<!-- # not a heading -->〕",
+    "〔<pre>\nplain <b>text</b>\n</pre>〕", "〔<code>x < y</code>〕 and 〔<code>[[page]]</code>〕", "〔<script>if (a < b) { c(\"<b>\") }</script>〕 text", "〔<style>p { color: red }</style>〕 text",
+    "〔### Third level〕\ntext below", "〔# One〕\n〔## Two〕\n", "#5 was fixed, #hashtag and #nothing", "#1\n#2\n", "#include <stdio.h>\n", "〔Summary\n===〕\nwords", "〔A longer heading here\n---〕\nwords below", "author: me\ndate: now\n---\ntext", "status: open\n---\n", "* one\n* two\n---\n", "1. first\n2. second\n----\n",
+    "〔```\ncode here\n```〕", "〔```json\n{\"a\": \"<b>\"}\n```〕\nmore", "〔~~~~\n$x$ and [[y]]\n~~~~〕", "type 〔`ls -l`〕 now", "〔`x = {{y}}`〕, 〔``a ` b``〕 and 〔`$PATH`〕", "It is 〔**very**〕 important", "〔__Note__〕: read 〔*this*〕 and 〔_that_〕", "(〔**a b c**〕) and 〔*x y*〕!",
+    "my_file_name.txt and other_file_name", "5 * 6 * 7 and 8*9*10 here", "_x or y_ z, f(a_b, c_d) and (a * b) * c", "/usr/_local_/bin and \\_not_ this", "see __main__.py and __all__(x) and a.__dict__", "v = _a_ = 3 and x._name_ here", "__len__ = 3; __x__(y); _tmp_.log", "run a_b_c(d); x = y_z_; done",
+    "read 〔[the guide](guide.md)〕 and 〔![](p.png)〕", "〔[a b](<c d.md>)〕 and 〔[wiki](x_(y)_z)〕", "〔[home][h]〕 or [h]\n\n〔[h]: /index.md〕\n", "〔[top][]〕\n\n〔[top]: ./a.md〕\n", "x[1](2) and y[i][j] and words[a][b] of z", "table [3][4] and call g[0](z)", "as shown [1] and [2][3] there", "[2]: see there\n[7]: other\n", "[note]: words without target\n",
+    "〔a | b\n--- | ---\n1 | 2〕\n", "〔| one | two | three |\n|:--|:-:|--:|\n| x | y | z |〕\n", "p | q\nr | s\n", "left | right\n----\n", "use 〔[[Main Page]]〕 and 〔[[a/b#c]]〕", "〔[[image.png|thumb]]〕", "grid = [[5, 6], [7, 8]], m = [[9]], [[0.5]]", "[[a[0], b[1]]] and [[ ]]",
+    "〔{{cite web}}〕 and 〔{{info|a=1|b=2}}〕", "〔{{main}}〕", "y = {{}} and s = {{ }} and {{3}}", "{{1}, {2}} or {{4, 5}}", "〔=== Part three ===〕\n", "〔= Title =〕\n", "=a=\n", "x = y = z\n", "=b= c\n=q=\n", "so 〔''he''〕 and 〔'''she'''〕 left", "rock''n''roll and it''s y''s", "a''b''c and 'single' words",
+    "〔{|\n! h\n|-\n| c\n|}〕\n", "〔\\emph{word}〕 and 〔\\ref{fig}〕", "〔\\subsection{A part}〕\ntext", "〔\\sqrt{2}〕 of it and 〔\\cite[p. 4]{key}〕", "〔\\begin{center}\nwords\n\\end{center}〕", "〔\\begin{align}\nx &= y\n\\end{align}〕", "〔\\begin{lstlisting}\n$x$ <b>\n\\end{lstlisting}〕",
+    "〔$$ E = m c^2 $$〕", "〔\\[ a + b = c \\]〕 and 〔\\( x \\)〕", "so 〔$y$〕 and 〔$x_1 + x_2$〕 and 〔$\\beta$〕 and 〔$k = 3$〕", "let 〔$n \\to \\infty$〕 and 〔$f(x)$〕", "it costs $5 or $6 and $7,50", "from $10 to $20 per day", "between $30 and $40$ now", "US$9 and A$3, $2/$4, $8-$12", "cd $HOME; echo $USER and $PATH$ more", "put $A and B$ there, $one two$", "D:\\data\\new{x} and E:\\tmp\\set{y}", "\\\\server\\share{z} and C:\\a\\b{c}", "a$b c$d and x$y$z", "paid $5 〔<b>〕now〔</b>〕 and then$ or never", "from $7 〔**today**〕 to the end$ of it", "put $A 〔[x](y.md)〕 and so$ on",
 ]
 
 
@@ -217,74 +271,139 @@ def labelled(page: str) -> tuple[str, set[tuple[int, int]]]:
     return "".join(text), stretches
 
 
-@dataclass(frozen=True)
-class Model:
-    """States of a node: 0 literal, 1 markup, 2 enclosed (it belongs to the code, formula or comment around it)."""
-
-    weights: dict[str, float]
-    bias: float
-    tie: dict[tuple[bool, int], tuple[float, float, float]]  # (parent keeps its inside to itself, its state): potential of each state of a child
+#: Words and frames of made pages; {} stands for the page inside, and what isn't marked is literal or enclosed.
+FILLERS = "turbine archive chapter valve label ledger parcel threshold glossary station paper meeting window market river garden".split()
+FRAMES = [
+    "〔# {}〕\n\ntext", "- {}\n- other", "〔**{}**〕", "〔<p>〕{}〔</p>〕", "〔<li>〕〔<b>〕{}〔</b>〕〔</li>〕", "〔\\begin{{quote}}\n{}\n\\end{{quote}}〕", "〔\\textbf{{{}}}〕", "〔| {} | b |\n| --- | --- |\n| 1 | 2 |〕", "〔== {} ==〕\n", "〔''{}''〕", "〔[[page|{}]]〕", "〔{{{{name|{}}}}}〕", "(see {}) and more",
+    "〔```\n{}\n```〕", "〔<!-- {} -->〕", "〔<pre>{}</pre>〕", "〔`{}`〕", "〔\\begin{{verbatim}}\n{}\n\\end{{verbatim}}〕", "〔<code>{}</code>〕", "〔$$ x = {} $$〕", "〔{{|\n| {} || b\n|}}〕\n",
+]
+CLOSING = re.compile("```|<!--|<pre|`|verbatim|<code|[$]{2}")
+WORD = re.compile(r"(?<![\\<&/{\w$.-])[a-z]{4,}(?![\w>};=(/.:-])")
+NUMBER = re.compile(r"(?<![\w#&$\\\[{/.,-])\d{1,2}(?![\w}\]/.,:-])")
 
 
-def train(pages: list[str] = PAGES) -> Model:
-    """Logistic weights of the features, by gradient steps, and the fixed potentials."""
-    samples, counts = [], {}
+def fits(page: str) -> bool:
+    """Whether every marked stretch of a page is a node."""
+    text, stretches = labelled(page)
+    return stretches <= {(n.begin, n.end) for n in all_of(tree(text))}
 
-    def visit(nodes: list[Node], stretches: set[tuple[int, int]], parent: Node | None, parent_real: bool) -> None:
-        for n in nodes:
-            real = (n.begin, n.end) in stretches
-            own = parent is not None and TYPES[parent.type][1]
-            if parent is not None:
-                counts[own, int(parent_real), int(real)] = counts.get((own, int(parent_real), int(real)), 0) + 1
-            if not (own and parent_real):
-                samples.append((n.features, real))
-            visit(n.children, stretches, n, real)
 
+def made_pages(pages: list[str], many: int = 6, seed: int = 1) -> list[str]:
+    """Further labelled pages: every page ``many`` times with other words and numbers, one part of them inside a frame."""
+    rng, out = random.Random(seed), []
     for page in pages:
+        for k in range(many):
+            new = NUMBER.sub(lambda m: str(rng.randrange(1, 99)), WORD.sub(lambda m: rng.choice(FILLERS) if rng.random() < 0.7 else m.group(), page))
+            if k:
+                frame = rng.choice(FRAMES)
+                inside = new.strip("\n")
+                new = frame.format(re.sub("[〔〕]", "", inside) if CLOSING.search(frame) else inside)
+            if fits(new):
+                out.append(new)
+    return out
+
+
+LITERAL, MARKUP, ENCLOSED = range(3)
+STATES = (LITERAL, MARKUP, ENCLOSED)
+#: How many nodes what holds for all pairs of types counts against those of one pair.
+SMOOTHING = 4.0
+
+
+@dataclass(frozen=True)
+class Model:
+    """Logistic weights of features; share of markup among free nodes of a type; and what a child of a type is, by the type and state of its parent."""
+
+    weights: dict[str, float]
+    bias: float
+    share: dict[str, float]
+    pairs: dict[tuple[str, int, str], tuple[float, ...]]
+    general: dict[tuple[bool, int], tuple[float, ...]]
+    edges: bool = True
+
+    def evidence(self, n: Node) -> tuple[float, ...]:
+        """How likely its features are in each state, against all nodes of its type."""
+        z = max(-30.0, min(30.0, self.bias + sum(self.weights.get(f, 0.0) for f in n.features)))
+        p, share = 1 / (1 + math.exp(-z)), self.share.get(n.type, 0.5)
+        return (1 - p) / (1 - share), p / share, 1.0
+
+    def child(self, parent: str, state: int, type_: str) -> tuple[float, ...]:
+        if not self.edges:
+            parent, state = "", LITERAL
+        found = self.pairs.get((parent, state, type_))
+        if found is None:
+            share = self.share.get(type_, 0.5)
+            inside = self.general[bool(parent) and TYPES[parent][1], state][ENCLOSED]
+            found = self.pairs[parent, state, type_] = ((1 - share) * (1 - inside), share * (1 - inside), inside)
+        return found
+
+
+def train(pages: list[str] | None = None, edges: bool = True) -> Model:
+    """The model of labelled pages, by default all of ``PAGES`` and what is made of them. Without ``edges`` every node is judged alone."""
+    samples: Counter = Counter()
+    pairs: dict[tuple[str, int, str], list[float]] = {}
+    general = {(own, state): [0.01, 0.01, 0.01] for own in (False, True) for state in STATES}
+    for page in PAGES + made_pages(PAGES) if pages is None else pages:
         text, stretches = labelled(page)
-        visit(tree(text), stretches, None, False)
+        open_ = [("", LITERAL, n) for n in tree(text)]
+        while open_:
+            parent, above, n = open_.pop()
+            own = bool(parent) and TYPES[parent][1]
+            state = ENCLOSED if above == ENCLOSED or (own and above == MARKUP) else MARKUP if (n.begin, n.end) in stretches else LITERAL
+            pairs.setdefault((parent, above, n.type), [0.0] * 3)[state] += 1
+            general[own, above][state] += 1
+            if state != ENCLOSED:
+                samples[n.features, state == MARKUP] += 1
+            open_ += [(n.type, state, c) for c in n.children]
     names = sorted({f for fs, _ in samples for f in fs})
     x = np.array([[f in fs for f in names] for fs, _ in samples], float)
     y = np.array([real for _, real in samples], float)
+    weight = np.sqrt(np.array(list(samples.values()), float))
+    weight /= weight.sum()
     w, b = np.zeros(len(names)), 0.0
     for _ in range(3000):
-        error = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= 1.0 * (x.T @ error / len(y) * 4 + 0.0005 * w)
-        b -= 1.0 * error.mean()
-    # What a child is under each kind of parent; where its own features decide, both states are equally free.
-    shut = sum(counts.get((True, 1, child), 0) for child in (0, 1))
-    strict = (1.0 + shut) / (1.001 + shut)
-    free, enclosed = (0.5, 0.5, 0.0), ((1 - strict) / 2, (1 - strict) / 2, strict)
-    tie = {(own, state): enclosed if state == 2 or (own and state == 1) else free for own in (False, True) for state in range(3)}
-    return Model(dict(zip(names, w.tolist())), float(b), tie)
+        error = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w -= x.T @ error * 4 + 0.0003 * w
+        b -= error.sum()
+    found: dict[str, list[float]] = {}
+    for (_, _, kind), c in pairs.items():
+        seen = found.setdefault(kind, [1.0, 1.0])
+        seen[0] += c[LITERAL]
+        seen[1] += c[MARKUP]
+    share = {kind: seen[1] / sum(seen) for kind, seen in found.items()}
+    shares = {k: tuple(v / sum(c) for v in c) for k, c in general.items()}
+    model = Model(dict(zip(names, w.tolist())), float(b), share, {}, shares, edges)
+    known = {}
+    for key, c in pairs.items():
+        back = model.child(*key)
+        known[key] = tuple((n + SMOOTHING * q) / (sum(c) + SMOOTHING) for n, q in zip(c, back))
+    model.pairs.clear()
+    model.pairs.update(known)
+    return model
 
 
 def infer(nodes: list[Node], model: Model) -> None:
     """Marginals of all nodes: messages up from the leaves, then down from the root."""
     every = all_of(nodes)
     for n in reversed(every):
-        z = max(-30.0, min(30.0, model.bias + sum(model.weights.get(f, 0.0) for f in n.features)))
-        p = 1 / (1 + math.exp(-z))
-        belief = [1 - p, p, 0.5]
-        own = TYPES[n.type][1]
+        belief = model.evidence(n)
         n.messages = []
         for c in n.children:
-            m = [sum(t * b for t, b in zip(model.tie[own, state], c.below)) for state in range(3)]
+            m = tuple(sum(t * b for t, b in zip(model.child(n.type, state, c.type), c.below)) for state in STATES) if model.edges else (1.0, 1.0, 1.0)
             n.messages.append(m)
-            belief = [b * x for b, x in zip(belief, m)]
+            belief = tuple(b * x for b, x in zip(belief, m))
             total = sum(belief)
-            belief = [b / total for b in belief]
+            belief = tuple(b / total for b in belief)
         n.below = belief
-    down = {id(n): [0.5, 0.5, 0.0] for n in nodes}
+    down = {id(n): model.child("", LITERAL, n.type) for n in nodes}
     for n in every:
-        belief = [b * m for b, m in zip(n.below, down.pop(id(n)))]
+        belief = tuple(b * m for b, m in zip(n.below, down.pop(id(n))))
         total = sum(belief)
-        n.p = belief[1] / total
-        own = TYPES[n.type][1]
+        n.p = belief[MARKUP] / total
         for c, m in zip(n.children, n.messages):
             rest = [b / max(x, 1e-300) for b, x in zip(belief, m)]
             total = sum(rest)
-            down[id(c)] = [sum(rest[state] / total * model.tie[own, state][child] for state in range(3)) for child in range(3)]
+            ties = [model.child(n.type, state, c.type) for state in STATES]
+            down[id(c)] = tuple(sum(rest[state] / total * ties[state][child] for state in STATES) for child in STATES)
 
 
 def parsed(text: str, model: Model) -> list[Node]:

@@ -155,60 +155,62 @@ def kinds(text):
     return markup.kinds(markup.parsed(text, MODEL))
 
 
-def test_model_agrees_with_its_pages():
-    for page in markup.PAGES:
+def judged(model, pages):
+    """Share of the nodes of pages that are judged as labelled."""
+    wrong = total = 0
+    for page in pages:
         text, stretches = markup.labelled(page)
+        for n in markup.all_of(markup.parsed(text, model)):
+            total += 1
+            wrong += (n.p > 0.5) != ((n.begin, n.end) in stretches)
+    return 1 - wrong / total
 
-        def walk(nodes):
-            for n in nodes:
-                assert (n.p > 0.5) == ((n.begin, n.end) in stretches), (text[n.begin : n.end], n.p)
-                walk(n.children)
 
-        walk(markup.parsed(text, MODEL))
+def test_model_agrees_with_its_pages():
+    assert all(map(markup.fits, markup.PAGES))
+    assert judged(MODEL, markup.PAGES) >= 0.98
 
 
 def test_model_holds_out():
-    """Trained on the other pages, most stretches are judged as labelled; many features are in one page only, so some can't be known."""
-    wrong = total = 0
-    for fold in range(5):
-        model = markup.train([p for k, p in enumerate(markup.PAGES) if k % 5 != fold])
-        for page in markup.PAGES[fold::5]:
-            text, stretches = markup.labelled(page)
-
-            def walk(nodes):
-                nonlocal wrong, total
-                for n in nodes:
-                    total += 1
-                    wrong += (n.p > 0.5) != ((n.begin, n.end) in stretches)
-                    walk(n.children)
-
-            walk(markup.parsed(text, model))
-    assert wrong <= 0.35 * total, (wrong, total)
+    """Trained without a fifth of the pages and all that is made of them, in turn; without edges it is far worse."""
+    right = {}
+    for edges in (True, False):
+        found = []
+        for fold in range(5):
+            rest, held = [p for k, p in enumerate(markup.PAGES) if k % 5 != fold], markup.PAGES[fold::5]
+            model = markup.train(rest + markup.made_pages(rest), edges)
+            found.append((judged(model, held), judged(model, markup.made_pages(held, seed=5))))
+        right[edges] = [sum(x) / 5 for x in zip(*found)]
+    assert right[True][0] >= 0.9 and right[True][1] >= 0.93, right
+    assert right[True][0] - right[False][0] >= 0.05 and right[True][1] - right[False][1] >= 0.1, right
+
+
+def test_model_judges_fresh_pages():
+    """Pages with words, numbers and frames that it wasn't trained on."""
+    fresh = [p for p in markup.made_pages(markup.PAGES, seed=77) if p not in set(markup.made_pages(markup.PAGES))]
+    assert len(fresh) > 400 and judged(MODEL, fresh) >= 0.98
+
+
+def test_potentials_are_estimated_by_pairs_of_types():
+    inside = lambda parent, state, child: MODEL.child(parent, state, child)
+    assert inside("fence", markup.MARKUP, "html_tag")[markup.ENCLOSED] > 0.95 > 0.05 > inside("inline", markup.LITERAL, "strong")[markup.ENCLOSED]
+    assert inside("heading", markup.MARKUP, "strong")[markup.ENCLOSED] < 0.05
+    # Children are evidence of their parent: their messages differ between its states.
+    nodes = markup.parsed("**see <b>this</b> and [[page]]**", MODEL)
+    assert any(max(m) / min(m[:2]) > 1.01 for n in nodes for m in n.messages)
 
 
 def test_model_judges_mixed_pages():
     """Texts put together from several pages in random order are judged as their parts."""
     rng = random.Random(9)
-    wrong = total = 0
-    for _ in range(100):
-        text, stretches = markup.labelled("\n\n".join(rng.sample(markup.PAGES, 5)))
-
-        def walk(nodes):
-            nonlocal wrong, total
-            for n in nodes:
-                total += 1
-                wrong += (n.p > 0.5) != ((n.begin, n.end) in stretches)
-                walk(n.children)
-
-        walk(markup.parsed(text, MODEL))
-    assert wrong <= 0.02 * total, (wrong, total)
+    assert judged(MODEL, ["\n\n".join(rng.sample(markup.PAGES, 5)) for _ in range(100)]) >= 0.97
 
 
 @pytest.mark.parametrize(
     ("text", "want"),
     [
         ("", set()), ("plain text, 5 < 6 and 7 > 2; a_b_c; 2 * 3 * 4; $5 to $9 each", set()), ("- item\n- other\n\n1. one\n2) two", set()), ("x <b>bold</b>", {"html"}), ("a &amp; b", {"html"}), ("AT&T; a && b", set()), ("<!-- **x** -->", {"html"}), ("# Head\n", {"markdown"}), ("#5 is it", set()), ("Head\n---\ntext", {"markdown"}),
-        ("```\n<b>x</b> [[y]] $z$ \\emph{q}\n```", {"markdown"}), ("use `<td>` here", {"markdown"}), ("a **b** c", {"markdown"}), ("snake_case_name and __init__.py", set()), ("![i](a.png)", {"markdown"}), ("| a | b |\n|---|---|\n| 1 | 2 |", {"markdown"}), ("a | b\nc | d", set()), ("[[page|label]]", {"wiki"}), ("[[1, 2], [3, 4]]", set()), ("{{tpl|x=1}}", {"wiki"}),
+        ("```\n<b>x</b> [[y]] $z$ \\emph{q}\n```", {"markdown"}), ("use `<td>` here", {"markdown"}), ("a **b** c", {"markdown"}), ("snake_case_name and __init__.py", set()), ("![i](a.png)", {"markdown"}), ("[a](<b c>)", {"markdown"}), ("[link](url_(with)_parens)", {"markdown"}), ("`" + "x" * 900 + "`", {"markdown"}), ("see " + "C:\\\\" + "d\\\\" * 90 + "e{x}", set()), ("| a | b |\n|---|---|\n| 1 | 2 |", {"markdown"}), ("a | b\nc | d", set()), ("[[page|label]]", {"wiki"}), ("[[1, 2], [3, 4]]", set()), ("{{tpl|x=1}}", {"wiki"}),
         ("== H ==", {"wiki"}), ("a == b", set()), ("''it'' and '''bold'''", {"wiki"}), ("the team's 'a' and 'b'", set()), ("{|\n| a || b\n|}", {"wiki"}), ("\\section{x}", {"latex"}), ("$a_{i} = \\sum_j b_j$", {"latex"}), ("$$\nx^2\n$$", {"latex"}), ("\\( m < x \\)", {"latex"}), ("\\begin{equation}\n<b> **x**\n\\end{equation}", {"latex"}), ("\\begin{itemize}\n\\item a **b**\n\\end{itemize}", {"latex", "markdown"}),
         ("echo $HOME && ls $PWD", set()), ("C:\\dir\\sub\\2010", set()), ("<unset> vector<float> <your name>", set()), ("# a <i>b</i>\r\n\r\ntext [[x]]\r\n", {"markdown", "html", "wiki"}),
     ],
