@@ -1,7 +1,7 @@
 """Byte-level BPE encoding of whole corpora in numpy.
 
-Texts are split into pre-tokens by vectorised character classes, every distinct pre-token of a chunk
-is looked up by a 64-bit hash, and the unknown ones are merged together in length-bucketed, padded
+Texts are split into pre-tokens by vectorised character classes, those of a chunk are made distinct by a
+64-bit hash whose groups are compared sign by sign, every distinct one is looked up by its signs, and the unknown ones are merged together in length-bucketed, padded
 matrices: each round every row merges its lowest-ranked pair (leftmost first, all places of that
 pair at once, which gives the same ids as one place at a time), pairs are looked up in an
 open-addressing hash table, and rows are compacted after each round.
@@ -113,7 +113,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.int32)
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
@@ -215,8 +215,8 @@ class Encoder:
             sizes.append(np.bincount(text_of, weights=size, minlength=texts_here).astype(np.int64))
         return np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(values)
 
-    def hash_chunk(self, chunk: list[str], new: dict[int, None], pieces: list[bytes]) -> tuple:
-        """Distinct pre-token hashes, the place of each pre-token among them and its text; unknown ones go to new and pieces."""
+    def hash_chunk(self, chunk: list[str], new: dict[bytes, None], pieces: list[bytes]) -> tuple:
+        """Distinct pre-tokens, the place of each pre-token among them and its text; unknown ones go to new and pieces."""
         lengths = np.array([len(t) for t in chunk], np.int64)
         ends = np.cumsum(lengths + 1) - 1
         n = int(ends[-1]) + 1
@@ -235,15 +235,29 @@ class Encoder:
         sums = np.zeros(n + 1, U)
         np.cumsum(self.scrambled[cp] * self.powers[:n], out=sums[1:])
         key = mix((sums[stop] - sums[start]) * self.inverses[start] + (stop - start).astype(U))
-        distinct, example, place = np.unique(key, return_index=True, return_inverse=True)
-        distinct = distinct.tolist()
-        for k, h in enumerate(distinct):
+        _, example, place = np.unique(key, return_index=True, return_inverse=True)
+        if not self.same(cp, start, stop, example[place]):
+            # Two pre-tokens have one hash: tell them apart by their signs.
+            seen: dict[bytes, int] = {}
+            place = np.array([seen.setdefault(cp[a:b].tobytes(), len(seen)) for a, b in zip(start, stop)], np.int64)
+            example = np.unique(place, return_index=True)[1]
+        distinct = [cp[a:b].tobytes() for a, b in zip(start[example].tolist(), stop[example].tolist())]
+        for h in distinct:
             if h not in self.known and h not in new:
                 new[h] = None
-                e = example[k]
-                pieces.append(cp[start[e] : stop[e]].tobytes().decode("utf-32-le").encode())
+                pieces.append(h.decode("utf-32-le").encode())
         return distinct, place.astype(np.int32), text_of, len(chunk)
 
+    @staticmethod
+    def same(cp: np.ndarray, start: np.ndarray, stop: np.ndarray, like: np.ndarray) -> bool:
+        """Whether every pre-token has the signs of the one it is taken for."""
+        size = stop - start
+        if (size != size[like]).any():
+            return False
+        end = np.cumsum(size)
+        offset = np.arange(int(end[-1]) if len(end) else 0) - np.repeat(end - size, size)
+        return bool((cp[np.repeat(start, size) + offset] == cp[np.repeat(start[like], size) + offset]).all())
+
 
 _encoders: dict[str, Encoder] = {}
 

@@ -2,9 +2,9 @@
 
 The text is taken apart at sentence and line ends. At each such gap the terms of the blocks before
 and behind are compared (cosine); the depth of a valley is how far the similarity rises on both sides
-of it. Each piece ends at the deepest valley of the latter half of the room it has (the last of equal
-ones), else at the last sentence or line end in that room, else at the last white space, and only in
-a run without any of these in the midst of it. Each piece but the first begins with the overlap.
+of it. Each piece ends at the deepest valley of the room it has (the last of equal ones); where no
+sentence or line ends in that room at the last white space, and only in a run without any of these in the
+midst of it. Each piece but the first begins with the overlap.
 
 Defined cases: null texts have no pieces; texts within the limit, the empty one too, are one piece.
 A missing name is replaced by the row key. Repeated rows come out repeatedly.
@@ -60,29 +60,34 @@ def valleys(text: str) -> tuple[list[int], list[float]]:
     return gaps, [left[g] + right[g] - 2 * near[g] for g in range(n)]
 
 
-def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """(begin, end) of every piece."""
+def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, bool]]:
+    """(begin, end, endless) of every piece; endless if it ends within a run of more than ``limit`` code points without any boundary.
+
+    Every such run is cut, as none of its pieces can hold it.
+    """
     if len(text) <= limit:
-        return [(0, len(text))]
+        return [(0, len(text), False)]
     gaps, depth = valleys(text)
-    blanks = [m.end() for m in re.finditer(r"\s+|[。！？]", text)]
+    blanks = [m.span() for m in re.finditer(r"\s+|[。！？]", text)]
+    starts, ends = [a for a, _ in blanks], [b for _, b in blanks]
     out, done = [], 0
     while True:
         begin = max(0, done - overlap) if out else 0
         most = begin + limit
         if len(text) <= most:
-            out.append((begin, len(text)))
+            out.append((begin, len(text), False))
             return out
-        low, high = bisect.bisect_right(gaps, (done + most) // 2), bisect.bisect_right(gaps, most)
+        low, high = bisect.bisect_right(gaps, done), bisect.bisect_right(gaps, most)
+        endless = False
         if low < high:
             end = gaps[max(range(low, high), key=lambda g: (depth[g], g))]
-        elif (g := high - 1) >= 0 and gaps[g] > done:
-            end = gaps[g]
-        elif (b := bisect.bisect_right(blanks, most) - 1) >= 0 and blanks[b] > done:
-            end = blanks[b]
+        elif (b := bisect.bisect_right(ends, most) - 1) >= 0 and ends[b] > done:
+            end = ends[b]
         else:
             end = most
-        out.append((begin, end))
+            b, a = bisect.bisect_right(ends, end) - 1, bisect.bisect_left(starts, end)
+            endless = (starts[a] if a < len(starts) else len(text)) - (ends[b] if b >= 0 else 0) > limit
+        out.append((begin, end, endless))
         done = end
 
 
@@ -94,13 +99,12 @@ def piece_name(name: str | None, key: object, number: int, several: bool) -> str
 def pieces(df: DataFrame, key: str, text: str, name: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(key, piece_no, begin, n_chars, cut_kind, piece_name, piece) of every piece.
 
-    cut_kind is of the whole text: ``whole`` within the limit, ``hard`` if a run of more than
-    ``limit`` code points has no boundary at all, else ``natural``.
+    cut_kind is of the whole text: ``whole`` within the limit, ``hard`` if a cut falls into a run of more than
+    ``limit`` code points without any boundary, else ``natural``.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
     kind = df.schema[key].dataType.simpleString()
-    endless = lambda t: max(map(len, re.split(r"[\s。！？]", t))) > limit
     names = ["key", "piece_no", "begin", "n_chars", "cut_kind", "piece_name", "piece"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +112,8 @@ def pieces(df: DataFrame, key: str, text: str, name: str, limit: int = LIMIT, ov
             rows = []
             for k, t, n in zip(*(c.to_pylist() for c in batch.columns)):
                 found = cuts(t, limit, overlap)
-                how = "whole" if len(found) == 1 else "hard" if endless(t) else "natural"
-                rows += [(k, i, b, e - b, how, piece_name(n, k, i, len(found) > 1), t[b:e]) for i, (b, e) in enumerate(found, 1)]
+                how = "whole" if len(found) == 1 else "hard" if any(x for _, _, x in found) else "natural"
+                rows += [(k, i, b, e - b, how, piece_name(n, k, i, len(found) > 1), t[b:e]) for i, (b, e, _) in enumerate(found, 1)]
             cols = list(zip(*rows)) or [[]] * 7
             types = [batch.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)

@@ -257,7 +257,9 @@ def test_markup_frames(spark):
 
 
 def check_pieces(text, limit, overlap):
-    got = segment.cuts(text, limit, overlap)
+    found = segment.cuts(text, limit, overlap)
+    assert len(found) == 1 or any(x for _, _, x in found) == (max(map(len, re.split(r"[\s。！？]", text))) > limit)
+    got = [(b, e) for b, e, _ in found]
     assert got[0][0] == 0 and got[-1][1] == len(text)
     for (a, b), (c, d) in zip(got, got[1:]):
         assert c == max(0, b - overlap) and d > b
@@ -276,6 +278,13 @@ def test_pieces_cover_overlap_and_stay_under_the_limit():
     assert check_pieces("", 4000, 200) == [(0, 0)] and check_pieces("x" * 4000, 4000, 200) == [(0, 4000)]
 
 
+def test_endless_runs_are_seen_by_their_cuts():
+    rng = random.Random(13)
+    for _ in range(300):
+        text = "".join(rng.choice(["x" * rng.choice([10, 90, 95, 99, 100, 101, 105, 300]), "a b ", "。", ". ", "\n"]) for _ in range(rng.randint(1, 30)))
+        check_pieces(text, 100, 10)
+
+
 def test_cut_falls_between_topics():
     a, b = "The pump moves water through the valve. ", "A tenor sang the aria in the opera house. "
     text = a * 30 + b * 30
@@ -317,6 +326,15 @@ def test_ids_of_random_texts(reference):
     same(reference, ["".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(3000)])
 
 
+def test_ids_where_hashes_collide(reference):
+    """With a hash that only tells lengths different pre-tokens meet, and their ids stay right."""
+    encoder = bpe.Encoder(bpe.vocabulary("byte_bpe_50k"))
+    encoder.scrambled[:] = 1
+    texts = ["the cat sat on the mat and the dog ran", "a different text: 12 34 don't"]
+    offsets, ids = encoder.encode(texts)
+    assert [ids[offsets[k] : offsets[k + 1]].tolist() for k in range(2)] == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_ids_of_documents(spark, data, reference):
     rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r.ids for r in QUERIES["p8_ids"](spark, data).collect()}
