@@ -106,6 +106,11 @@ class Encoder:
         self.byte_ids = np.array([vocab[sign[b]] for b in range(256)], np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right = (np.array([vocab[p[k]] for p in pairs], np.int32) for k in (0, 1))
+        # What each id stands for, in bytes.
+        byte_of = {c: b for b, c in sign.items()}
+        self.bytes_of = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            self.bytes_of[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.pairs = PairTable(left, right, np.array([vocab["".join(p)] for p in pairs], np.int32))
         self.classes = character_classes()
         self.scrambled = mix(np.arange(1, SENTINEL + 2, dtype=U))
@@ -292,3 +297,16 @@ def encode_documents(df: DataFrame, key: str, text: str | Column, tokenizer: str
 
     source = df.select(F.col(key), (F.col(text) if isinstance(text, str) else text).alias("_text"))
     return spread(source).mapInArrow(run, f"`{key}` {kind}, " + ("n_tokens bigint" if only_count else "ids array<int>"))
+
+
+def decode_documents(df: DataFrame, key: str, ids: str, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
+    """(key, text) of every row of ids; a null list gives a null text, an empty one an empty text."""
+    path = vocabulary(tokenizer, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytes_of = encoder(path).bytes_of
+        for batch in batches:
+            texts = [None if x is None else b"".join([bytes_of[i] for i in x]).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return df.select(key, ids).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, text string")

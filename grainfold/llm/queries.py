@@ -70,6 +70,20 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.pieces(table(spark, sf_dir, "extracted_parts"), "part_row", "part_text", "staged_name")
 
 
+def p7_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text put together again from its pieces without their overlaps, and whether their lengths and names hold."""
+    p = p7_pieces(spark, sf_dir)
+    own = F.struct("piece_no", F.when(F.col("piece_no") == 1, F.col("piece")).otherwise(F.substring("piece", F.lit(segment.OVERLAP + 1), F.col("n_chars").cast("int"))).alias("t"))
+    # A text's pieces are one text again.
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(own)), lambda x: x["t"]), "")
+    return p.groupBy("part_row").agg(F.md5(text.cast("binary")).alias("md5"), (F.max(F.char_length("piece")) <= segment.LIMIT).alias("within"), (F.count_distinct("piece_name") == F.count("*")).alias("named"))
+
+
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document decoded again, as the digest of the text."""
+    return bpe.decode_documents(p8_ids(spark, sf_dir), "doc_id", "ids").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -81,6 +95,17 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
+def p9_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the containers must hold: no document lost, none overfull, none split that fits."""
+    sizes = bpe.encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text", only_count=True)
+    packed = packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
+    per = packed.groupBy("doc_id").agg(F.sum("piece_size").alias("held"), F.count("*").alias("pieces"))
+    counted = sizes.join(per, "doc_id", "left").agg(F.count("*").alias("documents"), F.count_if(F.coalesce("held", F.lit(-1)) != F.col("n_tokens")).alias("lost"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= CAPACITY)).alias("split_needlessly"))
+    fills = packed.where("container is not null").groupBy("container").agg(F.sum("piece_size").alias("fill")).agg(F.count_if(F.col("fill") > CAPACITY).alias("overfull"))
+    # One row each.
+    return counted.join(F.broadcast(fills)).select("documents", "lost", "overfull", "split_needlessly")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with an identical run of 200 code points or more."""
     return spans.shared_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", 200)
@@ -106,8 +131,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_clean": p6_clean,
         "p7_found": p7_found,
         "p7_pieces": p7_pieces,
+        "p7_rebuilt": p7_rebuilt,
         "p8_ids": p8_ids,
+        "p8_decoded": p8_decoded,
         "p9_containers": p9_containers,
+        "p9_checked": p9_checked,
         "p10_found": p10_found,
         "p10_shared": p10_shared,
         "p10_removals": p10_removals,
