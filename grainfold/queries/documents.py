@@ -106,11 +106,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from grainfold.queries.wiki import CURRENT, RESOLVE
 
+    # A link in a document is rewritten if it names a removed concept; the document changes if any is.
+    removed = r"""
+l as (select from_concept_id || '/' || (link_id // 100) as doc, link_id, coalesce(link_label, 'link') as label, from_concept_id as origin, regexp_replace(case when contains(to_concept_id, '.md') then trim(to_concept_id) else '/' || to_concept_id || '.md' end, '[<>]', '', 'g') as raw from incoming_links where from_concept_id is not null and to_concept_id is not null),
+incoming_links as (select link_id, doc, label, raw, origin || '/x' as from_concept_id, trim(raw) as to_concept_id from l)"""
     changed = "case lower(trim(status)) when 'current' then 'stable' when 'superseded' then 'deprecated' else status end"
     return {
         "parse_frontmatter": f"with {CURRENT} select concept_id, nullif(concept_type, '') as type, nullif(title, '') as title, nullif(status, '') as status, len(list_filter(coalesce(tags, []), lambda t: t <> ''))::bigint as n_tags from cur",
         "migrate_concepts": f"with {CURRENT} select concept_id, nullif({changed}, '') as status, nullif(fm_timestamp, '') as generated_at, null::varchar as timestamp from cur where coalesce(fm_timestamp, '') <> '' or lower(trim(status)) in ('current', 'superseded')",
         "rewrite_archive_links": f"select 'files/' || file_id as concept_id, 'See [it](/archive/' || relative_path || '.{STAMP}) and /archive/none.txt.' as content from input_files where relative_path is not null",
+        "rewrite_removed_links": f"""with {removed}, {RESOLVE}, m as (select concept_id, min('/' || coalesce(trash_path, 'trash')) as new from removals where concept_id is not null group by 1),
+n as (select doc, i.link_id, new, '* [' || label || '](' || case when new is null then '<' || raw || '>' when regexp_matches(new, '[\\s()]') then '<' || new || '>' else new end || ')' as line from resolved r join incoming_links i using (link_id) left join m on r.concept_id = m.concept_id)
+select doc as concept_id, string_agg(line, chr(10) order by link_id) as content from n group by doc having count(new) > 0""",
         "extract_lines": "select feed_id || '/' || file_no || '.jsonl' as path, 'jsonl' as source_format, 1::bigint as n_parts, count(*) filter (where json_valid(raw_json)) as n_records, (count(*) filter (where not json_valid(raw_json)) > 0)::bigint as n_warnings from frontmatter_raw where raw_json is not null group by 1",
         "stream_link_counts": f"with {RESOLVE} select strftime(to_timestamp(floor(epoch(seen_at) / 2592000) * 2592000) at time zone 'UTC', '%Y-%m-%d') as start, coalesce(r.concept_id, r.to_concept_id) as to_concept_id, count(*) as n from resolved r join incoming_links using (link_id) group by 1, 2",
     }

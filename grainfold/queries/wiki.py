@@ -13,7 +13,7 @@ from grainfold.plans.runtime import table
 
 QUESTION = "Which central registry keeps the nightly archive of the turbine label?"
 SNAPSHOT_CUT = "2024-07-01 00:00:00"
-REMOVED = "tables/logistics"
+REMOVED, REMOVED_TOO = "tables/logistics", "playbooks"
 LOG_DATE = "2026-01-01"
 
 
@@ -107,13 +107,17 @@ def root_index_md(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = table(spark, sf_dir, "concepts").where("concept_id is not null")
-    return wiki.orphan_indexes(wiki.index_dirs(every), snapshot_survivors(spark, sf_dir))
+    """Directories of archived files and of all concepts ever loaded, taken as having index pages, that no living concept needs."""
+    every = table(spark, sf_dir, "concepts").where("concept_id is not null").select("concept_id")
+    filed = table(spark, sf_dir, "input_files").where("relative_path is not null").select(F.col("relative_path").alias("concept_id"))
+    return wiki.orphan_indexes(wiki.index_dirs(every.union(filed)), snapshot_survivors(spark, sf_dir))
 
 
 def emptied_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    living = snapshot_survivors(spark, sf_dir)
-    return wiki.emptied_dirs(ids(spark, sf_dir).join(living, "concept_id", "left_anti"), living)
+    """Directories that vanish with all concepts of two of them."""
+    gone = F.startswith("concept_id", F.lit(REMOVED + "/")) | F.startswith("concept_id", F.lit(REMOVED_TOO + "/"))
+    every = ids(spark, sf_dir)
+    return wiki.emptied_dirs(every.where(gone), every.where(~gone))
 
 
 def wiki_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,6 +244,15 @@ listed as (select dir, string_agg(line, chr(10) order by key) filter (where part
 pages as (select dir, case when dir = '' then '---' || chr(10) || 'okf_version: "0.2"' || chr(10) || '---' || chr(10) || chr(10) else '' end || '# ' || case when dir = '' then 'Wiki' else {last.format('dir')} end || ' Index' || chr(10) || chr(10) || coalesce(subs || chr(10) || chr(10), '') || coalesce(own || chr(10), '') as markdown from listed)
 """
     above = "select distinct " + ANCESTORS.format("d") + " as dir from (select distinct " + DIR.format("concept_id") + " as d from {0}) where d <> ''"
+    doomed = f"concept_id like '{REMOVED}/%' or concept_id like '{REMOVED_TOO}/%'"
+    # Prose lines by a state that goes from line to line: the open fence, and the lines outside of fences so far.
+    prose = r"""
+texts as (select hit_id, concept_id as origin, list_transform(string_split(replace(content_text, chr(13) || chr(10), chr(10)), chr(10)), lambda l: {'fence': l, 'kept': []::varchar[]}) as lines from retrieved_concepts where contains(content_text, '](') or contains(content_text, ']:')),
+marked as (select hit_id, origin, list_reduce(list_prepend({'fence': '', 'kept': []::varchar[]}, lines), lambda a, x: {
+  'fence': case when a.fence = '' then regexp_extract(x.fence, '^\s*(`{3,}|~{3,})', 1) when starts_with(regexp_extract(x.fence, '^\s*(`{3,}|~{3,})', 1), a.fence) then '' else a.fence end,
+  'kept': case when a.fence = '' and regexp_extract(x.fence, '^\s*(`{3,}|~{3,})', 1) = '' then list_append(a.kept, x.fence) else a.kept end}).kept as kept from texts),
+named as (select hit_id, origin, unnest(list_concat(regexp_extract_all(l, '\]\([ ]*(<[^<>]*>|[^\s()<>]*)[^()]*\)', 1), regexp_extract_all(l, '^[ \t]{0,3}\[[^\[\]]+\]:[ \t]*(<[^<>]*>|[^\s<]\S*)', 1))) as to_concept_id from (select hit_id, origin, unnest(kept) as l from marked)),
+incoming_links as (select hit_id as link_id, coalesce(origin, '') as from_concept_id, to_concept_id from named)"""
     rendered = rf"""
 gen as (select concept_id, actor_by, event_at from (select *, row_number() over (partition by concept_id order by recorded_at desc, event_id desc) as rn from actor_events where event_kind = 'generated') where rn = 1),
 ver as (select concept_id, case when bool_or(coalesce(actor_by like 'human:%', false)) then 'human-reviewed' else 'machine-confirmed' end as tier, max(event_at) as latest from actor_events where event_kind = 'verified' and concept_id is not null group by 1),
@@ -272,10 +285,11 @@ select concept_id, case when o.row_id is null then 'created' else 'updated' end
         "child_subdirs": f"with {IDS}, {dirs}, {children} select * from kids",
         "dir_index_md": pages + "select dir, markdown from pages where dir <> ''",
         "root_index_md": pages + "select markdown from pages where dir = ''",
-        "orphan_index": f"with {ALIVE}, every as (select distinct concept_id from concepts where concept_id is not null) select dir from ({above.format('every')}) where not regexp_matches(dir, '^(archive|trash)(/|$)') and dir <> '' and dir not in ({above.format('alive')})",
-        "emptied_directories": f"with {ALIVE}, dead as (select distinct concept_id from concepts where concept_id is not null and concept_id not in (select concept_id from alive)) select dir from ({above.format('dead')}) where dir <> '' and dir not in ({above.format('alive')})",
+        "orphan_index": f"with {ALIVE}, every as (select concept_id from concepts where concept_id is not null union select relative_path from input_files where relative_path is not null) select dir from ({above.format('every')}) where not regexp_matches(dir, '^(archive|trash)(/|$)') and dir <> '' and dir not in ({above.format('alive')})",
+        "emptied_directories": f"with {IDS}, dead as (select concept_id from ids where {doomed}), living as (select concept_id from ids where not ({doomed})) select dir from ({above.format('dead')}) where dir <> '' and dir not in ({above.format('living')})",
         "wiki_tree": f"with {IDS} select 'wiki/' || concept_id || '.md' as path from ids",
         "link_targets": f"with {RESOLVE} select link_id, concept_id from resolved",
+        "concept_links": f"with {prose}, {RESOLVE} select link_id as hit_id, concept_id, count(*) as n from resolved where concept_id is not null group by 1, 2",
         "incoming_links": "select distinct from_concept_id, to_concept_id from incoming_links where to_concept_id in (select concept_id from removals) and from_concept_id not in (select concept_id from removals)",
         "removal_plan": f"""with {IDS}, {RESOLVE}, doomed as (select concept_id from ids where concept_id like '{REMOVED}/%'), living as (select concept_id from ids where concept_id not like '{REMOVED}/%')
 select 'concept' as kind, concept_id as subject, '' as object from doomed
