@@ -73,15 +73,16 @@ def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, bool]]:
     out, done = [], 0
     while True:
         begin = max(0, done - overlap) if out else 0
-        most = begin + limit
+        # No piece is shorter than the overlap that the next one takes from it.
+        least, most = max(done + 1, begin + overlap), begin + limit
         if len(text) <= most:
             out.append((begin, len(text), False))
             return out
-        low, high = bisect.bisect_right(gaps, done), bisect.bisect_right(gaps, most)
+        low, high = bisect.bisect_left(gaps, least), bisect.bisect_right(gaps, most)
         endless = False
         if low < high:
             end = gaps[max(range(low, high), key=lambda g: (depth[g], g))]
-        elif (b := bisect.bisect_right(ends, most) - 1) >= 0 and ends[b] > done:
+        elif (b := bisect.bisect_right(ends, most) - 1) >= 0 and ends[b] >= least:
             end = ends[b]
         else:
             end = most

@@ -262,7 +262,7 @@ def check_pieces(text, limit, overlap):
     got = [(b, e) for b, e, _ in found]
     assert got[0][0] == 0 and got[-1][1] == len(text)
     for (a, b), (c, d) in zip(got, got[1:]):
-        assert c == max(0, b - overlap) and d > b
+        assert c == b - overlap >= a and d > b
     assert all(e - b <= limit for b, e in got)
     return got
 
