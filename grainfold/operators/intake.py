@@ -29,10 +29,10 @@ def has_suffix(c: Column, suffixes: list[str]) -> Column:
     return out
 
 
-def classified(path: Column) -> Column:
-    """(bucket, reason): reserved names first, then markdown, then readable, image and extractable suffixes."""
+def classified(path: Column, further: list[str] | None = None) -> Column:
+    """(bucket, reason): reserved names first, then markdown, then readable, image and extractable suffixes, and those of ``further`` readers."""
     name = paths.basename(F.regexp_replace(path, r"(?i)\.markdown$", ".md"))
-    known = has_suffix(path, TEXT_SUFFIXES + IMAGE_SUFFIXES + EXTRACTED_SUFFIXES)
+    known = has_suffix(path, TEXT_SUFFIXES + IMAGE_SUFFIXES + EXTRACTED_SUFFIXES + (further or []))
     bucket = F.when(name.isin("index.md", "log.md"), "ignored").when(has_suffix(path, [".md", ".markdown"]), "conformant").when(known, "non-conformant").otherwise("ignored")
     reason = F.when(name.isin("index.md", "log.md"), "reserved").when(bucket == "ignored", "unsupported")
     return F.struct(bucket.alias("bucket"), reason.alias("reason"))

@@ -23,7 +23,7 @@ from grainfold.functions import frontmatter
 from grainfold.operators import intake, retrieval, rewrite, wiki
 from grainfold.plans import prepass, prompts
 from grainfold.plans.runtime import cut
-from grainfold.sources import files
+from grainfold.sources import files, formats
 
 LOG_TITLE = "# Wiki Update Log"
 GENERATED = ("index.md", "log.md")
@@ -144,26 +144,30 @@ def append_log(root: str, date: str, report: Report) -> None:
     os.replace(new, path)
 
 
-def begin(spark: SparkSession, root: str, stamp: str, analyse: prepass.Analyse | None = None) -> Session:
-    """Take in conformant pages and stage everything else for the agent: texts, images and, if there is a model, its findings."""
+def begin(spark: SparkSession, root: str, stamp: str, analyse: prepass.Analyse | None = None, limits: formats.Limits = formats.Limits(), readers: dict[str, formats.Read] | None = None) -> Session:
+    """Take in conformant pages and stage everything else for the agent: texts, images and, if there is a model, its findings.
+
+    ``readers`` by suffix extend those of the library; ``limits`` are what a reader takes from a document.
+    """
+    extracted_suffixes = intake.EXTRACTED_SUFFIXES + sorted(readers or {})
     source, base = os.path.join(root, "input"), os.path.join(root, "wiki")
     staging = os.path.join(source, STAGED)
     files.remove_directory(staging)
     files.remove_junk(source)
     before = snapshot(spark, root)
     listed = files.list_files(spark, source, lambda p, is_dir: is_dir and os.path.basename(p) == STAGED)
-    classes = listed.withColumn("c", intake.classified(F.col("relative_path"))).select("relative_path", "absolute_path", "c.*")
+    classes = listed.withColumn("c", intake.classified(F.col("relative_path"), sorted(readers or {}))).select("relative_path", "absolute_path", "c.*")
     texts = files.read_texts(classes.where("bucket = 'conformant'").select("relative_path", "absolute_path"))
     heads = frontmatter.parse_documents(texts, "relative_path", "content").select("relative_path", "frontmatter.type")
     pages = cut(texts.join(heads, "relative_path"))
     suffix = F.lower(F.regexp_extract("relative_path", r"(\.[^./]+)$", 1))
     readable = classes.where("bucket = 'non-conformant'")
-    documents = files.read_files(readable.where(suffix.isin(*intake.EXTRACTED_SUFFIXES)).select("relative_path", "absolute_path"))
-    extracted = cut(files.extract_documents(documents, "relative_path", "relative_path", "data"))
+    documents = files.read_files(readable.where(suffix.isin(*extracted_suffixes)).select("relative_path", "absolute_path"))
+    extracted = cut(files.extract_documents(documents, "relative_path", "relative_path", "data", limits, readers))
     good = extracted.where("reason is null")
     ignored = classes.where("bucket = 'ignored'").select("relative_path", "reason").union(extracted.where("reason is not null").select("relative_path", "reason"))
     bare = lambda df: df.select("relative_path", F.lit(None).cast("string").alias("source_format"), F.lit(None).cast("array<string>").alias("warnings"), F.lit(0).alias("n_parts"))
-    waiting = cut(good.select("relative_path", "source_format", "warnings", F.size("parts").alias("n_parts")).union(bare(pages.where("type is null"))).union(bare(readable.where(~suffix.isin(*intake.EXTRACTED_SUFFIXES)))))
+    waiting = cut(good.select("relative_path", "source_format", "warnings", F.size("parts").alias("n_parts")).union(bare(pages.where("type is null"))).union(bare(readable.where(~suffix.isin(*extracted_suffixes)))))
     imported = pages.where("type is not null")
     targets = cut(intake.archive_targets(imported.select("relative_path").union(waiting.select("relative_path")), below(spark, base, "archive"), "relative_path", "relative_path", stamp))
     files.write_texts(imported.select(F.regexp_replace("relative_path", r"(?i)\.markdown$", ".md").alias("relative_path"), "content"), base)

@@ -71,15 +71,18 @@ IMAGE = pa.struct([("name", pa.string()), ("media", pa.string()), ("data", pa.bi
 EXTRACTED = "key {}, source_format string, parts array<string>, warnings array<string>, images array<struct<name:string,media:string,data:binary,location:string,context:string>>, reason string, detail string"
 
 
-def extract_documents(df: DataFrame, key: str, path: str, data: str) -> DataFrame:
-    """(key, source_format, parts, warnings, images, reason, detail) of documents given as bytes; a failure is a row, never an error."""
+def extract_documents(df: DataFrame, key: str, path: str, data: str, limits: formats.Limits = formats.Limits(), readers: dict[str, formats.Read] | None = None) -> DataFrame:
+    """(key, source_format, parts, warnings, images, reason, detail) of documents given as bytes; a failure is a row, never an error.
+
+    ``readers`` by suffix are added to those of the library, or take their place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 ident, name, content = (c[k].as_py() for c in batch.columns)
                 base = os.path.basename(name or "")
-                found, reason, detail = formats.extract(content, os.path.splitext(base)[1])
+                found, reason, detail = formats.extract(content, os.path.splitext(base)[1], limits, readers)
                 images = [{"name": i.name, "media": i.media, "data": i.data, "location": i.location, "context": i.context} for i in found.images] if found else None
                 cols = [pa.array([ident], batch.schema.types[0]), pa.array([found.format if found else None], pa.string()), pa.array([found.parts if found else None], pa.list_(pa.string())), pa.array([found.warnings if found else None], pa.list_(pa.string())), pa.array([images], pa.list_(IMAGE)), pa.array([reason], pa.string()), pa.array([detail], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "source_format", "parts", "warnings", "images", "reason", "detail"])

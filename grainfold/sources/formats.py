@@ -11,21 +11,41 @@ import binascii
 import html
 import io
 import json
+import math
 import posixpath
 import re
 import zipfile
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
+from grainfold.sources import pdf
 from grainfold.sources.images import encode_png
 
-# Limits, and the media types of embedded images by suffix.
-MOST_IMAGES, IMAGE_BYTES, ALL_IMAGE_BYTES = 200, 8 * 1024 * 1024, 96 * 1024 * 1024
-MOST_ROWS, MOST_REPEATS, MOST_CHARTS, CHART_BYTES = 5000, 256, 24, 2 * 1024 * 1024
-RECORDS_A_PART, NAMED_LINES, CONTEXT = 1000, 10, 1000
+@dataclass(frozen=True)
+class Limits:
+    """What of a document is read at most; what is left out is told by a warning. ``UNLIMITED`` leaves out nothing."""
+
+    images: float = 200
+    image_bytes: float = 8 * 1024 * 1024
+    all_image_bytes: float = 96 * 1024 * 1024
+    rows: float = 5000
+    repeats: float = 256
+    charts: float = 24
+    chart_bytes: float = 2 * 1024 * 1024
+    context: float = 1000
+    cell_context: float = 500
+    pdf_pixels: float = 16_000_000
+    inflated: float = 256 * 1024 * 1024
+
+
+UNLIMITED = Limits(*[math.inf] * 11)
+
+# Records of one part and named lines, and the media types of embedded images by suffix.
+RECORDS_A_PART, NAMED_LINES = 1000, 10
 MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff"}
 ONLY_IMAGES = "No extractable text; inspect the embedded images."
 
@@ -53,21 +73,21 @@ class Extracted:
     images: list[Image] = field(default_factory=list)
 
 
-def bounded(images: list[Image], kind: str, warnings: list[str]) -> list[Image]:
+def bounded(images: list[Image], kind: str, warnings: list[str], limits: Limits) -> list[Image]:
     """Images within the limits; a single fault loses that image only."""
     out, total = [], 0
     for k, i in enumerate(images):
-        if len(out) >= MOST_IMAGES:
-            warnings.append(f"{kind}: skipped {len(images) - k} embedded image(s) after the {MOST_IMAGES}-image limit.")
+        if len(out) >= limits.images:
+            warnings.append(f"{kind}: skipped {len(images) - k} embedded image(s) after the {limits.images}-image limit.")
             break
         if not i.media:
             warnings.append(f"{kind}: skipped embedded image {i.name} of an unsupported type.")
         elif not i.data:
             warnings.append(f"{kind}: embedded image {i.name} could not be read.")
-        elif len(i.data) > IMAGE_BYTES:
+        elif len(i.data) > limits.image_bytes:
             warnings.append(f"{kind}: skipped oversized embedded image {i.name}.")
-        elif total + len(i.data) > ALL_IMAGE_BYTES:
-            warnings.append(f"{kind}: skipped further embedded images after the {ALL_IMAGE_BYTES}-byte limit.")
+        elif total + len(i.data) > limits.all_image_bytes:
+            warnings.append(f"{kind}: skipped further embedded images after the {limits.all_image_bytes}-byte limit.")
             break
         else:
             total += len(i.data)
@@ -75,13 +95,17 @@ def bounded(images: list[Image], kind: str, warnings: list[str]) -> list[Image]:
     return out
 
 
-def finished(text: str, kind: str, warnings: list[str], images: list[Image]) -> Extracted:
-    images = bounded(images, kind, warnings)
+def finished(text: str, kind: str, warnings: list[str], images: list[Image], limits: Limits) -> Extracted:
+    images = bounded(images, kind, warnings, limits)
     if not text.strip() and not images:
         raise Failed("empty", f"{kind} yielded no text or images.")
     return Extracted([text.strip() or ONLY_IMAGES], kind, warnings, images)
 
 
+def cut_off(items: str | list, most: float) -> str | list:
+    return items if len(items) <= most else items[: int(most)]
+
+
 def decoded(encoded: str) -> bytes:
     try:
         return base64.b64decode(re.sub(r"\s+", "", encoded) + "===")
@@ -196,11 +220,11 @@ class Text(HTMLParser):
         return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n +(?! ?[*\d])", "\n", joined)).strip()
 
 
-def read_html(data: bytes) -> Extracted:
+def read_html(data: bytes, limits: Limits) -> Extracted:
     parser = Text()
     parser.feed(data.decode("utf-8", "replace"))
     parser.close()
-    return finished(parser.text(), "html", [], parser.images)
+    return finished(parser.text(), "html", [], parser.images, limits)
 
 
 # Line records and notebooks
@@ -213,7 +237,7 @@ def strict(text: str) -> object:
     return json.loads(text, parse_constant=refuse)
 
 
-def read_jsonl(data: bytes) -> Extracted:
+def read_jsonl(data: bytes, limits: Limits) -> Extracted:
     """Numbered records, a part for each thousand; the first bad lines are named."""
     records, bad = [], []
     for n, line in enumerate(re.split(r"\r?\n", data.decode("utf-8", "replace")), 1):
@@ -232,7 +256,7 @@ def joined(source: object) -> str:
     return source if isinstance(source, str) else "".join(x for x in source if isinstance(x, str)) if isinstance(source, list) else ""
 
 
-def read_notebook(data: bytes) -> Extracted:
+def read_notebook(data: bytes, limits: Limits) -> Extracted:
     book = strict(data.decode("utf-8", "replace"))
     if not isinstance(book, dict):
         raise Failed("extraction_failed", "the root of the notebook is no object")
@@ -251,8 +275,8 @@ def read_notebook(data: bytes) -> Extracted:
         for output in cell.get("outputs") or []:
             for media, value in (output.get("data") or {}).items():
                 if media.startswith("image/"):
-                    images.append(Image(f"notebook-cell-{n}.{media.split('/')[1]}", media if media in MEDIA.values() else "", decoded(joined(value)), f"Cell {n}", source[:500] or None))
-    return finished("\n\n".join(chunks), "ipynb", [], images)
+                    images.append(Image(f"notebook-cell-{n}.{media.split('/')[1]}", media if media in MEDIA.values() else "", decoded(joined(value)), f"Cell {n}", cut_off(source, limits.cell_context) or None))
+    return finished("\n\n".join(chunks), "ipynb", [], images, limits)
 
 
 # Zip containers
@@ -304,7 +328,7 @@ def relationships(z: zipfile.ZipFile, part: str) -> dict[str, str]:
     return found
 
 
-def container_images(z: zipfile.ZipFile, where: dict[str, tuple[str | None, str | None]]) -> list[Image]:
+def container_images(z: zipfile.ZipFile, where: dict[str, tuple[str | None, str | None]], limits: Limits) -> list[Image]:
     """Every picture in the container, with location and context where known."""
     out = []
     for name in z.namelist():
@@ -312,7 +336,7 @@ def container_images(z: zipfile.ZipFile, where: dict[str, tuple[str | None, str
         if suffix in MEDIA:
             location, context = where.get(name, (None, None))
             try:
-                data = z.read(name) if z.getinfo(name).file_size <= IMAGE_BYTES else b"\0" * (IMAGE_BYTES + 1)
+                data = z.read(name) if z.getinfo(name).file_size <= limits.image_bytes else b"\0" * (int(limits.image_bytes) + 1)
             except (zipfile.BadZipFile, zlib.error, RuntimeError):
                 data = b""
             out.append(Image(posixpath.basename(name), MEDIA[suffix], data, location, context))
@@ -323,7 +347,7 @@ def numbered(z: zipfile.ZipFile, pattern: str) -> list[tuple[int, str]]:
     return sorted((int(m.group(1)), n) for n in z.namelist() if (m := re.fullmatch(pattern, n)))
 
 
-def read_pptx(data: bytes) -> Extracted:
+def read_pptx(data: bytes, limits: Limits) -> Extracted:
     z = opened(data)
     slides, where = [], {}
     for n, name in numbered(z, r"ppt/slides/slide(\d+)\.xml"):
@@ -335,7 +359,7 @@ def read_pptx(data: bytes) -> Extracted:
         for e in root.iter():
             if local(e.tag) == "blip" and attribute(e, "embed") in targets:
                 where[targets[attribute(e, "embed")]] = (f"Slide {n}", None)
-    return finished("\n\n".join(slides), "pptx", [], container_images(z, where))
+    return finished("\n\n".join(slides), "pptx", [], container_images(z, where, limits), limits)
 
 
 def column_number(reference: str) -> int:
@@ -353,7 +377,7 @@ def column_name(n: int) -> str:
     return out
 
 
-def read_xlsx(data: bytes) -> Extracted:
+def read_xlsx(data: bytes, limits: Limits) -> Extracted:
     z = opened(data)
     names = z.namelist()
     shared = [element_join(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
@@ -369,7 +393,7 @@ def read_xlsx(data: bytes) -> Extracted:
         for row in (e for e in ET.fromstring(z.read(part)).iter() if local(e.tag) == "row"):
             number = int(row.get("r") or total + 1)
             total = max(total, number)
-            if number > MOST_ROWS:
+            if number > limits.rows:
                 continue
             rows += [[] for _ in range(number - len(rows))]
             cells: list[str] = []
@@ -378,8 +402,8 @@ def read_xlsx(data: bytes) -> Extracted:
                 cells += [""] * (at - len(cells))
                 cells[at - 1] = cell_text(c, shared)
             rows[number - 1] = cells
-        if total > MOST_ROWS:
-            warnings.append(f'Sheet "{title}": truncated to {MOST_ROWS} of {total} rows.')
+        if total > limits.rows:
+            warnings.append(f'Sheet "{title}": truncated to {limits.rows} of {total} rows.')
         if text := table_text(rows):
             sheets.append(f"## Sheet: {title}\n\n{text}")
         for drawing in (t for t in relationships(z, part).values() if "/drawings/" in t and t in names):
@@ -390,7 +414,7 @@ def read_xlsx(data: bytes) -> Extracted:
                 for e in anchor.iter():
                     if local(e.tag) == "blip" and attribute(e, "embed") in pictures:
                         where[pictures[attribute(e, "embed")]] = (f"Sheet {title}, near {column_name(place.get('col', 0) + 1)}{place.get('row', 0) + 1}", f"Worksheet: {title}")
-    return finished("\n\n".join(sheets), "xlsx", warnings, container_images(z, where))
+    return finished("\n\n".join(sheets), "xlsx", warnings, container_images(z, where, limits), limits)
 
 
 def element_join(e: ET.Element) -> str:
@@ -412,7 +436,7 @@ def picture_links(e: ET.Element) -> list[str]:
     return [posixpath.normpath(h) for x in e.iter() if (h := attribute(x, "href")) and h.rpartition(".")[2].lower() in MEDIA]
 
 
-def read_odt(data: bytes) -> Extracted:
+def read_odt(data: bytes, limits: Limits) -> Extracted:
     z = opened(data)
     root = office_content(z)
     where: dict[str, tuple[str | None, str | None]] = {}
@@ -425,17 +449,17 @@ def read_odt(data: bytes) -> Extracted:
         if local(e.tag) in ("h", "p"):
             for link in picture_links(e):
                 where[link] = (f"Section: {heading}" if heading else f"Paragraph {paragraph}; section uncertain", " — ".join(x for x in (heading, element_text(e)) if x) or None)
-    return finished(element_text(root) if root is not None else "", "odt", [], container_images(z, where))
+    return finished(element_text(root) if root is not None else "", "odt", [], container_images(z, where, limits), limits)
 
 
-def repeats(e: ET.Element, name: str) -> int:
+def repeats(e: ET.Element, name: str, limits: Limits) -> int:
     try:
-        return min(MOST_REPEATS, max(1, int(attribute(e, name) or 1)))
+        return min(limits.repeats, max(1, int(attribute(e, name) or 1)))
     except ValueError:
         return 1
 
 
-def read_ods(data: bytes) -> Extracted:
+def read_ods(data: bytes, limits: Limits) -> Extracted:
     z = opened(data)
     root = office_content(z)
     sheets, warnings = [], []
@@ -447,22 +471,22 @@ def read_ods(data: bytes) -> Extracted:
             cells: list[str] = []
             for c in row:
                 if local(c.tag) in ("table-cell", "covered-table-cell"):
-                    cells += [element_text(c).replace("|", "\\|")] * repeats(c, "number-columns-repeated")
+                    cells += [element_text(c).replace("|", "\\|")] * repeats(c, "number-columns-repeated", limits)
             while cells and not cells[-1]:
                 cells.pop()
-            copies = repeats(row, "number-rows-repeated")
-            over |= len(rows) + copies > MOST_ROWS
-            rows += [cells] * min(copies, MOST_ROWS - len(rows))
+            copies = repeats(row, "number-rows-repeated", limits)
+            over |= len(rows) + copies > limits.rows
+            rows += [cells] * min(copies, limits.rows - len(rows))
         if over:
-            warnings.append(f'Sheet "{title}": truncated to {MOST_ROWS} rows.')
+            warnings.append(f'Sheet "{title}": truncated to {limits.rows} rows.')
         while rows and not rows[-1]:
             rows.pop()
         if text := table_text(rows):
             sheets.append(f"## Sheet: {title}\n\n{text}")
-    return finished("\n\n".join(sheets), "ods", warnings, container_images(z, {}))
+    return finished("\n\n".join(sheets), "ods", warnings, container_images(z, {}, limits), limits)
 
 
-def read_odp(data: bytes) -> Extracted:
+def read_odp(data: bytes, limits: Limits) -> Extracted:
     z = opened(data)
     root = office_content(z)
     slides, where = [], {}
@@ -470,10 +494,10 @@ def read_odp(data: bytes) -> Extracted:
         if text := element_text(page):
             slides.append(f"## Slide {n}\n\n{text}")
         where |= {link: (f"Slide {n}", None) for link in picture_links(page)}
-    return finished("\n\n".join(slides), "odp", [], container_images(z, where))
+    return finished("\n\n".join(slides), "odp", [], container_images(z, where, limits), limits)
 
 
-def read_epub(data: bytes) -> Extracted:
+def read_epub(data: bytes, limits: Limits) -> Extracted:
     z = opened(data)
     pages = [n for n in z.namelist() if re.search(r"\.(x?html?|htm)$", n, re.I)]
     warnings: list[str] = []
@@ -493,7 +517,7 @@ def read_epub(data: bytes) -> Extracted:
         chapter = posixpath.splitext(posixpath.basename(n))[0]
         for link in re.findall(r"(?:src|href)=[\"']([^\"'#]+)[\"']", z.read(n).decode("utf-8", "replace")):
             where[posixpath.normpath(posixpath.join(posixpath.dirname(n), link))] = (f"EPUB section {chapter}", None)
-    return finished("\n\n".join(t for n in order if (t := tagless(z.read(n).decode("utf-8", "replace")))), "epub", warnings, container_images(z, where))
+    return finished("\n\n".join(t for n in order if (t := tagless(z.read(n).decode("utf-8", "replace")))), "epub", warnings, container_images(z, where, limits), limits)
 
 
 # Word documents
@@ -521,7 +545,7 @@ def is_label(text: str) -> bool:
     return len(text) <= 100 and not re.search(r"[.!?;:]$", text) and bool(re.search(r"\([^()]*\)$", text)) and 3 <= len(text.split()) <= 14
 
 
-def read_docx(data: bytes) -> Extracted:
+def read_docx(data: bytes, limits: Limits) -> Extracted:
     z = opened(data)
     names, warnings = z.namelist(), []
     styles = {}
@@ -547,7 +571,7 @@ def read_docx(data: bytes) -> Extracted:
             if text and (re.match(r"(heading|title|überschrift)", style, re.I) or is_label(text)):
                 heading = text
             place = "header or footer" if part not in main else f"Section: {heading}, paragraph {number}" if heading else f"Paragraph {number}; section uncertain"
-            around = re.sub(r"\s+", " ", text or before).strip()[:CONTEXT] or None
+            around = cut_off(re.sub(r"\s+", " ", text or before).strip(), limits.context) or None
             for e in live(p):
                 key = attribute(e, "embed") if local(e.tag) == "blip" else attribute(e, "id") if local(e.tag) in ("imagedata", "chart") else None
                 if key is None:
@@ -561,12 +585,12 @@ def read_docx(data: bytes) -> Extracted:
             before = text or before
     blocks = []
     found = numbered(z, r"word/charts/chart(\d+)\.xml")
-    if len(found) > MOST_CHARTS:
-        warnings.append(f"DOCX: chart workload has {len(found)} charts; only the first {MOST_CHARTS} will be inspected.")
+    if len(found) > limits.charts:
+        warnings.append(f"DOCX: chart workload has {len(found)} charts; only the first {limits.charts} will be inspected.")
     placed = [c for c in charts if c in names]
     lost = 0
-    for n, name in sorted(found[:MOST_CHARTS], key=lambda x: (placed.index(x[1]) if x[1] in placed else len(placed), x[0])):
-        if z.getinfo(name).file_size > CHART_BYTES:
+    for n, name in sorted(cut_off(found, limits.charts), key=lambda x: (placed.index(x[1]) if x[1] in placed else len(placed), x[0])):
+        if z.getinfo(name).file_size > limits.chart_bytes:
             warnings.append(f"DOCX: skipped oversized chart data in {name}.")
             continue
         lost += name not in charts
@@ -574,7 +598,7 @@ def read_docx(data: bytes) -> Extracted:
     if lost:
         warnings.append(f"DOCX: {lost} chart(s) could not be associated with a surrounding document section; context is marked uncertain.")
     text = "\n\n".join(x for x in ("\n\n".join(t for t in texts if t), *blocks) if x)
-    return finished(text, "docx", warnings, container_images(z, where))
+    return finished(text, "docx", warnings, container_images(z, where, limits), limits)
 
 
 def chart_text(xml: bytes, n: int, place: str, around: str | None) -> str:
@@ -597,7 +621,7 @@ RTF_SIGNS = {"par": "\n", "line": "\n", "page": "\n", "sect": "\n", "row": "\n",
 RTF_TOKEN = re.compile(r"\\([A-Za-z]+)(-?\d+)? ?|\\'([0-9A-Fa-f]{2})|\\([^A-Za-z'])|([{}])|([^\\{}]+)", re.S)
 
 
-def read_rtf(data: bytes) -> Extracted:
+def read_rtf(data: bytes, limits: Limits) -> Extracted:
     out: list[str] = []
     stack: list[dict] = [{"silent": False, "pict": None, "fresh": False}]
     images: list[Image] = []
@@ -650,80 +674,58 @@ def read_rtf(data: bytes) -> Extracted:
         if not (text and not text.strip()):
             top["fresh"] = False
     joined_text = "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    return finished(re.sub(r"\n{3,}", "\n\n", joined_text), "rtf", [], images)
+    return finished(re.sub(r"\n{3,}", "\n\n", joined_text), "rtf", [], images, limits)
 
 
 # PDF
 
 
-def pdf_string(raw: bytes) -> str:
-    """Text of a literal string with its escapes."""
-    out, i = bytearray(), 0
-    while i < len(raw):
-        c = raw[i]
-        if c == 92 and i + 1 < len(raw):
-            n = raw[i + 1 : i + 2]
-            octal = re.match(rb"[0-7]{1,3}", raw[i + 1 :])
-            if octal:
-                out.append(int(octal.group(), 8) & 255)
-                i += 1 + len(octal.group())
-                continue
-            out += {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b"", b"\n": b""}.get(n, n)
-            i += 2
-        else:
-            out.append(c)
-            i += 1
-    return bytes(out).decode("utf-16-be", "replace")[1:] if out[:2] == b"\xfe\xff" else bytes(out).decode("cp1252", "replace")
-
-
-PDF_SHOW = re.compile(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>|\b(?:Tj|TJ|T\*|Td|TD|ET|Tm)\b|['\"]", re.S)
-
-
-def pdf_text(stream: bytes) -> str:
-    out: list[str] = []
-    for m in PDF_SHOW.finditer(stream):
-        t = m.group()
-        if t[:1] == b"(":
-            out.append(pdf_string(t[1:-1]))
-        elif t[:1] == b"<":
-            digits = re.sub(rb"\s", b"", t[1:-1])
-            out.append(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1"))
-        elif t in (b"T*", b"Td", b"TD", b"ET", b"'", b'"') and out and not out[-1].endswith("\n"):
-            out.append("\n")
-    return re.sub(r"[ \t]+\n", "\n", "".join(out))
-
-
-def read_pdf(data: bytes) -> Extracted:
-    """Text operators and flate or JPEG pictures of plain PDF files; other encodings yield nothing."""
+def pdf_picture(doc: pdf.Document, s: pdf.Stream, name: str, place: str | None, limits: Limits) -> Image | None:
+    """A picture of a page; None, with a warning, where its coding or layout isn't read."""
+    coded = [doc.get(f) for f in doc.list_of(s.head.get("Filter"))]
+    try:
+        if coded and coded[-1] == "DCTDecode":
+            return Image(f"{name}.jpg", "image/jpeg", doc.body(s, ("DCTDecode",)), place)
+        w, h, bits = (doc.get(s.head.get(k)) for k in ("Width", "Height", "BitsPerComponent"))
+        if not isinstance(w, int) or not isinstance(h, int) or w * h > limits.pdf_pixels:
+            doc.warnings.append("PDF: skipped an image with too many pixels.")
+            return None
+        body, space = doc.body(s), doc.get(s.head.get("ColorSpace"))
+        kind = doc.get(space[0]) if isinstance(space, list) and space else space
+        if kind == "ICCBased":
+            kind = {1: "DeviceGray", 3: "DeviceRGB"}.get(doc.get(doc.dict_of(space[1]).get("N")))
+        if kind == "Indexed" and bits == 8 and len(body) >= w * h:
+            palette = doc.get(space[3])
+            palette = doc.body(palette) if isinstance(palette, pdf.Stream) else palette
+            width = 3 if doc.get(space[1]) == "DeviceRGB" else 1
+            body, kind = b"".join(palette[width * c : width * (c + 1)] for c in body[: w * h]), "DeviceRGB" if width == 3 else "DeviceGray"
+        channels = {"DeviceRGB": 3, "CalRGB": 3, "DeviceGray": 1, "CalGray": 1}.get(kind, 0)
+        if channels and bits in (None, 8) and len(body) == w * h * channels and w * h:
+            return Image(f"{name}.png", "image/png", encode_png(w, h, channels, body), place)
+        doc.warnings.append("PDF: skipped an image whose pixels don't fit its layout.")
+    except (pdf.Broken, zlib.error, ValueError, TypeError, IndexError) as e:
+        doc.warnings.append(f"PDF: skipped an image that could not be read ({e}).")
+    return None
+
+
+def read_pdf(data: bytes, limits: Limits) -> Extracted:
+    """Text of the pages in order, with the fonts' maps to Unicode, and their pictures."""
     if not data.startswith(b"%PDF"):
         raise Failed("extraction_failed", "no PDF header")
     if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R|/Encrypt\s*<<", data):
         raise Failed("encrypted", "the PDF is encrypted")
-    texts, images, warnings = [], [], []
-    for m in re.finditer(rb"<<((?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n(.*?)\r?\n?endstream", data, re.S):
-        head, body = m.groups()
-        number = lambda key: int((re.search(rb"/" + key + rb"\s+(\d+)", head) or [0, b"0"])[1])  # noqa: E731, B023
-        if b"/DCTDecode" in head:
-            images.append(Image(f"pdf-{len(images) + 1}.jpg", "image/jpeg", body, None, None))
-            continue
-        if b"/FlateDecode" in head:
-            try:
-                body = zlib.decompressobj().decompress(body, 256 << 20)
-            except zlib.error:
-                warnings.append("PDF: a stream could not be decompressed.")
-                continue
-        if b"/Image" in head:
-            w, h = number(b"Width"), number(b"Height")
-            channels = 3 if b"/DeviceRGB" in head else 1 if b"/DeviceGray" in head else 4 if b"/DeviceCMYK" in head else 0
-            if w * h > 16_000_000:
-                warnings.append("PDF: skipped an image with too many pixels.")
-            elif channels in (1, 3) and number(b"BitsPerComponent") in (0, 8) and len(body) == w * h * channels and w * h:
-                images.append(Image(f"pdf-{len(images) + 1}.png", "image/png", encode_png(w, h, channels, body)))
-            else:
-                warnings.append("PDF: skipped an image whose pixels don't fit its layout.")
-        elif re.search(rb"\bBT\b", body):
-            texts.append(pdf_text(body).strip())
-    return finished("\n\n".join(t for t in texts if t), "pdf", warnings, images)
+    doc, pages = pdf.shown(data, limits.inflated)
+    if "Encrypt" in doc.trailer:
+        raise Failed("encrypted", "the PDF is encrypted")
+    images: list[Image] = []
+    seen: set[int] = set()
+    for n, page in enumerate(pages, 1):
+        for s in page.pictures:
+            if id(s) not in seen:
+                seen.add(id(s))
+                found = pdf_picture(doc, s, f"pdf-{len(seen)}", f"Page {n}", limits)
+                images += [found] if found else []
+    return finished("\n\n".join(t for p in pages if (t := p.text())), "pdf", doc.warnings, images, limits)
 
 
 READERS = {
@@ -732,13 +734,17 @@ READERS = {
 }
 
 
-def extract(data: bytes | None, suffix: str) -> tuple[Extracted | None, str | None, str | None]:
-    """(result, reason, detail): exactly one of result and reason is given."""
-    reader = READERS.get(suffix.lower())
+#: From the bytes of a document and the limits to what is in it.
+Read = Callable[[bytes, Limits], Extracted]
+
+
+def extract(data: bytes | None, suffix: str, limits: Limits = Limits(), readers: dict[str, Read] | None = None) -> tuple[Extracted | None, str | None, str | None]:
+    """(result, reason, detail): exactly one of result and reason is given. Further ``readers`` by suffix go before those here."""
+    reader = ((readers or {}) | {k: v for k, v in READERS.items() if k not in (readers or {})}).get(suffix.lower())
     if reader is None or data is None:
         return None, "extraction_failed" if data is not None else "io_failed", f"no extractor for {suffix}" if data is not None else "no data"
     try:
-        return reader(data), None, None
+        return reader(data, limits), None, None
     except Failed as e:
         return None, e.reason, str(e)
     except Exception as e:  # a broken file must never end a task

@@ -142,6 +142,55 @@ def test_pdf():
     assert formats.extract(b"%PDF-1.4 /Encrypt 5 0 R", ".pdf")[1] == "encrypted" and formats.extract(b"%PDF-1.4", ".pdf")[1] == "empty" and formats.extract(b"x", ".pdf")[1] == "extraction_failed"
 
 
+def pdf_file(objects, trailer="/Root 1 0 R", packed=()):
+    """A file of (number, head, stream or None); numbers in packed stand in an object stream."""
+    out = b"%PDF-1.5\n"
+    inner = [(n, head.encode()) for n, head, body in objects if n in packed]
+    if inner:
+        places, data = [], b""
+        for n, head in inner:
+            places.append(f"{n} {len(data)}")
+            data += head + b" "
+        first = " ".join(places).encode() + b" "
+        objects = [*objects, (90, f"<</Type /ObjStm /N {len(inner)} /First {len(first)} /Filter /FlateDecode>>", first + data)]
+    for n, head, body in objects:
+        if n not in packed:
+            coded = zlib.compress(body) if body is not None and "FlateDecode" in head else body
+            out += f"{n} 0 obj {head}".encode() + (b"" if coded is None else b"\nstream\r\n" + coded + b"\nendstream") + b" endobj\n"
+    return out + f"trailer <<{trailer}>>".encode()
+
+
+CMAP = b"/CIDInit begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0048> <0002> <00E900660066> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<65E5> <672C>] endbfrange endcmap"
+
+
+def test_pdf_pages_fonts_and_object_streams():
+    objects = [
+        (1, "<</Type /Catalog /Pages 2 0 R>>", None), (2, "<</Type /Pages /Kids [4 0 R 3 0 R] /Resources <</Font <</F1 7 0 R>> /XObject <</X 9 0 R /I 10 0 R>>>>>>", None),
+        (3, "<</Type /Page /Contents 5 0 R>>", None), (4, "<</Type /Page /Contents [6 0 R 8 0 R] /Resources <</Font <</A 11 0 R>>>>>>", None),
+        (5, "<</Filter /FlateDecode>>", b"BT /F1 9 Tf <00010002> Tj 0 -12 Td [<0010> -300 <00110012>] TJ 5 0 Td <00200021> Tj ET /X Do /I Do q BI /W 1 ID \xff(Tj)\x00 EI Q"),
+        (6, "<</Length 99 0 R>>", b"BT /A 9 Tf 1 0 0 1 0 700 Tm (first \\(page\\)) Tj 1 0 0 1 50 700 Tm (same) Tj 1 0 0 1 0 680 Tm (line) Tj"), (8, "<<>>", b"(\\051 \\\ntwo) Tj ET"),
+        (7, "<</Type /Font /Subtype /Type0 /ToUnicode 12 0 R>>", None), (12, "<</Filter [/ASCIIHexDecode /FlateDecode]>>", None), (9, "<</Subtype /Form /Filter /FlateDecode>>", b"BT /F1 9 Tf <0001> ' ET"),
+        (10, "<</Subtype /Image /Width 2 /Height 2 /BitsPerComponent 8 /ColorSpace [/Indexed /DeviceRGB 1 <000000ff0000>] /Filter /FlateDecode>>", b"\0\1\1\0"), (11, "<</Subtype /Type1>>", None), (99, "31", None),
+    ]
+    objects = [(n, h, zlib.compress(CMAP).hex().encode() + b">") if n == 12 else (n, h, b) for n, h, b in objects]
+    raw = pdf_file([o for o in objects if o[0] != 12], packed=(1, 2, 3, 7))
+    raw = raw.replace(b"trailer", b"12 0 obj <</Filter [/ASCIIHexDecode /FlateDecode]>> stream\n" + objects[8][2] + b"\nendstream endobj trailer")
+    e = read(raw, ".pdf")
+    assert e.parts == ["first (page)same\nline) two\n\nHéff\na bc 日本\nH"] and e.images[0].location == "Page 2" and images.decode_png(e.images[0].data)[0, 1].tolist() == [255, 0, 0, 255]
+    assert formats.extract(pdf_file(objects[:1], "/Root 1 0 R /Encrypt 3 0 R"), ".pdf")[1] == "encrypted"
+
+
+def test_limits_are_parameters():
+    page = zlib.compress(b"BT (" + b"x" * 5000 + b") Tj ET")
+    raw = b"%PDF-1.4\n1 0 obj <</Filter /FlateDecode>>\nstream\n" + page + b"\nendstream endobj"
+    assert len(read(raw, ".pdf").parts[0]) == 5000
+    assert formats.extract(raw, ".pdf", formats.Limits(inflated=100))[1] == "empty"
+    rows = "".join(f'<table:table-row><table:table-cell><text:p>{k}</text:p></table:table-cell></table:table-row>' for k in range(5003))
+    short, whole = formats.extract(ods(rows), ".ods")[0], formats.extract(ods(rows), ".ods", formats.UNLIMITED)[0]
+    assert "truncated to 5000 rows" in short.warnings[0] and whole.warnings == [] and whole.parts[0].endswith("| 5002 |")
+    assert formats.extract(b"a,b", ".csv", readers={".csv": lambda data, _: formats.Extracted([data.decode().upper()], "csv")})[0].parts == ["A,B"]
+
+
 @pytest.mark.parametrize("suffix", sorted(formats.READERS))
 def test_broken_documents_are_rows_not_errors(suffix):
     for data in (b"", b"PK\x03\x04broken", b"\xff\xfe\x00", None):
