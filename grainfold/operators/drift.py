@@ -353,23 +353,44 @@ def move(v: object, path: str, new_path: str) -> None:
             del found[0][found[1]]
 
 
+Step = tuple[dict[str, str], list[tuple[str, str]]]
+
+
+def compiled(edits: str | None, file: int | None) -> list[Step]:
+    """The projection of one file: the renames and moves of each later file of its feed, in order, from JSON [file, path, kind, new path]."""
+    steps: dict[int, Step] = {}
+    for n, path, kind, new_path in json.loads(edits) if edits else []:
+        if file is not None and (n := int(n)) > file:
+            renames, moves_ = steps.setdefault(n, ({}, []))
+            if kind == "renamed":
+                renames[path] = new_path
+            else:
+                moves_.append((path, new_path))
+    return [(renames, sorted(moves_)) for _, (renames, moves_) in sorted(steps.items())]
+
+
 def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Carry each record through what the later files of its feed renamed and moved."""
+    """Carry each record through the projection of its file, which is compiled once for all records of the file."""
+    known: dict[tuple[str | None, int | None], list[Step]] = {}
     for batch in batches:
         rows = []
-        for raw_id, feed, file, line, edits in zip(*(c.to_pylist() for c in batch.columns)):
+        edits = batch.column(4).dictionary_encode()
+        scripts_ = edits.dictionary.to_pylist()
+        for raw_id, feed, file, line, at in zip(*(c.to_pylist() for c in batch.columns[:4]), edits.indices.to_pylist()):
             record = load(line)
             if record is None:
                 continue
-            later: dict[int, list] = {}
-            for e in edits or []:
-                if file is not None and e["file_no"] > file:
-                    later.setdefault(e["file_no"], []).append(e)
+            script = None if at is None else scripts_[at]
+            if (script, file) not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                known[script, file] = compiled(script, file)
             record = renamed_record(record, "", {})
-            for n in sorted(later):
-                record = renamed_record(record, "", {e["field_path"]: e["new_path"] for e in later[n] if e["change_kind"] == "renamed"})
-                for e in sorted((e for e in later[n] if e["change_kind"] == "moved"), key=lambda e: e["field_path"]):
-                    move(record, e["field_path"], e["new_path"])
+            for renames, moves_ in known[script, file]:
+                if renames:
+                    record = renamed_record(record, "", renames)
+                for path, new_path in moves_:
+                    move(record, path, new_path)
             rows.append((raw_id, feed, file, json.dumps(record, ensure_ascii=False)))
         cols = list(zip(*rows)) or [[]] * 4
         types = [batch.schema.types[0], pa.string(), pa.int32(), pa.string()]
@@ -485,7 +506,9 @@ def unify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def unified(df: DataFrame, edits: DataFrame) -> DataFrame:
     """(raw_id, feed_id, file_no, concept, record): every record under the latest names of its feed and in one form for all, as canonical JSON."""
     kind = df.schema["raw_id"].dataType.simpleString()
-    edits = edits.where("change_kind in ('renamed', 'moved')").groupBy(F.col("feed_id").alias("feed")).agg(F.collect_list(F.struct("file_no", "field_path", "change_kind", "new_path")).alias("edits"))
+    edits = edits.where("change_kind in ('renamed', 'moved')").groupBy(F.col("feed_id").alias("feed")).agg(F.sort_array(F.collect_list(F.array(F.col("file_no").cast("string"), "field_path", "change_kind", "new_path"))).alias("edits"))
+    # One text a feed: the key under which its projections are compiled once in each task.
+    edits = edits.select("feed", F.to_json(F.transform("edits", lambda e: e)).alias("edits"))
     rows = spread(df.select("raw_id", F.col("feed_id").cast("string").alias("feed"), F.col("file_no").cast("int").alias("file"), F.col("raw_json").cast("string").alias("line")))
     # Written once, as the forms and the result both read it.
     lines = cut(rows.join(edits, "feed", "left").select("raw_id", "feed", "file", "line", "edits").mapInArrow(projected, f"raw_id {kind}, feed string, file int, line string"))
