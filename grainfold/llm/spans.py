@@ -16,6 +16,7 @@ are read whole. Nothing is evened out. A row key that occurs twice is one docume
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -218,8 +219,11 @@ def shared_pairs(df: DataFrame, key: str, text: str, min_run: int = 200) -> Data
     docs = keyed(df, key, text)
     long_docs = docs.where(F.char_length("text") >= min_run)
     members = cut(long_docs.select("doc", "k").distinct())
-    classes = members.groupBy("k").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
-    pairs = paragraphs.run_pairs(docs, classes, min_run).union(class_pairs(docs, classes, min_run)).distinct()
+    classes = cut(members.groupBy("k").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
+    # The two ways don't depend on each other, so neither waits for the other's stages.
+    with ThreadPoolExecutor(2) as pool:
+        ways = [pool.submit(way, docs, classes, min_run) for way in (paragraphs.run_pairs, class_pairs)]
+        pairs = ways[0].result().union(ways[1].result()).distinct()
     a, b = (members.select(F.col("k").alias(x), F.col("doc").alias(f"doc_{x}")) for x in "ab")
     between = pairs.join(a, "a").join(b, "b").select("doc_a", "doc_b")
     copied = members.join(classes.where("n > 1"), "k", "left_semi").withColumnRenamed("k", "a")
