@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.functions import paths
-from grainfold.plans.runtime import cut, once, ranges
+from grainfold.plans.runtime import cut, once, ranges, spread
 
 WIDTH = 24
 #: Rows of one range, of which the events stand in memory as one array.
@@ -99,13 +99,13 @@ def orphans(refs: DataFrame, events: DataFrame) -> DataFrame:
     clean = events.where(F.col("key").isNotNull() & F.col("at").isNotNull()).groupBy("key", "at").agg(F.min("alive").alias("alive"))
     fields = ["ref_table", "ref_id", "ref_pos", "at"]
     empty = [F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in fields]
-    known = refs.where(F.col("key").isNotNull())
     never = F.lit((1 << 61) - 1)
     rows = clean.select(probe(F.col("key"), F.col("at")).alias("probe"), F.lit(False).alias("is_ref"), "alive", *empty).union(
-        known.select(probe(F.col("key"), F.coalesce("at", never)), F.lit(True), F.lit(False), *fields)
+        refs.select(probe(F.col("key"), F.coalesce("at", never)), F.lit(True), F.lit(False), *fields)
     )
     # Written before it is ranged, as counting and sampling read it too, and after, as both passes must see the same ranges.
-    rows = cut(rows)
+    every = cut(rows)
+    rows = every.where(F.col("probe").isNotNull())
     parts = ranges(rows, RANGE_ROWS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = cut(rows.repartitionByRange(parts, "probe", "is_ref", "ref_id", "ref_pos").sortWithinPartitions("is_ref"))
     # One row for each range, however large the tables are.
@@ -113,7 +113,7 @@ def orphans(refs: DataFrame, events: DataFrame) -> DataFrame:
     carried = sorted((r["part"], bytes(r["probe"]), r["alive"]) for r in tails)
     schema = ", ".join(f"{c} {refs.schema[c].dataType.simpleString()}" for c in fields)
     found = ranged.mapInArrow(misses(carried), schema)
-    return found.union(refs.where(F.col("key").isNull()).select(*fields))
+    return found.union(every.where(F.col("probe").isNull()).select(*fields))
 
 
 def references(concepts: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def references(concepts: DataFrame, links: DataFrame, sources: DataFrame) -> Dat
     items = concepts.select(F.lit("concepts").alias("ref_table"), F.col("row_id").alias("ref_id"), F.posexplode("supersedes").alias("ref_pos", "value"), F.col("concept_id").alias("origin"), F.col("loaded_at").alias("t"))
     linked = links.select(F.lit("incoming_links"), F.col("link_id"), F.lit(0), F.col("to_concept_id"), F.col("from_concept_id"), F.col("seen_at"))
     used = sources.select(F.lit("source_entries"), F.col("entry_id"), F.lit(0), F.col("resource"), F.col("concept_id"), F.col("recorded_at"))
-    every = items.union(linked).union(used)
+    every = spread(items).union(spread(linked)).union(spread(used))
     bare = once(every.where("value is not null").withColumnRenamed("value", "raw"), "value", paths.unbracketed(paths.trimmed(F.col("raw")))).where((paths.trimmed(F.col("value")) != "") & ~F.col("value").rlike("^[A-Za-z]+:"))
     placed = once(bare, "path", paths.link_path(F.col("value"), paths.directory(F.coalesce("origin", F.lit("")))))
     concept = F.concat(F.lit("c:"), F.regexp_replace("path", r"\.md$", ""))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.functions import links, paths
+from grainfold.plans.runtime import cut
 
 FORMAT_VERSION = "0.2"
 UNINDEXED = r"^(archive|trash)(/|$)"
@@ -188,6 +189,7 @@ def doomed_by(ids: DataFrame, target: str) -> DataFrame:
 
 def removal_plan(ids: DataFrame, linked: DataFrame, target: str) -> DataFrame:
     """(kind, subject, object): concepts to remove, directories that vanish, links that lead to them."""
+    ids = cut(ids.select("concept_id"))
     doomed = doomed_by(ids, target)
     survivors = ids.join(doomed, "concept_id", "left_anti")
     none = F.lit("").alias("object")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grainfold.functions import paths, text
 from grainfold.operators import retrieval, wiki
-from grainfold.plans.runtime import table
+from grainfold.plans.runtime import once, spread, table
 
 QUESTION = "Which central registry keeps the nightly archive of the turbine label?"
 SNAPSHOT_CUT = "2024-07-01 00:00:00"
@@ -125,7 +125,7 @@ def wiki_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "incoming_links")
+    links = spread(table(spark, sf_dir, "incoming_links").select("link_id", "from_concept_id", "to_concept_id"))
     return links.select("link_id", paths.concept_of_link(F.col("to_concept_id"), paths.directory(F.col("from_concept_id"))).alias("concept_id"))
 
 
@@ -140,8 +140,9 @@ def incoming_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def removal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "incoming_links")
-    resolved = links.select("from_concept_id", F.coalesce(paths.concept_of_link(F.col("to_concept_id"), paths.directory(F.col("from_concept_id"))), "to_concept_id").alias("to_concept_id"))
+    links = spread(table(spark, sf_dir, "incoming_links").select("from_concept_id", "to_concept_id"))
+    target = F.coalesce(paths.concept_of_link(F.col("to_concept_id"), paths.directory(F.col("from_concept_id"))), "to_concept_id")
+    resolved = once(links, "target", target).select("from_concept_id", F.col("target").alias("to_concept_id"))
     return wiki.removal_plan(ids(spark, sf_dir), resolved, REMOVED)
 
 
