@@ -66,23 +66,28 @@ def child_dirs(dirs: DataFrame) -> DataFrame:
     return dirs.where("dir <> ''").select(paths.parent(F.col("dir")).alias("dir"), F.col("dir").alias("child"))
 
 
+def by_locale(c: Column) -> Column:
+    """A text in the order of the root locale, in which case and accents come after letters."""
+    return F.collate(c, "UNICODE")
+
+
 def dir_label(c: Column) -> Column:
     return F.when(c == "", "Wiki").otherwise(paths.basename(c))
 
 
 def index_pages(concepts: DataFrame) -> DataFrame:
-    """(dir, markdown) of the index of every directory; the root's begins with the format version.
+    """(dir, markdown) of the index of every directory; the root's begins with the format version. Directories come first, in binary order, then concepts in that of the locale.
 
     A directory's page is one value, so its entries meet in one row; only link lines travel there.
     """
     dirs = index_dirs(concepts)
-    subs = child_dirs(dirs).select("dir", F.lit(0).alias("part"), F.col("child").alias("key"), F.format_string("* [%s/](%s/)", paths.basename(F.col("child")), paths.basename(F.col("child"))).alias("line"))
+    subs = child_dirs(dirs).select("dir", F.lit(0).alias("part"), F.col("child").alias("key"), by_locale(F.lit("")).alias("place"), F.format_string("* [%s/](%s/)", paths.basename(F.col("child")), paths.basename(F.col("child"))).alias("line"))
     slug = paths.basename(F.col("concept_id"))
     title = F.coalesce(F.col("title"), slug)
     link = F.format_string("* [%s](%s.md)", title, slug)
     line = F.when(F.coalesce(F.col("description"), F.lit("")) != "", F.concat(link, F.lit(" - "), "description")).otherwise(link)
-    own = concepts.select(paths.directory(F.col("concept_id")).alias("dir"), F.lit(1).alias("part"), F.col("concept_id").alias("key"), line.alias("line"))
-    entries = subs.union(own).groupBy("dir").agg(F.sort_array(F.collect_list(F.struct("part", "key", "line"))).alias("entries"))
+    own = concepts.select(paths.directory(F.col("concept_id")).alias("dir"), F.lit(1).alias("part"), F.lit("").alias("key"), by_locale(F.col("concept_id")).alias("place"), line.alias("line"))
+    entries = subs.union(own).groupBy("dir").agg(F.sort_array(F.collect_list(F.struct("part", "key", "place", "line"))).alias("entries"))
     lines = lambda part: F.transform(F.filter("entries", lambda e: e["part"] == part), lambda e: e["line"])
     listed = dirs.join(entries, "dir", "left").select("dir", F.coalesce(lines(0), F.array().cast("array<string>")).alias("subs"), F.coalesce(lines(1), F.array().cast("array<string>")).alias("own"))
     head = F.array(F.concat(F.lit("# "), dir_label(F.col("dir")), F.lit(" Index")), F.lit(""))
@@ -166,6 +171,16 @@ def incoming(linked: DataFrame, doomed: DataFrame) -> DataFrame:
     return into.join(ids.withColumnRenamed("concept_id", "from_concept_id"), "from_concept_id", "left_anti").select("from_concept_id", "to_concept_id").distinct()
 
 
+def ordered_links(linked: DataFrame) -> DataFrame:
+    """(from_concept_id, to_concept_id) in the order of the locale."""
+    return linked.orderBy(by_locale(F.col("from_concept_id")), by_locale(F.col("to_concept_id")), "from_concept_id", "to_concept_id")
+
+
+def ordered_dirs(dirs: DataFrame) -> DataFrame:
+    """(dir), the longest first, as they have to be removed, then in the order of the locale."""
+    return dirs.orderBy(F.char_length("dir").desc(), by_locale(F.col("dir")), "dir")
+
+
 def target_path(c: Column) -> Column:
     """A removal target as a path inside the wiki, or NULL."""
     path = F.regexp_replace(F.replace(paths.trimmed(c), F.lit("\\"), F.lit("/")), "/+$", "")

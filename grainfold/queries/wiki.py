@@ -117,7 +117,7 @@ def emptied_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories that vanish with all concepts of two of them."""
     gone = F.startswith("concept_id", F.lit(REMOVED + "/")) | F.startswith("concept_id", F.lit(REMOVED_TOO + "/"))
     every = ids(spark, sf_dir)
-    return wiki.emptied_dirs(every.where(gone), every.where(~gone))
+    return wiki.ordered_dirs(wiki.emptied_dirs(every.where(gone), every.where(~gone)))
 
 
 def wiki_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,7 @@ def concept_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incoming_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "incoming_links").select("from_concept_id", "to_concept_id")
-    return wiki.incoming(links, table(spark, sf_dir, "removals"))
+    return wiki.ordered_links(wiki.incoming(links, table(spark, sf_dir, "removals")))
 
 
 def removal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +241,7 @@ lines as (
   select dir, 0 as part, child as key, '* [' || {last.format('child')} || '/](' || {last.format('child')} || '/)' as line from kids
   union all select {DIR.format('concept_id')}, 1, concept_id, '* [' || coalesce(title, {last.format('concept_id')}) || '](' || {last.format('concept_id')} || '.md)' || case when coalesce(description, '') <> '' then ' - ' || description else '' end from cur
 ),
-listed as (select dir, string_agg(line, chr(10) order by key) filter (where part = 0) as subs, string_agg(line, chr(10) order by key) filter (where part = 1) as own from dirs left join lines using (dir) group by dir),
+listed as (select dir, string_agg(line, chr(10) order by key) filter (where part = 0) as subs, string_agg(line, chr(10) order by key collate en, key) filter (where part = 1) as own from dirs left join lines using (dir) group by dir),
 pages as (select dir, case when dir = '' then '---' || chr(10) || 'okf_version: "0.2"' || chr(10) || '---' || chr(10) || chr(10) else '' end || '# ' || case when dir = '' then 'Wiki' else {last.format('dir')} end || ' Index' || chr(10) || chr(10) || coalesce(subs || chr(10) || chr(10), '') || coalesce(own || chr(10), '') as markdown from listed)
 """
     above = "select distinct " + ANCESTORS.format("d") + " as dir from (select distinct " + DIR.format("concept_id") + " as d from {0}) where d <> ''"

@@ -30,10 +30,19 @@ def test_index_dirs_and_pages(spark):
     pages = {r.dir: r.markdown for r in wiki.index_pages(c).collect()}
     assert pages["a/b"] == "# b Index\n\n* [C](c.md) - about\n"
     assert pages[""] == '---\nokf_version: "0.2"\n---\n\n# Wiki Index\n\n* [a/](a/)\n\n* [top](top.md)\n'
+    many = spark.createDataFrame([(f"d/{x}", None, None) for x in ("b", "A", "ä", "a", "B", "a-b", "Z/x", "c/x")], "concept_id string, title string, description string")
+    listed = {r.dir: r.markdown for r in wiki.index_pages(many).collect()}["d"]
+    assert [x.partition("]")[0][3:] for x in listed.split("\n") if x.startswith("*")] == ["Z/", "c/", "a", "A", "ä", "a-b", "b", "B"]
     empty = spark.createDataFrame([], "concept_id string, title string, description string")
     assert {r.dir for r in wiki.index_pages(empty).collect()} == {""}
 
 
+def test_orders_of_reports(spark):
+    linked = spark.createDataFrame([("b", "x"), ("A", "y"), ("a", "z"), ("a", "B"), ("a", "a")], "from_concept_id string, to_concept_id string")
+    assert [tuple(r) for r in wiki.ordered_links(linked).collect()] == [("a", "a"), ("a", "B"), ("a", "z"), ("A", "y"), ("b", "x")]
+    assert [r.dir for r in wiki.ordered_dirs(spark.createDataFrame([("b",), ("A",), ("a/b",), ("a",)], "dir string")).collect()] == ["a/b", "a", "A", "b"]
+
+
 def test_removal_plan(spark):
     ids = spark.createDataFrame([("a/x",), ("a/y",), ("b/z",), ("archive/q",)], "concept_id string")
     links = spark.createDataFrame([("b/z", "a/x"), ("b/z", "a/x"), ("a/y", "a/x"), ("b/z", "none")], "from_concept_id string, to_concept_id string")
