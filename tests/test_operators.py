@@ -235,3 +235,13 @@ def test_commands_collect_no_contents(spark, tmp_path, monkeypatch):
 def test_commands_on_nothing(spark, tmp_path):
     r = commands.update(spark, str(tmp_path), "2026-01-01", "S")
     assert r.counts == {} and commands.query(spark, str(tmp_path), "anything").collect() == []
+
+
+def test_line_records_of_one_long_document(spark):
+    """A document that goes over several ranges is numbered in one row; bad and blank lines have no number."""
+    lines = [("long", i, "{bad" if i % 10 == 0 else " " if i % 10 == 1 else json.dumps({"i": i})) for i in range(5000)] + [("short", 7, "[1]"), (None, 1, "1"), ("none", 1, None), ("long", 9000, "2")]
+    got = intake.line_records(spark.createDataFrame(lines, "doc string, pos bigint, line string")).collect()
+    numbers = {(r.doc, r.pos): (r.record_no, r.part_no) for r in got}
+    good = [i for i in range(5000) if i % 10 > 1]
+    assert len(got) == len(numbers) == 4503 and all(numbers["long", i] == (k, (k - 1) // 1000 + 1) for k, i in enumerate(good, 1))
+    assert numbers["long", 0] == (None, None) and numbers["long", 9000] == (4001, 5) and numbers["short", 7] == numbers[None, 1] == (1, 1)
