@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainfold.queries import documents, general, intake, readers, wiki
+from grainfold.queries import documents, general, intake, readers, runs, wiki
 
 
-MODULES = [wiki, intake, documents, readers, general]
+MODULES = [wiki, intake, documents, readers, runs, general]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

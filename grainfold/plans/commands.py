@@ -14,6 +14,7 @@ import os
 import shutil
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,16 @@ class Session:
         return prompts.update_prompt([r["entry"] for r in entries.toLocalIterator()], [tuple(r) for r in shape.toLocalIterator()])
 
 
+def today(now: datetime | None = None) -> str:
+    """The day in UTC, as the log has it."""
+    return (now or datetime.now(UTC)).strftime("%Y-%m-%d")
+
+
+def archive_stamp(now: datetime | None = None) -> str:
+    """Day and minute in UTC, as names have it that would collide."""
+    return (now or datetime.now(UTC)).strftime("%Y-%m-%d-%H%M")
+
+
 def concept_files(spark: SparkSession, root: str) -> DataFrame:
     """(concept_id, content) of the concept pages below wiki/."""
     listed = files.list_files(spark, os.path.join(root, "wiki")).where(F.endswith("relative_path", F.lit(".md")) & ~F.substring_index("relative_path", "/", -1).isin(*GENERATED))
@@ -120,13 +131,13 @@ def reported(spark: SparkSession, *parts: tuple[str, DataFrame, Column | str, Co
     return Report(written, {r["kind"]: r["count"] for r in written.groupBy("kind").count().collect()})
 
 
-def append_log(root: str, date: str, report: Report) -> None:
+def append_log(root: str, date: str | None, report: Report) -> None:
     """Put the newest entry on top of the log, line by line."""
     path = os.path.join(root, "wiki", "log.md")
     new = path + ".new"
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(new, "w", encoding="utf-8") as out:
-        out.write(f"{LOG_TITLE}\n\n## {date}\n\n")
+        out.write(f"{LOG_TITLE}\n\n## {date or today()}\n\n")
         n = 0
         for r in wiki.log_lines(report.rows).orderBy("part", "subject").toLocalIterator():
             out.write(r["line"] + "\n")
@@ -144,11 +155,12 @@ def append_log(root: str, date: str, report: Report) -> None:
     os.replace(new, path)
 
 
-def begin(spark: SparkSession, root: str, stamp: str, analyse: prepass.Analyse | None = None, limits: formats.Limits = formats.Limits(), readers: dict[str, formats.Read] | None = None) -> Session:
+def begin(spark: SparkSession, root: str, stamp: str | None = None, analyse: prepass.Analyse | None = None, limits: formats.Limits = formats.Limits(), readers: dict[str, formats.Read] | None = None) -> Session:
     """Take in conformant pages and stage everything else for the agent: texts, images and, if there is a model, its findings.
 
     ``readers`` by suffix extend those of the library; ``limits`` are what a reader takes from a document.
     """
+    stamp = stamp or archive_stamp()
     extracted_suffixes = intake.EXTRACTED_SUFFIXES + sorted(readers or {})
     source, base = os.path.join(root, "input"), os.path.join(root, "wiki")
     staging = os.path.join(source, STAGED)
@@ -204,7 +216,7 @@ def stage_images(good: DataFrame, names: DataFrame, staging: str, analyse: prepa
     return told, note
 
 
-def finish(spark: SparkSession, session: Session, date: str, message: str = "") -> Report:
+def finish(spark: SparkSession, session: Session, date: str | None = None, message: str = "") -> Report:
     """Bring in what the agent has done: links to archived originals, indexes, extracted texts into the archive, outcomes, log."""
     root, source, base = session.root, os.path.join(session.root, "input"), os.path.join(session.root, "wiki")
     staging = os.path.join(source, STAGED)
@@ -246,7 +258,7 @@ def finish(spark: SparkSession, session: Session, date: str, message: str = "")
     return Report(report.rows, report.counts, session.before.count(), after.count())
 
 
-def update(spark: SparkSession, root: str, date: str, stamp: str, agent: Callable[[str], str] | None = None, analyse: prepass.Analyse | None = None) -> Report:
+def update(spark: SparkSession, root: str, date: str | None = None, stamp: str | None = None, agent: Callable[[str], str] | None = None, analyse: prepass.Analyse | None = None) -> Report:
     """Take in what lies in input/. The agent gets the prompt, writes and moves files itself, and returns its last message; without one, what needs it is left in input/."""
     session = begin(spark, root, stamp, analyse)
     return finish(spark, session, date, agent(session.prompt()) if agent and session.n_waiting else "")
@@ -273,14 +285,14 @@ def plan_removal(spark: SparkSession, root: str, target: str) -> DataFrame:
     return wiki.removal_plan(pages.select("concept_id"), rewrite.references(pages), target)
 
 
-def remove(spark: SparkSession, root: str, target: str, date: str, stamp: str) -> Report:
+def remove(spark: SparkSession, root: str, target: str, date: str | None = None, stamp: str | None = None) -> Report:
     """Move concepts to the trash and redirect every link to them."""
     base = os.path.join(root, "wiki")
     doomed = cut(wiki.doomed_by(concept_files(spark, root).select("concept_id"), target))
     if doomed.isEmpty():
         return Report(None, {}, error=f"nothing to remove at {target}")
     page = F.concat("concept_id", F.lit(".md"))
-    trash = cut(intake.archive_targets(doomed.withColumn("page", page), below(spark, base, "trash"), "concept_id", "page", stamp, "trash"))
+    trash = cut(intake.archive_targets(doomed.withColumn("page", page), below(spark, base, "trash"), "concept_id", "page", stamp or archive_stamp(), "trash"))
     files.move_files(trash.select(F.concat(F.lit(base + "/"), page).alias("source"), F.concat(F.lit(base + "/"), "target").alias("target")))
     mapping = trash.select(F.col("concept_id").alias("old"), F.concat(F.lit("/"), "target").alias("new"))
     changed = cut(rewrite.rewrite_removed_links(concept_files(spark, root).where(~wiki.is_raw(F.col("concept_id"))), mapping))
@@ -292,7 +304,7 @@ def remove(spark: SparkSession, root: str, target: str, date: str, stamp: str) -
     return report
 
 
-def migrate(spark: SparkSession, root: str, date: str) -> Report:
+def migrate(spark: SparkSession, root: str, date: str | None = None) -> Report:
     """Bring every concept of the older format up to date; a second run changes nothing."""
     changed = cut(rewrite.migrated(concept_files(spark, root)))
     report = reported(spark, ("updated", changed, "concept_id", None))

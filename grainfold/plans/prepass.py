@@ -70,11 +70,11 @@ def staged_images(extracted: DataFrame) -> DataFrame:
     return found.join(judged, ["doc", "id"]).select("doc", "id", "sha256", "media", "data", "byte_length", occurrences.alias("occurrences"), status.alias("status"), "reason")
 
 
-def request_batches(staged: DataFrame) -> DataFrame:
+def request_batches(staged: DataFrame, size: int = intake.BATCH_SIZE, most: float = intake.BATCH_BYTES, largest: float = intake.IMAGE_BYTES) -> DataFrame:
     """(doc, batch, id, locations, context, media, data) of the images that await a model: distinct locations, the first context that isn't blank."""
     number = F.regexp_extract("id", r"(\d+)$", 1).cast("bigint")
     waits = staged.where("status = 'staged'").withColumn("pos", number)
-    batch = intake.batches(waits.select("doc", "pos", "byte_length")).where("batch is not null").select("doc", "pos", "batch")
+    batch = intake.batches(waits.select("doc", "pos", "byte_length"), size, most, largest).where("batch is not null").select("doc", "pos", "batch")
     places = F.array_compact(F.array_distinct(F.transform("occurrences", lambda o: o["location"])))
     context = F.try_element_at(F.filter(F.transform("occurrences", lambda o: o["context"]), lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""), F.lit(1))
     return waits.join(batch, ["doc", "pos"]).select("doc", "batch", "id", places.alias("locations"), context.alias("context"), "media", "data")

@@ -232,6 +232,13 @@ def test_commands_collect_no_contents(spark, tmp_path, monkeypatch):
     assert not any({"content", "body", "hash", "markdown", "data"} & set(c) for c in seen) and "secret" in open(os.path.join(root, "wiki/d1/p1.md"), encoding="utf-8").read()
 
 
+def test_stamps():
+    from datetime import UTC, datetime
+
+    at = datetime(2026, 3, 4, 5, 6, 7, tzinfo=UTC)
+    assert (commands.today(at), commands.archive_stamp(at)) == ("2026-03-04", "2026-03-04-0506") and len(commands.archive_stamp()) == 15
+
+
 def test_commands_on_nothing(spark, tmp_path):
     r = commands.update(spark, str(tmp_path), "2026-01-01", "S")
     assert r.counts == {} and commands.query(spark, str(tmp_path), "anything").collect() == []
