@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from grainfold.functions.text import tokens
 from grainfold.plans.runtime import bounded, cut, once, spread
 
-#: Most terms of a vocabulary that is broadcast, about 60 MB.
+#: Most terms of a vocabulary that is broadcast, about 60 MB; a term over 32 bytes counts for several.
 VOCABULARY = 1_000_000
 
 #: The extension point: corpus (key, text), question and limit to (key, score).
@@ -72,7 +72,7 @@ class Index:
 def index(corpus: DataFrame) -> Index:
     n = corpus.count()
     idf = cut(document_frequencies(corpus).select("term", inverse(n).alias("idf")))
-    return Index(n, bounded(idf, VOCABULARY))
+    return Index(n, bounded(idf, VOCABULARY, 1 + F.floor(F.octet_length("term") / 32)))
 
 
 def weights(corpus: DataFrame, known: Index | None = None) -> DataFrame:

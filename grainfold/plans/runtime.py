@@ -46,9 +46,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
-def bounded(df: DataFrame, most: int) -> DataFrame:
-    """``df``, marked for broadcast if it has ``most`` rows at most; beyond that a join with it shuffles. One count job, so give it written data."""
-    return F.broadcast(df) if df.count() <= most else df
+def bounded(df: DataFrame, most: int, held: Column | None = None) -> DataFrame:
+    """``df``, marked for broadcast if it holds ``most`` at most; beyond that a join with it shuffles.
+
+    Counted are rows, which must be of a fixed width, or what ``held`` says of each: of rows with arrays their elements, of
+    rows with texts their length in units of 32 bytes. One job, so give it written data.
+    """
+    n = df.count() if held is None else df.agg(F.coalesce(F.sum(held), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if n <= most else df
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
