@@ -30,7 +30,7 @@ from grainfold.plans.runtime import bounded, cut, spread, written
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 8, 3
 CHUNK = 1 << 17
-#: Most rows of a table that is broadcast.
+#: Most rows, or elements of their arrays, of a table that is broadcast: about 50 MB.
 SMALL = 1_000_000
 GAP = re.compile(r"\n\s*\n")
 WORD = re.compile("[぀-ヿ㐀-鿿가-힯]|[^\\s぀-ヿ㐀-鿿가-힯]+")
@@ -143,7 +143,7 @@ def texts_of(docs: DataFrame, places: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()))], names=["p", "k", "text"])
 
     wanted = cut(places.groupBy("doc", "k").agg(F.collect_list(F.struct("p", "begin", "length")).alias("found")))
-    return docs.join(bounded(wanted, SMALL), ["doc", "k"]).select("k", "text", "found").mapInArrow(run, "p bigint, k bigint, text string")
+    return docs.join(bounded(wanted, SMALL, 1 + F.size("found")), ["doc", "k"]).select("k", "text", "found").mapInArrow(run, "p bigint, k bigint, text string")
 
 
 def similarity(a: str, b: str) -> float:

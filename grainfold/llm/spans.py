@@ -28,7 +28,7 @@ from grainfold.llm.rolling import Rolling, U, mix
 from grainfold.plans.runtime import bounded, cut, spread, written
 
 CHUNK = 1 << 17
-#: Most rows of a table that is broadcast.
+#: Most rows, or elements of their arrays, of a table that is broadcast: about 50 MB.
 SMALL = 1_000_000
 
 
@@ -196,7 +196,7 @@ def class_pairs(docs: DataFrame, classes: DataFrame, min_run: int) -> DataFrame:
     others = shared.join(bounded(mixed, SMALL), "finger", "left_semi").select("k", "start", F.lit(False).alias("certain"))
     places = members.union(others).groupBy("k").agg(F.collect_set(F.struct("start", "certain")).alias("places"))
     wanted = cut(places.join(classes, "k").select("k", F.col("first").alias("doc"), "places"))
-    near = docs.join(bounded(wanted, SMALL), ["doc", "k"]).select("k", "text", "places")
+    near = docs.join(bounded(wanted, SMALL, 1 + F.size("places")), ["doc", "k"]).select("k", "text", "places")
     near = cut(near.mapInArrow(around(min_run), "k bigint, start int, before string, behind string, keys array<bigint>"))
     # The text from a certain anchor on is the key itself, so nothing rests on its hash.
     left, right = (near.where("keys is null").select(F.col("k").alias(x), "behind") for x in "ab")
@@ -282,7 +282,7 @@ def shared_share(df: DataFrame, key: str, text: str, min_run: int = 200) -> Data
                 every = np.append(start, sure)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(every), k)), pa.array(every.astype(np.int32)), pa.array(np.append(h, np.zeros(len(sure), np.int64))), pa.array(np.arange(len(every)) >= len(start))], names=["k", "start", "h", "sure"])
 
-    near = docs.join(bounded(wanted, SMALL), ["doc", "k"]).select("k", "text", "places")
+    near = docs.join(bounded(wanted, SMALL, 1 + F.size("places")), ["doc", "k"]).select("k", "text", "places")
     hashed = written(near.mapInArrow(windows, "k bigint, start int, h bigint, sure boolean"))
     twice = hashed.where("not sure").groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("h")
     starts = hashed.where("not sure").join(twice, "h", "left_semi").select("k", "start").union(hashed.where("sure").select("k", "start")).distinct()
