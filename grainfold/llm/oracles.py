@@ -23,7 +23,16 @@ w as (select doc_id, i, substr(text, i, 200) as s from (select doc_id, text, unn
 shared as (select s from w group by s having min(doc_id) <> max(doc_id))
 """
 
+# SQL has NFC only, so the compatibility forms that tags have are spelled out: full-width signs, wide and hard blanks, two ligatures.
+SPELLING = "lower(array_to_string(list_transform(string_split(nfc_normalize(x), ''), lambda c: case when ord(c) between 65281 and 65374 then chr(ord(c) - 65248) when c = chr(12288) or c = chr(160) then ' ' when c = chr(64257) then 'fi' when c = chr(64258) then 'fl' else c end), ''))"
+TAGS = rf"""
+e as (select distinct concept_id, row_id, tag from (select c.concept_id, c.row_id, trim(regexp_replace(regexp_replace(regexp_replace({SPELLING}, '^\s+|\s+$', '', 'g'), '^#+', ''), '[\s_-]+', '-', 'g'), '-') as tag from concepts c, unnest(c.tags) u(x) where c.concept_id is not null and x is not null) where tag <> ''),
+n as (select concept_id, row_id, count(*) as n from e group by all having count(*) >= 5),
+p as (select a.row_id as ra, b.row_id as rb, count(*) as both from e a join e b on a.tag = b.tag and a.concept_id < b.concept_id group by all)
+"""
+
 SQL = {
+    "p1_found": f"with {TAGS} select distinct a.concept_id as concept_a, b.concept_id as concept_b from p join n a on a.row_id = ra join n b on b.row_id = rb where p.both >= 0.7 * (a.n + b.n - p.both) - 1e-9",
     "p4_against_score": f"""with {TERMS}, mean as (select concept_id, avg(z) as weight from z group by 1),
 h as (select hit_id, question_id, concept_id, case when not isnan(score) and score between 0 and 1 then score end as score, round(weight, 6) as weight, weight as w from retrieved_concepts left join mean using (concept_id))
 select hit_id, question_id, concept_id, score, weight, (case when score is not null then rank() over (partition by question_id order by score desc nulls last) end)::int as score_rank, (case when w is not null then rank() over (partition by question_id order by w desc nulls last) end)::int as weight_rank from h""",
