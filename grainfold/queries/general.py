@@ -94,8 +94,32 @@ judged as (select r.ref_table, r.ref_id, r.ref_pos, r.t, coalesce(arg_max(e.aliv
 """
 
 
+# Declared orders and zones hold, as no source of the tables contradicts its declaration; of two instants of one wall-clock time the first counts.
+INSTANTS = r"""with v as (select 'concepts' as ref_table, row_id as ref_id, bundle_id, regexp_replace(fm_timestamp, '^\s+|\s+$', '', 'g') as t from concepts
+  union all select 'source_entries', entry_id, bundle_id, regexp_replace(last_modified, '^\s+|\s+$', '', 'g') from source_entries
+  union all select 'actor_events', event_id, bundle_id, regexp_replace(event_at, '^\s+|\s+$', '', 'g') from actor_events),
+w as (select v.*, tz_name, date_order from v left join bundles using (bundle_id) where t is not null and not regexp_matches(t, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$')),
+d as (select *,
+  case when regexp_matches(t, '^\d{4}-\d{2}-\d{2}([Tt ]|$)') then [t[1:4], t[6:7], t[9:10], t[12:]]
+    when regexp_matches(t, '^\d{8}[Tt]\d{6}') then [t[1:4], t[5:6], t[7:8], t[10:11] || ':' || t[12:13] || ':' || t[14:]]
+    when regexp_matches(t, '^([A-Za-z]{3}, +)?\d{1,2} +[A-Za-z]{3,9} +\d{4}') then [regexp_extract(t, '^[^0-9]*\d+ +[A-Za-z]+ +(\d{4})', 1), regexp_extract(t, '^[^0-9]*\d+ +([A-Za-z]+)', 1), regexp_extract(t, '^[^0-9]*(\d+)', 1), regexp_extract(t, '^[^0-9]*\d+ +[A-Za-z]+ +\d{4},? *(.*)$', 1)]
+    when regexp_matches(t, '^[A-Za-z]{3,9} \d{1,2}, \d{4}') then [regexp_extract(t, ', (\d{4})', 1), regexp_extract(t, '^([A-Za-z]+)', 1), regexp_extract(t, '^[A-Za-z]+ (\d+)', 1), regexp_extract(t, ', \d{4},? *(.*)$', 1)]
+    when regexp_matches(t, '^\d{1,2}\.\d{1,2}\.\d{4}') or (regexp_matches(t, '^\d{1,2}/\d{1,2}/\d{4}') and date_order = 'dmy') then [regexp_extract(t, '^\d+.\d+.(\d{4})', 1), regexp_extract(t, '^\d+.(\d+)', 1), regexp_extract(t, '^(\d+)', 1), regexp_extract(t, '^\d+.\d+.\d{4},? *(.*)$', 1)]
+    when regexp_matches(t, '^\d{1,2}/\d{1,2}/\d{4}') then [regexp_extract(t, '^\d+.\d+.(\d{4})', 1), regexp_extract(t, '^(\d+)', 1), regexp_extract(t, '^\d+.(\d+)', 1), regexp_extract(t, '^\d+.\d+.\d{4},? *(.*)$', 1)] end as f
+  from w),
+c as (select *, try_cast(coalesce((map {'jan': 1, 'feb': 2, 'mar': 3, 'apr': 4, 'may': 5, 'jun': 6, 'jul': 7, 'aug': 8, 'sep': 9, 'oct': 10, 'nov': 11, 'dec': 12})[lower(f[2])[1:3]]::varchar, f[2]) as int) as mon, regexp_extract(f[4], '^(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)? ?([AaPp][Mm])? ?(.*)$', ['h', 'm', 's', 'us', 'half', 'zone']) as k from d),
+z as (select *, regexp_replace(k.zone, '\[.*\]$', '') as zone, try_cast(nullif(k.h, '') as int) as h from c),
+l as (select *, case when f[4] <> '' and k.h = '' then null else try_cast(lpad(f[1], 4, '0') || '-' || lpad(mon::varchar, 2, '0') || '-' || lpad(f[3], 2, '0') || ' ' || lpad((case when k.half = '' then coalesce(h, 0) when h > 12 or h < 1 then 99 else h % 12 + (case when lower(k.half) = 'pm' then 12 else 0 end) end)::varchar, 2, '0') || ':' || coalesce(nullif(k.m, ''), '00') || ':' || coalesce(nullif(k.s, ''), '00') as timestamp) end as local, coalesce(try_cast(rpad(nullif(k.us, ''), 6, '0')[1:6] as bigint), 0) as us from z),
+o as (select *, case when zone = '' then null when upper(zone) in ('Z', 'UTC', 'GMT', 'WET') then 0 when upper(zone) in ('CET', 'BST', 'WEST', 'IST') then 60 when upper(zone) in ('CEST', 'EET') then 120 when upper(zone) in ('EEST', 'MSK') then 180 when upper(zone) = 'EDT' then -240 when upper(zone) in ('EST', 'CDT') then -300 when upper(zone) in ('CST', 'MDT') then -360 when upper(zone) in ('MST', 'PDT') then -420 when upper(zone) = 'PST' then -480
+   when regexp_matches(zone, '^[+-]\d{2}:?\d{2}$') then (case when zone[1] = '-' then -1 else 1 end) * (zone[2:3]::int * 60 + zone[-2:]::int) else 9999 end as off from l),
+u as (select ref_table, ref_id, case when regexp_matches(t, '^\d{9,11}$') then t::bigint * 1000000 when regexp_matches(t, '^\d{12,14}$') then t::bigint * 1000 when regexp_matches(t, '^\d{15,17}$') then t::bigint
+  when local is null or off = 9999 then null when off is not null then epoch_us(local) + us - off * 60000000::bigint when timezone(tz_name, timezone(tz_name, local) - interval 1 hour) = local then epoch_us(timezone(tz_name, local)) - 3600000000 + us else epoch_us(timezone(tz_name, local)) + us end as utc_us from o)
+select ref_table, ref_id, utc_us from u where utc_us is not null"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": INSTANTS,
         "p2_found": f"with {REFERENCES} select ref_table, ref_id, ref_pos from judged where not alive",
         "p2_by_month": f"with {REFERENCES} select ref_table, strftime(t at time zone 'UTC', '%Y-%m') as month, count(*) as n_references, count(*) filter (where not alive) as n_orphans from judged group by all",
     }
