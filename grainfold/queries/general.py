@@ -117,8 +117,31 @@ u as (select ref_table, ref_id, case when regexp_matches(t, '^\d{9,11}$') then t
 select ref_table, ref_id, utc_us from u where utc_us is not null"""
 
 
+CHANGES = r"""with raw as (select feed_id, file_no, raw_json as j, row_number() over () as rid from frontmatter_raw where feed_id is not null and file_no is not null),
+good as (select *, json_extract_string(j, '$.concept') as concept from raw where case when json_valid(j) then json_type(j) = 'OBJECT' else false end),
+nodes as (select feed_id, file_no, rid, concept, t.id, replace(regexp_replace(regexp_replace(t.fullkey, '^\$\.', ''), '\[\d+\]', '[]', 'g'), '"', '') as path,
+  case t.type when 'VARCHAR' then 'string' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'BOOLEAN' then 'boolean' else 'number' end as type, t.value::varchar as value
+  from good, json_tree(j) t where t.fullkey <> '$' and t.type <> 'NULL'),
+layout as (select feed_id, file_no, path, list_sort(list(distinct type)) as types from nodes group by all),
+pairs as (select feed_id, file_no, lag(file_no) over (partition by feed_id order by file_no) as before from (select distinct feed_id, file_no from raw)),
+gone as (select p.*, o.path, o.types from pairs p join layout o on o.feed_id = p.feed_id and o.file_no = p.before left join layout n on n.feed_id = p.feed_id and n.file_no = p.file_no and n.path = o.path where n.path is null),
+come as (select p.*, n.path, n.types from pairs p join layout n on n.feed_id = p.feed_id and n.file_no = p.file_no left join layout o on o.feed_id = p.feed_id and o.file_no = p.before and o.path = n.path where o.path is null and p.before is not null),
+kept as (select p.*, o.path from pairs p join layout o on o.feed_id = p.feed_id and o.file_no = p.before join layout n on n.feed_id = p.feed_id and n.file_no = p.file_no and n.path = o.path where n.types <> o.types),
+vals as (select feed_id, file_no, concept, path, min(v) as v from (select feed_id, file_no, rid, concept, path, list(value order by id)::varchar as v from nodes where concept is not null group by all) group by all),
+renamed as (select g.feed_id, g.file_no, g.path, c.path as new_path from gone g join come c on c.feed_id = g.feed_id and c.file_no = g.file_no and c.types = g.types and regexp_replace(c.path, '[^.\[]*$|\[\]$', '') = regexp_replace(g.path, '[^.\[]*$|\[\]$', '') and g.path not like '%[]'
+  join vals a on a.feed_id = g.feed_id and a.file_no = g.before and a.path = g.path join vals b on b.feed_id = g.feed_id and b.file_no = g.file_no and b.path = c.path and b.concept = a.concept
+  group by all having count(*) >= 2 and bool_and(a.v = b.v)),
+found as (select feed_id, file_no, path as field_path, 'retyped' as change_kind, '' as new_path from kept
+  union all select feed_id, file_no, path, 'renamed', new_path from renamed
+  union all select feed_id, file_no, path, 'removed', '' from gone where (feed_id, file_no, path) not in (select (feed_id, file_no, path) from renamed)
+  union all select feed_id, file_no, path, 'added', '' from come where (feed_id, file_no, path) not in (select (feed_id, file_no, new_path) from renamed)),
+above as (select feed_id, file_no, field_path as path from found union select feed_id, file_no, new_path from found where new_path <> '')
+select feed_id, file_no::int as file_no, field_path, change_kind, new_path from found f where not exists (select 1 from above a where a.feed_id = f.feed_id and a.file_no = f.file_no and (starts_with(f.field_path, a.path || '.') or starts_with(f.field_path, a.path || '[]')))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": CHANGES,
         "p5_found": INSTANTS,
         "p2_found": f"with {REFERENCES} select ref_table, ref_id, ref_pos from judged where not alive",
         "p2_by_month": f"with {REFERENCES} select ref_table, strftime(t at time zone 'UTC', '%Y-%m') as month, count(*) as n_references, count(*) filter (where not alive) as n_orphans from judged group by all",
