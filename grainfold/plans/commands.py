@@ -26,9 +26,11 @@ from grainfold.plans import prepass, prompts
 from grainfold.plans.runtime import cut
 from grainfold.sources import files, formats
 
+# The title of the log, pages that are made, and what an agent's own warnings are introduced with.
 LOG_TITLE = "# Wiki Update Log"
 GENERATED = ("index.md", "log.md")
 STAGED = ".extracted"
+REPORTED = "Image analysis limitation reported by agent: "
 
 
 @dataclass(frozen=True)
@@ -241,7 +243,7 @@ def finish(spark: SparkSession, session: Session, date: str | None = None, messa
     if session.note:
         summary = summary.union(spark.createDataFrame([(session.note,)], "summary string"))
     told = session.waiting.select("relative_path", F.explode("warnings").alias("w")).select(F.concat("relative_path", F.lit(": "), "w").alias("warning"))
-    told = told.union(intake.limitation_lines(spark.createDataFrame([(message,)], "text string"), "text").select(F.concat(F.lit("Image analysis limitation reported by agent: "), "line")))
+    told = told.union(intake.limitation_lines(spark.createDataFrame([(message,)], "text string"), "text").select(F.concat(F.lit(REPORTED), "line")))
     warned = intake.aggregated_warnings(told.withColumn("pos", F.lit(0)))
     report = reported(
         spark,

@@ -1,6 +1,8 @@
 """Analysis of embedded images by an outside model: staging, batches, tolerant reading of its answers, and findings.
 
 The model call is a function from a batch to an answer, given by the caller; nothing here calls out.
+
+Fixed values, as an agent reads them: the first line of a findings file, its count line and the names of its fields.
 """
 
 from __future__ import annotations

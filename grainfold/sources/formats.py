@@ -2,6 +2,9 @@
 
 Each reader takes the bytes and returns an ``Extracted``; it raises ``Failed`` with one of the reasons
 ``encrypted``, ``empty`` and ``extraction_failed``. Readers never raise anything else (see ``extract``).
+
+Fixed values, as they are output that others read: the headings of records, sheets, slides and charts, the wording of locations,
+and that of warnings.
 """
 
 from __future__ import annotations

@@ -1,4 +1,7 @@
-"""Images: dimensions from headers, PNG coding, and a deterministic check for decorative or broken pictures."""
+"""Images: dimensions from headers, PNG coding, and a deterministic check for decorative or broken pictures.
+
+Fixed values, as they are output that others read: verdicts and the wording of their reasons.
+"""
 
 from __future__ import annotations
 
