@@ -63,16 +63,19 @@ def inverse(n: int) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """Number of texts and idf (term, idf) of a corpus, written once."""
+    """Number of texts, idf (term, idf) and, if they are wanted, norms (key, norm) of a corpus, written once."""
 
     n: int
     idf: DataFrame
+    norms: DataFrame | None = None
 
 
-def index(corpus: DataFrame) -> Index:
+def index(corpus: DataFrame, with_norms: bool = False) -> Index:
+    """The index of a corpus; with norms a question needs no more than its own terms of each text."""
     n = corpus.count()
     idf = cut(document_frequencies(corpus).select("term", inverse(n).alias("idf")))
-    return Index(n, bounded(idf, VOCABULARY, 1 + F.floor(F.octet_length("term") / 32)))
+    known = Index(n, bounded(idf, VOCABULARY, 1 + F.floor(F.octet_length("term") / 32)))
+    return Index(n, known.idf, cut(norms(corpus, known))) if with_norms else known
 
 
 def weights(corpus: DataFrame, known: Index | None = None) -> DataFrame:
@@ -102,13 +105,19 @@ def scores(corpus: DataFrame, question: str, known: Index | None = None) -> Data
     weighed = {t: k * idf.get(t, unseen) for t, k in asked.items()}
     norm = math.sqrt(sum(w * w for w in weighed.values()))
     each = once(spread(corpus).select("key", "text"), "terms", tokens(F.col("text")))
-    found = each.where(F.arrays_overlap("terms", F.array(*map(F.lit, weighed)))).select("key", F.inline(counted(F.col("terms"))))
+    found = each.where(F.arrays_overlap("terms", F.array(*map(F.lit, weighed))))
+    if known.norms is not None:
+        each_time = F.create_map(*[F.lit(x) for t, w in weighed.items() for x in (t, w * idf.get(t, unseen))])
+        dot = F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + F.coalesce(F.try_element_at(each_time, t), F.lit(0.0)))
+        sums = found.select("key", dot.alias("dot")).groupBy("key").agg(F.sum("dot").alias("dot")).join(known.norms, "key")
+        return sums.where("dot > 0").select("key", (F.col("dot") / (F.col("norm") * F.lit(norm))).alias("score"))
+    found = found.select("key", F.inline(counted(F.col("terms"))))
     hit = F.create_map(*[F.lit(x) for item in weighed.items() for x in item])
     w = F.col("tf") * F.col("idf")
     sums = found.join(known.idf, "term").groupBy("key").agg(F.sum(w * w).alias("norm2"), F.sum(w * F.coalesce(F.try_element_at(hit, F.col("term")), F.lit(0.0))).alias("dot"))
     return sums.where("dot > 0").select("key", (F.col("dot") / (F.sqrt("norm2") * F.lit(norm))).alias("score"))
 
 
-def retrieve(corpus: DataFrame, question: str, limit: int = 10) -> DataFrame:
+def retrieve(corpus: DataFrame, question: str, limit: int = 10, known: Index | None = None) -> DataFrame:
     """The ``limit`` best (key, score)."""
-    return scores(corpus, question).orderBy(F.desc("score"), "key").limit(limit)
+    return scores(corpus, question, known).orderBy(F.desc("score"), "key").limit(limit)

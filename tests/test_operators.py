@@ -19,6 +19,16 @@ def test_retrieval_ties_limits_and_nothing(spark):
     assert abs(retrieval.retrieve(corpus, "other text", 1).first().score - 1) < 1e-9
 
 
+def test_retrieval_by_an_index_with_norms(spark):
+    texts = [(f"k{i:02d}", " ".join(["alpha"] * (i % 4) + ["beta"] * (i % 3) + [f"own{i}", "Gamma"])) for i in range(60)] + [("n", None), ("e", "")]
+    corpus = spark.createDataFrame(texts, "key string, text string")
+    known = retrieval.index(corpus, with_norms=True)
+    for question in ("alpha", "beta alpha alpha unseen", "own7 gamma", "unseen"):
+        a, b = ({r.key: round(r.score, 9) for r in retrieval.scores(corpus, question, k).collect()} for k in (None, known))
+        assert a == b and (a or question == "unseen")
+    assert [r.key for r in retrieval.retrieve(corpus, "own7", 5, known).collect()] == ["k07"]
+
+
 def test_snapshot_diff_reports_no_deletions(spark):
     s = lambda d: wiki.snapshot(spark.createDataFrame(list(d.items()), "concept_id string, body string"))
     assert rows(wiki.diff(s({"a": "1", "b": "2", "c": "3"}), s({"a": "1", "b": "x", "d": "4"}))) == [("b", "updated"), ("d", "created")]
