@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.functions import frontmatter
+from grainfold.functions import frontmatter, paths
 from grainfold.operators import intake, retrieval, rewrite, wiki
 from grainfold.plans import prepass, prompts
 from grainfold.plans.runtime import cut
@@ -58,6 +58,7 @@ class Session:
     pre_agent: DataFrame
     imported: DataFrame
     ignored: DataFrame
+    stuck: DataFrame
     waiting: DataFrame
     targets: DataFrame
     names: DataFrame
@@ -179,18 +180,21 @@ def begin(spark: SparkSession, root: str, stamp: str | None = None, analyse: pre
     documents = files.read_files(readable.where(suffix.isin(*extracted_suffixes)).select("relative_path", "absolute_path"))
     extracted = cut(files.extract_documents(documents, "relative_path", "relative_path", "data", limits, readers))
     good = extracted.where("reason is null")
-    ignored = classes.where("bucket = 'ignored'").select("relative_path", "reason").union(extracted.where("reason is not null").select("relative_path", "reason"))
+    taken = classes.where("bucket = 'ignored'").select("relative_path", "reason").union(extracted.where("reason is not null").select("relative_path", "reason"))
     bare = lambda df: df.select("relative_path", F.lit(None).cast("string").alias("source_format"), F.lit(None).cast("array<string>").alias("warnings"), F.lit(0).alias("n_parts"))
     waiting = cut(good.select("relative_path", "source_format", "warnings", F.size("parts").alias("n_parts")).union(bare(pages.where("type is null"))).union(bare(readable.where(~suffix.isin(*extracted_suffixes)))))
     imported = pages.where("type is not null")
     targets = cut(intake.archive_targets(imported.select("relative_path").union(waiting.select("relative_path")), below(spark, base, "archive"), "relative_path", "relative_path", stamp))
     files.write_texts(imported.select(F.regexp_replace("relative_path", r"(?i)\.markdown$", ".md").alias("relative_path"), "content"), base)
-    files.move_files(imported.join(targets, "relative_path").select(F.col("absolute_path").alias("source"), F.concat(F.lit(base + "/"), "target").alias("target")))
+    # A page whose original can't be archived is written, but not imported: it comes again with the next update.
+    moved = files.move_files(imported.join(targets, "relative_path").select(F.col("absolute_path").alias("source"), F.concat(F.lit(base + "/"), "target").alias("target")))
+    stuck = moved.where("error is not null").select(F.substring("source", F.lit(len(source) + 2), F.char_length("source")).alias("relative_path"), "error")
+    imported = imported.join(stuck, "relative_path", "left_anti")
     names = cut(intake.staged_names(good.withColumn("n", F.size("parts")), "relative_path", "relative_path", "n"))
     part = good.select("relative_path", F.posexplode("parts").alias("k", "content")).withColumn("part_no", F.col("k") + 1)
     files.write_texts(part.join(names, ["relative_path", "part_no"]).select(F.col("name").alias("relative_path"), "content"), staging)
     images, note = stage_images(good, names, staging, analyse)
-    return Session(root, stamp, before, snapshot(spark, root), imported.select("relative_path"), cut(ignored), waiting, targets, names, images, note, waiting.count())
+    return Session(root, stamp, before, snapshot(spark, root), cut(imported.select("relative_path")), cut(taken.union(stuck.select("relative_path", F.lit("io_failed")))), cut(stuck), waiting, targets, names, images, note, waiting.count())
 
 
 def below(spark: SparkSession, base: str, directory: str) -> DataFrame:
@@ -234,7 +238,7 @@ def finish(spark: SparkSession, session: Session, date: str | None = None, messa
     findings = session.images.select(F.col("doc").alias("relative_path"), F.col("findings").alias("name")).distinct()
     done = session.names.select("relative_path", "name").union(findings).join(leftover, "relative_path", "left_anti").select("name")
     kept = cut(intake.archive_targets(done, below(spark, base, "archive"), "name", "name", session.stamp))
-    files.copy_files(kept.select(F.concat(F.lit(staging + "/"), "name").alias("source"), F.concat(F.lit(base + "/"), "target").alias("target")))
+    copied = files.copy_files(kept.select(F.concat(F.lit(staging + "/"), "name").alias("source"), F.concat(F.lit(base + "/"), "target").alias("target")))
     files.remove_directory(staging)
     files.remove_empty_dirs(source)
     lines = spark.createDataFrame([(i, x) for i, x in enumerate(message.splitlines())], "pos bigint, line string")
@@ -244,6 +248,7 @@ def finish(spark: SparkSession, session: Session, date: str | None = None, messa
         summary = summary.union(spark.createDataFrame([(session.note,)], "summary string"))
     told = session.waiting.select("relative_path", F.explode("warnings").alias("w")).select(F.concat("relative_path", F.lit(": "), "w").alias("warning"))
     told = told.union(intake.limitation_lines(spark.createDataFrame([(message,)], "text string"), "text").select(F.concat(F.lit(REPORTED), "line")))
+    told = told.union(session.stuck.select(F.concat(F.lit("Could not archive "), "relative_path", F.lit(": "), "error"))).union(copied.where("error is not null").select(F.concat(F.lit("Could not archive extracted text "), "source", F.lit(": "), "error")))
     warned = intake.aggregated_warnings(told.withColumn("pos", F.lit(0)))
     report = reported(
         spark,
@@ -284,7 +289,12 @@ def query_prompt(spark: SparkSession, root: str, question: str, limit: int = 10)
 def plan_removal(spark: SparkSession, root: str, target: str) -> DataFrame:
     """(kind, subject, object) of what a removal would do; nothing is changed."""
     pages = concept_files(spark, root)
-    return wiki.removal_plan(pages.select("concept_id"), rewrite.references(pages), target)
+    plan = wiki.removal_plan(pages.select("concept_id"), rewrite.references(pages), target)
+    # A directory stays if it holds anything else than removed pages and indexes.
+    doomed = plan.where("kind = 'concept'").select(F.concat("subject", F.lit(".md")).alias("relative_path"))
+    others = files.list_files(spark, os.path.join(root, "wiki")).where(F.substring_index("relative_path", "/", -1) != "index.md").join(doomed, "relative_path", "left_anti")
+    held = others.select(F.lit("directory").alias("kind"), F.explode(wiki.ancestors(paths.directory(F.col("relative_path")))).alias("subject")).distinct()
+    return plan.join(held, ["kind", "subject"], "left_anti")
 
 
 def remove(spark: SparkSession, root: str, target: str, date: str | None = None, stamp: str | None = None) -> Report:
@@ -295,13 +305,17 @@ def remove(spark: SparkSession, root: str, target: str, date: str | None = None,
         return Report(None, {}, error=f"nothing to remove at {target}")
     page = F.concat("concept_id", F.lit(".md"))
     trash = cut(intake.archive_targets(doomed.withColumn("page", page), below(spark, base, "trash"), "concept_id", "page", stamp or archive_stamp(), "trash"))
-    files.move_files(trash.select(F.concat(F.lit(base + "/"), page).alias("source"), F.concat(F.lit(base + "/"), "target").alias("target")))
-    mapping = trash.select(F.col("concept_id").alias("old"), F.concat(F.lit("/"), "target").alias("new"))
+    moved = files.move_files(trash.select(F.concat(F.lit(base + "/"), page).alias("source"), F.concat(F.lit(base + "/"), "target").alias("target")))
+    # What couldn't be moved stays, and so do the links to it.
+    stuck = moved.where("error is not null")
+    gone_ = trash.withColumn("absolute", F.concat(F.lit(base + "/"), "target")).join(stuck.select(F.col("target").alias("absolute")), "absolute", "left_anti")
+    mapping = cut(gone_.select(F.col("concept_id").alias("old"), F.concat(F.lit("/"), "target").alias("new")))
+    warned = stuck.select(F.concat(F.lit("Could not move "), "source", F.lit(": "), "error").alias("warning"))
     changed = cut(rewrite.rewrite_removed_links(concept_files(spark, root).where(~wiki.is_raw(F.col("concept_id"))), mapping))
     write_pages(changed, base)
     reindex(spark, root)
     gone = spark.createDataFrame([(d,) for d in files.remove_empty_dirs(base)], "dir string")
-    report = reported(spark, ("removed", mapping, "old", "new"), ("updated", changed, "concept_id", None), ("directory", gone, "dir", None))
+    report = reported(spark, ("removed", mapping, "old", "new"), ("updated", changed, "concept_id", None), ("directory", gone, "dir", None), ("warning", warned, "warning", None))
     append_log(root, date, report)
     return report
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfold.operators.intake import JUNK
+from grainfold.plans.runtime import cut
 from grainfold.sources import formats
 
 Skip = Callable[[str, bool], bool]
@@ -105,24 +106,35 @@ def write_texts(df: DataFrame, root: str) -> None:
     df.select("relative_path", "content").foreachPartition(run)
 
 
-def each_pair(df: DataFrame, act: Callable[[str, str], object]) -> None:
-    """Apply ``act`` to every (source, target) on the executors; the directories of targets are made. A pair whose source is gone is done already."""
+def attempted(df: DataFrame, act: Callable[[str, str], object]) -> DataFrame:
+    """(source, target, error) after ``act`` was applied to every (source, target) on the executors; error is NULL where it went well.
 
-    def run(rows: Iterator) -> None:
-        for r in rows:
-            if os.path.lexists(r["source"]):
-                Path(r["target"]).parent.mkdir(parents=True, exist_ok=True)
-                act(r["source"], r["target"])
+    The directories of targets are made. A pair that an earlier attempt of a task has done is done.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            errors = []
+            for source, target in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    if os.path.lexists(source) or not os.path.lexists(target):
+                        Path(target).parent.mkdir(parents=True, exist_ok=True)
+                        act(source, target)
+                    errors.append(None)
+                except (OSError, shutil.Error) as e:
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(errors, pa.string())], names=["source", "target", "error"])
 
-    df.select("source", "target").foreachPartition(run)
+    # Written at once, as the files change with it.
+    return cut(df.select("source", "target").mapInArrow(run, "source string, target string, error string"))
 
 
-def move_files(df: DataFrame) -> None:
-    each_pair(df, shutil.move)
+def move_files(df: DataFrame) -> DataFrame:
+    return attempted(df, shutil.move)
 
 
-def copy_files(df: DataFrame) -> None:
-    each_pair(df, shutil.copyfile)
+def copy_files(df: DataFrame) -> DataFrame:
+    return attempted(df, shutil.copyfile)
 
 
 def remove_files(df: DataFrame, path: str = "absolute_path") -> None:

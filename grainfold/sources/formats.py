@@ -683,12 +683,12 @@ def read_rtf(data: bytes, limits: Limits) -> Extracted:
 # PDF
 
 
-def pdf_picture(doc: pdf.Document, s: pdf.Stream, name: str, place: str | None, limits: Limits) -> Image | None:
-    """A picture of a page; None, with a warning, where its coding or layout isn't read."""
+def pdf_picture(doc: pdf.Document, s: pdf.Stream, name: str, place: str | None, context: str | None, limits: Limits) -> Image | None:
+    """A picture of a page, with the text of the page as its context; None, with a warning, where its coding or layout isn't read."""
     coded = [doc.get(f) for f in doc.list_of(s.head.get("Filter"))]
     try:
         if coded and coded[-1] == "DCTDecode":
-            return Image(f"{name}.jpg", "image/jpeg", doc.body(s, ("DCTDecode",)), place)
+            return Image(f"{name}.jpg", "image/jpeg", doc.body(s, ("DCTDecode",)), place, context)
         w, h, bits = (doc.get(s.head.get(k)) for k in ("Width", "Height", "BitsPerComponent"))
         if not isinstance(w, int) or not isinstance(h, int) or w * h > limits.pdf_pixels:
             doc.warnings.append("PDF: skipped an image with too many pixels.")
@@ -704,7 +704,7 @@ def pdf_picture(doc: pdf.Document, s: pdf.Stream, name: str, place: str | None,
             body, kind = b"".join(palette[width * c : width * (c + 1)] for c in body[: w * h]), "DeviceRGB" if width == 3 else "DeviceGray"
         channels = {"DeviceRGB": 3, "CalRGB": 3, "DeviceGray": 1, "CalGray": 1}.get(kind, 0)
         if channels and bits in (None, 8) and len(body) == w * h * channels and w * h:
-            return Image(f"{name}.png", "image/png", encode_png(w, h, channels, body), place)
+            return Image(f"{name}.png", "image/png", encode_png(w, h, channels, body), place, context)
         doc.warnings.append("PDF: skipped an image whose pixels don't fit its layout.")
     except (pdf.Broken, zlib.error, ValueError, TypeError, IndexError) as e:
         doc.warnings.append(f"PDF: skipped an image that could not be read ({e}).")
@@ -726,7 +726,7 @@ def read_pdf(data: bytes, limits: Limits) -> Extracted:
         for s in page.pictures:
             if id(s) not in seen:
                 seen.add(id(s))
-                found = pdf_picture(doc, s, f"pdf-{len(seen)}", f"Page {n}", limits)
+                found = pdf_picture(doc, s, f"pdf-{len(seen)}", f"Page {n}", cut_off(page.text(), limits.context) or None, limits)
                 images += [found] if found else []
     return finished("\n\n".join(t for p in pages if (t := p.text())), "pdf", doc.warnings, images, limits)
 

@@ -242,6 +242,25 @@ def test_commands_collect_no_contents(spark, tmp_path, monkeypatch):
     assert not any({"content", "body", "hash", "markdown", "data"} & set(c) for c in seen) and "secret" in open(os.path.join(root, "wiki/d1/p1.md"), encoding="utf-8").read()
 
 
+def test_faults_of_moves_are_reported(spark, tmp_path, monkeypatch):
+    """What can't be moved stays and is told; directories with other files stay too."""
+    root = str(tmp_path)
+    put = lambda name, text: files.write_text(os.path.join(root, name), text)
+    put("wiki/a/one.md", "---\ntype: T\n---\n\n[two](/b/two.md) [three](/b/c/three.md)\n")
+    put("wiki/b/two.md", "---\ntype: T\n---\n\nx\n")
+    put("wiki/b/c/three.md", "---\ntype: T\n---\n\nx\n")
+    put("wiki/b/picture.png", "x")
+    assert ("directory", "b", "") not in rows(commands.plan_removal(spark, root, "b")) and ("directory", "b/c", "") in rows(commands.plan_removal(spark, root, "b"))
+    put("wiki/trash/b/c", "a file where a directory should be")
+    r = commands.remove(spark, root, "b", "2026-01-01", "S")
+    assert r.names("removed") == ["b/two"] and "Could not move" in r.names("warning")[0] and os.path.exists(os.path.join(root, "wiki/b/c/three.md"))
+    assert "(/trash/b/two.md.orig) [three](/b/c/three.md)" in open(os.path.join(root, "wiki/a/one.md"), encoding="utf-8").read()
+    put("wiki/archive/in", "a file")
+    put("input/in/new.md", "---\ntype: T\n---\n\nnew\n")
+    u = commands.update(spark, root, "2026-01-02", "S")
+    assert u.names("imported") == [] and u.names("ignored") == ["in/new.md"] and u.names("warning")[0].startswith("Could not archive in/new.md: ") and os.path.exists(os.path.join(root, "input/in/new.md"))
+
+
 def test_stamps():
     from datetime import UTC, datetime
 
