@@ -351,3 +351,11 @@ def similar_sets(df: DataFrame, key: str, values: str, threshold: float, least:
     twins = members.join(same, "k", "left_semi")
     within = twins.select("k", F.col("key").alias("key_a")).join(twins.select("k", F.col("key").alias("key_b")), "k").select("key_a", "key_b")
     return between.union(within).where("key_a <> key_b").select(F.least("key_a", "key_b").alias(f"{key}_a"), F.greatest("key_a", "key_b").alias(f"{key}_b")).distinct()
+
+
+def similar_between(left: DataFrame, right: DataFrame, key: str, values: str, threshold: float, least: int = 1) -> DataFrame:
+    """(left, right): keys of records of two tables, one of each, whose evened-out sets of values reach the threshold; equal keys are different records."""
+    sided = lambda df, side: df.where(F.col(key).isNotNull()).select(F.struct(F.lit(side).alias("side"), F.col(key).alias("key")).alias("key"), F.col(values).alias("values"))
+    pairs = similar_sets(sided(left, 0).union(sided(right, 1)), "key", "values", threshold, least)
+    # The left side is the lesser one.
+    return pairs.where("key_a.side = 0 and key_b.side = 1").select(F.col("key_a.key").alias("left"), F.col("key_b.key").alias("right"))

@@ -108,6 +108,18 @@ def test_prefixes_lose_no_pair():
         assert want <= got
 
 
+def test_similar_between_two_tables(spark):
+    rng = random.Random(17)
+    base = [rng.sample([f"t{i}" for i in range(60)], 8) for _ in range(20)]
+    some = lambda n: [(f"r{i}", [*base[i % 20][: 8 - i % 2], *([f"t{rng.randrange(60)}"] if i % 3 == 0 else [])]) for i in range(n)] + [(None, base[0]), ("n", None)]
+    a, b = some(60), some(45)
+    frame = lambda rows: spark.createDataFrame(rows, "id string, tags array<string>")
+    got = {tuple(r) for r in setjoin.similar_between(frame(a), frame(b), "id", "tags", 0.7, 1).collect()}
+    want = {(x, y) for x, s in a for y, u in b if x and y and s and u and len(set(s) & set(u)) >= 0.7 * len(set(s) | set(u)) - 1e-12}
+    assert got <= want and len(got) >= 0.98 * len(want) > 100 and ("r0", "r0") in got
+    assert setjoin.similar_between(frame(a), frame([]), "id", "tags", 0.7).collect() == []
+
+
 def test_similar_sets_of_nothing(spark):
     assert setjoin.similar_sets(spark.createDataFrame([], "id string, tags array<string>"), "id", "tags", 0.7).collect() == []
 
@@ -442,7 +454,9 @@ def test_shared_share_of_repeats_within_a_text(spark):
 
 def test_shared_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, t string")
-    assert spans.shared_pairs(df, "id", "t").collect() == [] and spans.shared_share(df, "id", "t").collect() == []
+    assert spans.shared_pairs(df, "id", "t").collect() == [] and spans.shared_share(df, "id", "t").collect() == [] and spans.removals(df, "id", "t").collect() == []
+    nulls = spark.createDataFrame([(1, None), (None, None), (2, "")], "id bigint, t string")
+    assert spans.shared_pairs(nulls, "id", "t").collect() == [] and {tuple(r) for r in spans.removals(nulls, "id", "t").collect()} == {(1, 1, 0, 0, 0), (2, 2, 0, 0, 0)}
 
 
 def test_shared_run_behind_a_difference(spark):
