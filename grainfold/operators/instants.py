@@ -156,6 +156,7 @@ def instants(df: DataFrame, sources: DataFrame) -> DataFrame:
 
     sources has (source, zone, date_order); the mixture is of each source, null too.
     """
+    df = df.select("ref_table", "ref_id", "source", "value")
     known = sorted(available_timezones())
     zone, order = F.when(F.col("zone").isin(known), F.col("zone")), F.lower("date_order")
     clean = sources.select("source", zone.alias("zone"), F.when(order.isin("dmy", "mdy"), order).alias("order")).dropDuplicates(["source"])

@@ -148,5 +148,11 @@ def test_mixture_marks_unknown_zones_and_units(spark):
     assert found[104].utc_us == 99999999999 * 1000 and found[104].format == "epoch_ms"
 
 
+def test_instants_with_further_columns_and_repeated_sources(spark):
+    v = spark.createDataFrame([("t", 1, "a", "2024-01-01 10:00", "x", "y", "z")] * 2, "ref_table string, ref_id bigint, source string, value string, zone string, found string, posterior string")
+    s = spark.createDataFrame([("a", "Europe/Berlin", "DMY", "x")] * 2, "source string, zone string, date_order string, value string")
+    assert [(r.utc_us, r.status) for r in instants.instants(v, s).collect()] == [(us(2024, 1, 1, 9), "resolved")] * 2
+
+
 def test_instants_of_nothing(spark):
     assert resolved(spark, [], [("a", "UTC", None)]) == {} and resolved(spark, [("a", "2024-01-01T00:00Z")], [])[0].utc_us == us(2024, 1, 1)
