@@ -24,13 +24,14 @@ to the concept NULL and gives no evidence. A feed's first file has no changes.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainfold.plans.runtime import cut, spread
+from grainfold.plans.runtime import cut, ensure_checkpoint_dir, spread
 
 TYPE_BITS = {"string": 1, "number": 2, "boolean": 4, "object": 8, "array": 16}
 
@@ -527,3 +528,22 @@ def unified(df: DataFrame, edits: DataFrame) -> DataFrame:
     given = flat.select("feed", "top").distinct().join(form, "top").groupBy("feed").agg(F.collect_list("form").alias("given"))
     joined = lines.join(given, lines["feed"].eqNullSafe(given["feed"]), "left").select("raw_id", lines["feed"], "file", "line", "given")
     return joined.mapInArrow(unify, f"raw_id {kind}, feed_id string, file_no int, concept string, record string")
+
+
+def typed(table: DataFrame) -> DataFrame:
+    """(raw_id, feed_id, file_no, record) of the unified table with the record as a struct of typed columns.
+
+    Every place has one type in all records, so the types are those found in one pass over them; as many columns as
+    there are places. Names that differ in case only need ``spark.sql.caseSensitive``.
+    """
+    spark = table.sparkSession
+    ensure_checkpoint_dir(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/records-{uuid.uuid4().hex}"
+    head = F.to_json(F.struct(F.col("raw_id").cast("string").alias("raw_id"), "feed_id", "file_no"))
+    line = F.concat(F.substring(head, F.lit(1), F.char_length(head) - 1), F.lit(',"record":'), "record", F.lit("}"))
+    table.select(line.alias("value")).write.text(place)
+    found = spark.read.json(place)
+    if "record" not in found.columns:
+        return spark.createDataFrame([], "raw_id string, feed_id string, file_no int, record struct<>").select(F.col("raw_id").cast(table.schema["raw_id"].dataType), "feed_id", "file_no", "record")
+    given = [F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in ("feed_id", "file_no")]
+    return found.select(F.col("raw_id").cast(table.schema["raw_id"].dataType), given[0], given[1].cast("int").alias("file_no"), "record")

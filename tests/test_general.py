@@ -66,6 +66,15 @@ def test_table_has_one_form_at_every_depth(spark):
     assert table[5] == {"concept": "y", "sources": [], "by": {"more": {"value": 2}}}
 
 
+def test_table_with_typed_columns(spark):
+    rows = [("f", 1, {"concept": "a", "n": 1, "s": "x", "at": {"by": "me"}}), ("f", 2, {"concept": "a", "n": 2.5, "s": ["y", "z"], "at": "now"}), ("g", 1, {"concept": "b", "flag": True})]
+    df = spark.createDataFrame([(i, f, n, json.dumps(x)) for i, (f, n, x) in enumerate(rows)], "raw_id bigint, feed_id string, file_no int, raw_json string")
+    got = drift.typed(drift.unified(df, drift.changes(df)))
+    assert got.schema["record"].dataType.simpleString() == "struct<at:struct<by:string,value:string>,concept:string,flag:boolean,n:double,s:array<string>>"
+    assert {r.raw_id: (r.feed_id, r.file_no, r.record.n, r.record.s, r.record.flag) for r in got.collect()} == {0: ("f", 1, 1.0, ["x"], None), 1: ("f", 2, 2.5, ["y", "z"], None), 2: ("g", 1, None, None, True)}
+    assert drift.typed(drift.unified(df.where("false"), drift.changes(df.where("false")))).collect() == []
+
+
 def test_table_keeps_what_a_rename_meets(spark):
     rows = [("f", 1, {"concept": c, "a": {"x": c}, "q": 7}) for c in "ab"] + [("f", 2, {"concept": c, "b": {"x": c}, "p": 7}) for c in "ab"]
     rows += [("f", 3, {"concept": c, "b": {"y": c}, "p": 7}) for c in "ab"] + [("f", 4, {"concept": c, "b": {"y": c}, "q": 7}) for c in "ab"]

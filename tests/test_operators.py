@@ -227,17 +227,17 @@ def test_update_with_images(spark, tmp_path):
 
 
 def test_commands_collect_no_contents(spark, tmp_path, monkeypatch):
-    """Of 300 pages no content reaches the driver."""
+    """Of 2,000 pages no content reaches the driver."""
     from pyspark.sql import DataFrame
 
     root, seen = str(tmp_path), []
-    for i in range(300):
+    for i in range(2000):
         files.write_text(os.path.join(root, f"wiki/d{i % 7}/p{i}.md"), f"---\ntype: T\ntimestamp: 2024-01-01\n---\n\nsecret {i} [x](/d0/p0.md)\n")
     for name in ("collect", "toLocalIterator", "first"):
         plain = getattr(DataFrame, name)
         monkeypatch.setattr(DataFrame, name, lambda self, *a, plain=plain, **k: [seen.append(self.columns), plain(self, *a, **k)][1])
-    assert commands.migrate(spark, root, "2026-01-01").counts == {"updated": 300}
-    assert commands.remove(spark, root, "d0/p0.md", "2026-01-02", "S").counts["updated"] == 299
+    assert commands.migrate(spark, root, "2026-01-01").counts == {"updated": 2000}
+    assert commands.remove(spark, root, "d0/p0.md", "2026-01-02", "S").counts["updated"] == 1999
     assert commands.update(spark, root, "2026-01-03", "S").counts == {}
     assert not any({"content", "body", "hash", "markdown", "data"} & set(c) for c in seen) and "secret" in open(os.path.join(root, "wiki/d1/p1.md"), encoding="utf-8").read()
 
