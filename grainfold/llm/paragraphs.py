@@ -124,13 +124,17 @@ def long_paragraphs(docs: DataFrame, least: int) -> DataFrame:
     return written(texts.mapInArrow(scan(least), "p bigint, k bigint, begin int, length int, bands array<bigint>"))
 
 
-def collisions(paragraphs: DataFrame) -> DataFrame:
-    """(pa, pb), pa < pb: paragraphs that share a key. Only keys of several paragraphs are shuffled again."""
+def colliding(paragraphs: DataFrame) -> DataFrame:
+    """(key, p) of the keys that several paragraphs share; only these are shuffled again."""
     keys = paragraphs.select("p", F.explode("bands").alias("key"))
     several = cut(keys.groupBy("key").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("key"))
-    shared = cut(keys.join(bounded(several, SMALL), "key", "left_semi").distinct())
-    a, b = (shared.select("key", F.col("p").alias(f"p{x}")) for x in "ab")
-    return a.join(b, "key").where("pa < pb").select("pa", "pb").distinct()
+    return cut(keys.join(bounded(several, SMALL), "key", "left_semi").distinct())
+
+
+def pairs_of(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(pa, pb), pa < pb: paragraphs of one (key, p) and other (key, p) with a key in common."""
+    joined = one.select("key", F.col("p").alias("a")).join(other.select("key", F.col("p").alias("b")), "key").where("a <> b")
+    return joined.select(F.least("a", "b").alias("pa"), F.greatest("a", "b").alias("pb")).distinct()
 
 
 def texts_of(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -178,7 +182,24 @@ def verified(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     return pairs.join(sides[0], "pa").join(sides[1], "pb").select("pa", "pb", "text_a", "text_b").mapInArrow(run, "pa bigint, pb bigint, alike boolean, run boolean")
 
 
-def linked(docs: DataFrame, firsts: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def judged_pairs(shared: DataFrame, texts: DataFrame, least: int, spanning: bool) -> DataFrame:
+    """Verified pairs of paragraphs that share a key: all of them, or with ``spanning`` enough to connect what is connected.
+
+    Then all paragraphs of a key are compared with its first one. Those that are alike are connected through it, so pairs
+    among them are left out; those that aren't are compared with all others of the key. A key that very many paragraphs
+    of one kind share costs a pair for each of them.
+    """
+    if not spanning:
+        return cut(verified(pairs_of(shared.select("key", "p"), shared), texts, least))
+    centre = shared.groupBy("key").agg(F.min("p").alias("c"))
+    spokes = cut(shared.join(centre, "key").where("p <> c"))
+    star = cut(verified(spokes.select(F.col("c").alias("pa"), F.col("p").alias("pb")).distinct(), texts, least))
+    off = spokes.join(star.where("not alike").select(F.col("pa").alias("c"), F.col("pb").alias("p")), ["c", "p"], "left_semi").select("key", "p")
+    rest = pairs_of(off, shared).join(star, ["pa", "pb"], "left_anti")
+    return cut(star.union(verified(rest, texts, least)))
+
+
+def linked(docs: DataFrame, firsts: DataFrame, least: int, spanning: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What banding finds among docs (doc, text, k), of which firsts (k, first) tells one document a class.
 
     (p, k, begin, length) of the long paragraphs, (pa, pb, alike, run) of the verified pairs, and (k, text) of the
@@ -186,12 +207,12 @@ def linked(docs: DataFrame, firsts: DataFrame, least: int) -> tuple[DataFrame, D
     """
     found = long_paragraphs(docs, least)
     places = found.select("p", "k", "begin", "length")
-    pairs = cut(collisions(found))
+    shared = colliding(found)
     several = cut(found.groupBy("p").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("p"))
-    wanted = pairs.select(F.col("pa").alias("p")).union(pairs.select("pb")).union(several).distinct()
-    once = places.join(bounded(cut(wanted), SMALL), "p", "left_semi").groupBy("p", "k").agg(F.min("begin").alias("begin"), F.min("length").alias("length"))
+    wanted = cut(shared.select("p").union(several).distinct())
+    once = places.join(bounded(wanted, SMALL), "p", "left_semi").groupBy("p", "k").agg(F.min("begin").alias("begin"), F.min("length").alias("length"))
     texts = cut(texts_of(docs, once.join(firsts.select("k", F.col("first").alias("doc")), "k")).distinct())
-    return places, cut(verified(pairs, texts, least)), texts.join(several, "p", "left_semi").select("k", "text")
+    return places, judged_pairs(shared, texts, least, spanning), texts.join(several, "p", "left_semi").select("k", "text")
 
 
 def run_pairs(docs: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
@@ -231,7 +252,7 @@ def removals(docs: DataFrame, members: DataFrame, least: int) -> DataFrame:
     """
     docs, members = docs.where(F.col("doc").isNotNull()), cut(members.where(F.col("doc").isNotNull()).distinct())
     firsts = members.groupBy("k").agg(F.min("doc").alias("first"))
-    places, pairs, _ = linked(docs, firsts, least)
+    places, pairs, _ = linked(docs, firsts, least, spanning=True)
     label = components(pairs.where("alike").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
     clustered = places.distinct().join(label.withColumnRenamed("node", "p"), "p", "left").select("k", "begin", "length", F.coalesce("label", "p").alias("c"))
     every = cut(clustered.join(members, "k").select("doc", "begin", "length", "c"))

@@ -490,6 +490,10 @@ def test_banding_finds_alike_paragraphs(spark):
         of.setdefault(r.p, []).append(r.k)
     got = {tuple(sorted((a, b))): r.run for r in pairs.where("alike").collect() for a in of[r.pa] for b in of[r.pb]}
     assert set(got) <= want and len(got) >= 0.99 * len(want) and len(want) > 200
+    # Fewer pairs that connect the same.
+    few = paragraphs.linked(docs, docs.select("k", F.col("doc").alias("first")), 200, spanning=True)[1].where("alike")
+    whole, spanned = ({tuple(r) for r in paragraphs.components(x.where("alike").select(F.col("pa").alias("a"), F.col("pb").alias("b"))).collect()} for x in (pairs, few))
+    assert whole == spanned and few.count() < len(got)
     assert all(run == any(texts[a][i : i + 200] in texts[b] for i in range(len(texts[a]) - 199)) for (a, b), run in got.items())
 
 
