@@ -143,6 +143,19 @@ def test_weights_of_one_term_and_of_nothing(spark):
     assert terms.weights(df.where("false"), "key", "text").collect() == []
 
 
+def test_distinctive_terms_rest_on_two_counts(spark):
+    rows = [("a", "red red red blue blue of of"), ("b", "blue blue red"), ("c", None), (None, "green green"), ("d", "Sun sun SUN"), ("d", "sun")]
+    df = spark.createDataFrame(rows, "id string, body string")
+    assert sorted(map(tuple, terms.distinctive(df, "id", "body", 2, 2).collect())) == [("a", "blue"), ("a", "red"), ("b", "blue")]
+    assert sorted(map(tuple, terms.distinctive(df, "id", "body", 1, 1).collect())) == [("d", "sun")]
+    assert terms.distinctive(df.where("false"), "id", "body", 1, 1).collect() == []
+
+
+def test_no_weight_is_computed_and_then_ignored(spark, data):
+    logs = {name: len(re.findall(r"\bln\(|\bLOG\(", str(QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan()), re.I)) for name in ("p4_found", "p4_weights")}
+    assert logs["p4_found"] == 0 < logs["p4_weights"]
+
+
 def test_scores_out_of_range_have_no_rank(spark):
     hits = spark.createDataFrame([(1, 1, "a", 0.5), (2, 1, "b", float("nan")), (3, 1, "a", 7.0), (4, 1, "z", None)], "hit int, q int, key string, score double")
     w = spark.createDataFrame([("a", "t", 2.0), ("b", "t", 1.0)], "key string, term string, z double")
