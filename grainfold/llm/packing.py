@@ -1,7 +1,7 @@
 """Filling containers of equal capacity: a grouping genetic algorithm on islands.
 
 Items are hashed to shards of about ``SHARD`` items. Each shard has ``ISLANDS`` islands that evolve
-their own populations; between epochs the elite of an island migrates to the next one, and at the
+their own populations while that gives better packings; between epochs the elite of an island migrates to the next one, and at the
 end the best elite of a shard is taken. A crossover injects the well-filled containers of one parent
 whole, adds the containers of the other parent that share no item with them, dissolves those that
 would duplicate an item, and best-fits the displaced items in order of size. The emptiest containers
@@ -26,16 +26,21 @@ from pyspark.sql import functions as F
 from grainfold.plans.runtime import cut, ranges
 
 SHARD, ISLANDS, EPOCHS = 2048, 2, 2
-POPULATION, GENERATIONS = 4, 5
+POPULATION, IDLE = 4, 100
 WELL_FILLED, RELEASE_BELOW, RELEASE_MOST, POOL = 0.985, 0.97, 24, 64
 
 Bins = list[list[int]]
 
 
-def best_fit(order: list[int], size: list[int], capacity: int, bins: Bins | None = None) -> Bins:
-    """Put each item, in order, into the container that it fills best."""
+def filling(bins: Bins, size: list[int]) -> list[int]:
+    of = size.__getitem__
+    return [sum(map(of, x)) for x in bins]
+
+
+def best_fit(order: list[int], size: list[int], capacity: int, bins: Bins | None = None, fill: list[int] | None = None) -> Bins:
+    """Put each item, in order, into the container that it fills best; fill is that of the bins, if known."""
     bins = [list(b) for b in bins or []]
-    free = sorted((capacity - sum(size[i] for i in b), k) for k, b in enumerate(bins))
+    free = sorted((capacity - n, k) for k, n in enumerate(fill or filling(bins, size)) if n < capacity)
     for i in order:
         at = bisect_left(free, (size[i], -1))
         if at < len(free):
@@ -49,43 +54,51 @@ def best_fit(order: list[int], size: list[int], capacity: int, bins: Bins | None
     return bins
 
 
-def fitness(bins: Bins, size: list[int], capacity: int) -> tuple[int, float]:
+def fitness(fill: list[int]) -> tuple[int, int]:
     """Fewest containers first, then those that are filled unevenly; larger is better."""
-    return -len(bins), sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins)
+    return -len(fill), sum(n * n for n in fill)
 
 
-def crossover(a: Bins, b: Bins, size: list[int], capacity: int, rng: np.random.Generator) -> Bins:
-    filled = [x for x in a if sum(size[i] for i in x) >= WELL_FILLED * capacity]
+def crossover(a: Bins, b: Bins, size: list[int], capacity: int, rng: np.random.Generator, fills: tuple[list[int], list[int]] | None = None) -> Bins:
+    of_a, of_b = fills or (filling(a, size), filling(b, size))
+    least = WELL_FILLED * capacity
+    filled = [(x, n) for x, n in zip(a, of_a) if n >= least]
     chosen = [x for x, keep in zip(filled, rng.random(len(filled)) < 0.9) if keep]
-    used = {i for x in chosen for i in x}
-    for x in b:
-        if used.isdisjoint(x) and sum(size[i] for i in x) >= WELL_FILLED * capacity:
-            chosen.append(x)
+    used = {i for x, _ in chosen for i in x}
+    for x, n in zip(b, of_b):
+        if n >= least and used.isdisjoint(x):
+            chosen.append((x, n))
             used.update(x)
     displaced = [i for i in range(len(size)) if i not in used]
     noise = rng.uniform(0.8, 1.2, len(displaced))
-    return best_fit([displaced[k] for k in np.argsort([-size[i] * e for i, e in zip(displaced, noise)])], size, capacity, chosen)
+    order = [displaced[k] for k in np.argsort([-size[i] * e for i, e in zip(displaced, noise)])]
+    return best_fit(order, size, capacity, [x for x, _ in chosen], [n for _, n in chosen])
 
 
 def evolve(size: list[int], capacity: int, seed: int, parents: list[Bins]) -> Bins:
-    """The elite after some generations; parents are elites of this island and of its neighbour."""
+    """The elite when it can't be better or IDLE crossovers in a row gave none; parents are elites of this island and of its neighbour."""
     rng = np.random.default_rng(seed)
     population = list(parents)
     if not population:
         population.append(best_fit(sorted(range(len(size)), key=lambda i: -size[i]), size, capacity))
-    score = lambda x: fitness(x, size, capacity)
     while len(population) < POPULATION:
         noise = rng.uniform(0.7, 1.3, len(size))
         population.append(best_fit([int(i) for i in np.argsort(-np.array(size) * noise)], size, capacity))
-    population.sort(key=score, reverse=True)
-    for _ in range(GENERATIONS):
-        if len(population[0]) <= 1:
-            break
-        a, b = rng.choice(len(population), 2, replace=False)
-        population.append(crossover(population[a], population[b], size, capacity, rng))
-        population.sort(key=score, reverse=True)
-        population.pop()
-    return population[0]
+    ranked = sorted(((fitness(fill), x, fill) for x in population for fill in [filling(x, size)]), key=lambda x: x[0], reverse=True)
+    # All containers full but one.
+    full, rest = divmod(sum(size), capacity)
+    ideal = -full - (rest > 0), full * capacity**2 + rest**2
+    idle = 0
+    while idle < IDLE and ranked[0][0] < ideal:
+        (_, a, of_a), (_, b, of_b) = (ranked[k] for k in rng.choice(len(ranked), 2, replace=False))
+        child = crossover(a, b, size, capacity, rng, (of_a, of_b))
+        fill = filling(child, size)
+        score, elite = fitness(fill), ranked[0][0]
+        # Of packings alike one is kept: a crossover of equals has nothing to combine.
+        if all(score != x[0] for x in ranked):
+            ranked = sorted([*ranked, (score, child, fill)], key=lambda x: x[0], reverse=True)[:-1]
+        idle = 0 if score > elite else idle + 1
+    return ranked[0][1]
 
 
 def island(capacity: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:

@@ -412,6 +412,16 @@ def test_crossover_keeps_every_item():
     assert sorted(i for x in child for i in x) == list(range(200)) and all(sum(size[i] for i in x) <= 100 for x in child)
 
 
+def test_evolution_goes_on_while_it_gets_better():
+    rng = np.random.default_rng(0)
+    # Three items each that fill a container: 300 containers are possible.
+    size = [int(x) for a, b in zip(rng.integers(380, 490, 300), rng.integers(250, 310, 300)) for x in (a, b, 1000 - a - b)]
+    found = packing.evolve(size, 1000, 1, [])
+    assert len(found) <= 315
+    assert sorted(i for x in found for i in x) == list(range(900)) and all(sum(size[i] for i in x) <= 1000 for x in found)
+    assert packing.evolve([500, 500, 300], 1000, 1, []) == [[0, 1], [2]]
+
+
 # 10: shared spans
 
 
